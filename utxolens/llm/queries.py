@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from . import mixing
+from .mixing import op10_mix_sources
 from .packing import op2_harmonic_packing
+from .simhash import op1_simhash_near_dedup
 from .tokenstore import op4_token_shards
 
-QUERIES = {f.__name__: f for f in (op2_harmonic_packing, op4_token_shards)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_harmonic_packing, op4_token_shards, op10_mix_sources)}
+SQL: dict[str, str] = {"op10_mix_sources": mixing.SQL}
