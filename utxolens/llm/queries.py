@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from . import mixing
+from .language import op5_language_id
 from .mixing import op10_mix_sources
 from .packing import op2_harmonic_packing
 from .pii import op6_personal_data
+from .quality import op9_quality
 from .simhash import op1_simhash_near_dedup
 from .tokenstore import op4_token_shards
+from .toxicity import op7_toxicity
 from .vectors import op3_embedding_near_dedup, op8_nearest_neighbours
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op2_harmonic_packing, op3_embedding_near_dedup, op4_token_shards, op6_personal_data, op8_nearest_neighbours, op10_mix_sources)
+    for f in (op1_simhash_near_dedup, op2_harmonic_packing, op3_embedding_near_dedup, op4_token_shards, op5_language_id, op6_personal_data, op7_toxicity, op8_nearest_neighbours, op9_quality, op10_mix_sources)
 }
 SQL: dict[str, str] = {"op10_mix_sources": mixing.SQL}

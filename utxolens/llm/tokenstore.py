@@ -1,7 +1,7 @@
 """Token-id shards with a minimal perfect hash index.
 
-A shard is two files. `*.ids` holds the raw little-endian unsigned 32-bit ids of its documents in
-ascending key order. `*.mph` holds a JSON header line and the index arrays: the key of each
+A shard is two files. `*.ids` holds the raw little-endian ids of its documents in ascending key order,
+16 bits each where the vocabulary fits and 32 otherwise. `*.mph` holds a JSON header line and the index arrays: the key of each
 document, the offset and length of its ids, the bit levels of a minimal perfect hash, and per slot
 a 32-bit fingerprint of the key and its document's row. Access by key is one hash, one fingerprint
 compare and one ranged read. Files are written under an attempt's own name and moved into
@@ -96,7 +96,7 @@ class Shard:
         for key, kind, n in head["arrays"]:
             arrays[key] = np.frombuffer(raw, kind, n, at)
             at += arrays[key].nbytes
-        self.has_null = head["null_keys"]
+        self.has_null, self.width = head["null_keys"], head["width"]
         self.keys, self.offsets, self.lengths, self.prints, self.rows = (arrays[k] for k in ("keys", "offsets", "lengths", "prints", "rows"))
         self.hash = MinimalPerfectHash(head["sizes"], np.unpackbits(arrays["bits"], count=sum(head["sizes"])).astype(bool), arrays["rest"])
 
@@ -112,12 +112,17 @@ class Shard:
         if row < 0:
             return None
         with self.fs.open_input_file(self.ids_path) as f:
-            return np.frombuffer(f.read_at(int(self.lengths[row]) * 4, int(self.offsets[row]) * 4), "<u4")
+            return self.read(f, row)
+
+    def read(self, f, row: int) -> np.ndarray:
+        """The ids of a row from the opened payload, unsigned 32-bit."""
+        raw = f.read_at(int(self.lengths[row]) * self.width, int(self.offsets[row]) * self.width)
+        return np.frombuffer(raw, f"<u{self.width}").astype("<u4")
 
 
 def write_shards(df: DataFrame, directory: str, id_col: str = "doc_id", text_col: str = "text", *, vocabulary: str | None = None, end_id: int = 2) -> DataFrame:
     """Write every document's ids in ascending key order; one row for each shard, with the ids of all shards before it."""
-    path, end = vocabulary or default_vocabulary(), end_id.to_bytes(4, "little")
+    path, end = vocabulary or default_vocabulary(), np.array([end_id], "<u4")
 
     def run(batches):
         import pyarrow as pa
@@ -128,13 +133,14 @@ def write_shards(df: DataFrame, directory: str, id_col: str = "doc_id", text_col
         name, own = f"shard-{task.partitionId():06d}", f"-attempt-{task.taskAttemptId()}"
         fs, base = pafs.FileSystem.from_uri(directory)
         keys, lengths, out = [], [], None
+        width = 2 if max(encoder(path).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         for b in text_slices(batches):
             if out is None:
                 fs.create_dir(base, recursive=True)
                 out = fs.open_output_stream(f"{base}/{name}.ids{own}")
             keys += b.column(0).to_pylist()
             for ids in encoder(path).batch(b.column(1).to_pylist()):
-                out.write(ids + end)
+                out.write(np.concatenate((np.frombuffer(ids, "<u4"), end)).astype(f"<u{width}").tobytes())
                 lengths.append(len(ids) // 4 + 1)
         if out is None:
             return
@@ -149,7 +155,7 @@ def write_shards(df: DataFrame, directory: str, id_col: str = "doc_id", text_col
         prints[slot], rows[slot] = fingerprints(distinct), row + n_null
         arrays = {"keys": key, "offsets": np.cumsum(sizes) - sizes, "lengths": sizes, "prints": prints, "rows": rows, "bits": np.packbits(mph.bits), "rest": mph.rest}
         with fs.open_output_stream(f"{base}/{name}.mph{own}") as f:
-            f.write(json.dumps({"sizes": mph.sizes, "null_keys": n_null, "arrays": [[k, a.dtype.str, len(a)] for k, a in arrays.items()]}).encode() + b"\n")
+            f.write(json.dumps({"sizes": mph.sizes, "null_keys": n_null, "width": width, "arrays": [[k, a.dtype.str, len(a)] for k, a in arrays.items()]}).encode() + b"\n")
             for a in arrays.values():
                 f.write(a.tobytes())
         for kind in ("ids", "mph"):
@@ -184,7 +190,7 @@ def read_shards(shards: DataFrame, directory: str) -> DataFrame:
                 at = np.concatenate((row[: s.has_null], found + (row[s.has_null :] - first)))
                 start, size = s.offsets[at], s.lengths[at]
                 with s.fs.open_input_file(s.ids_path) as f:
-                    crc = [zlib.crc32(f.read_at(int(n) * 4, int(o) * 4)) for o, n in zip(start, size)]
+                    crc = [zlib.crc32(s.read(f, row)) for row in at]
                 keys = pa.array(s.keys, pa.int64(), mask=row < s.has_null)
                 yield pa.RecordBatch.from_arrays([keys, pa.array(start + base), pa.array(size), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
