@@ -1,11 +1,13 @@
 """Toxicity by subword bags.
 
-A text is cut into windows of 32 words. A window is the mean of the embeddings of its character 3-
+A text is cut into windows of eight words. A window is the mean of the embeddings of its character 3-
 to 5-grams (hashed; word edges count as a character), read by a linear softmax; embeddings and
 softmax are trained together in numpy, so misspelt words share what they have in common with known
 ones. A document labelled toxic need not be so throughout: after a first round on all windows, its
-windows that score lowest no longer count as toxic ones. A document's score is that of its strongest window, calibrated
-with its number of windows.
+windows that score lowest no longer count as toxic ones. A document's score is that of its strongest
+window, calibrated with its number of windows on documents that were not trained on, each label
+weighing as often as it occurs. Features the training met rarely count for less, unmet ones for
+nothing.
 
 It learns from at most `per_label` rows of each label, taken by the order of a hash of their ids, and
 only from rows that may be learned from. Defined results: null and empty texts have one empty window
@@ -24,7 +26,7 @@ from .chars import gram_hash, joined, kinds, learnable, sample_by
 from .common import table, text_slices
 from .quality import score_table
 
-_BITS, _GRAMS, _WORDS, _DIM = 18, (3, 4, 5), 32, 8
+_BITS, _GRAMS, _WORDS, _DIM = 18, (3, 4, 5), 8, 8
 
 
 def windows(texts: list[str | None]):
@@ -51,8 +53,8 @@ def windows(texts: list[str | None]):
 class SubwordBags:
     """Embeddings and softmax trained jointly on bags; score() reads texts with both folded into one weight per feature."""
 
-    def __init__(self, bags: list[np.ndarray], doc: np.ndarray, y: np.ndarray, seed: int = 5):
-        """bags: features of each window; doc: the document of each window; y: label of each document."""
+    def __init__(self, bags: list[np.ndarray], doc: np.ndarray, y: np.ndarray, share: float, seed: int = 5):
+        """bags: features of each window; doc: the document of each window; y: label of each document; share: of label 1 among all."""
         rng = np.random.default_rng(seed)
         self.emb = rng.uniform(-0.5 / _DIM, 0.5 / _DIM, (1 << _BITS, _DIM)).astype(np.float32)
         self.out = rng.normal(0, 0.5, (_DIM, 2)).astype(np.float32)
@@ -61,21 +63,29 @@ class SubwordBags:
         sizes = np.array([len(b) for b in bags])
         flat, first = np.concatenate(bags), np.cumsum(sizes) - sizes
         label = y[doc].astype(np.int64)
-        use = np.flatnonzero(sizes > 0)
+        held = np.zeros(len(y), bool)
+        for v in (0, 1):  # every fourth document of a label is kept for calibration
+            held[np.flatnonzero(y == v)[3::4]] = True
+        fit = (sizes > 0) & ~held[doc]
+        use = np.flatnonzero(fit)
         self._epochs(flat, first, sizes, label, use, 2, rng)
         for _ in range(2):  # windows of a toxic document that look clean are left out
             s = self._logits(flat, first, sizes)
             best = np.full(len(y), -np.inf)
             np.maximum.at(best, doc, s)
-            use = np.flatnonzero((sizes > 0) & ((label == 0) | (s >= best[doc]) | (s > 0)))
+            use = np.flatnonzero(fit & ((label == 0) | (s >= best[doc]) | (s > 0)))
             self._epochs(flat, first, sizes, label, use, 2, rng)
+        met = np.bincount(flat[np.repeat(fit, sizes)], minlength=1 << _BITS)
+        self.emb *= (met / (met + 3.0)).astype(np.float32)[:, None]
         self.weight = (self.emb @ (self.out[:, 1] - self.out[:, 0])).astype(np.float32)
         self.shift = float(self.bias[1] - self.bias[0])
         s = self._logits(flat, first, sizes)
         best = np.full(len(y), -np.inf)
         np.maximum.at(best, doc, s)
         self.scale = np.array([1.0, 0.0, 0.0])
-        self._calibrate(best, np.bincount(doc, minlength=len(y)), y)
+        n = np.bincount(doc, minlength=len(y))
+        held = held if len(set(y[held].tolist())) > 1 else ~np.zeros(len(y), bool)
+        self._calibrate(best[held], n[held], y[held], share)
         del self.emb, self.g_emb
 
     def _logits(self, flat, first, sizes):
@@ -114,16 +124,17 @@ class SubwordBags:
                 self.out -= 0.1 * g_out / np.sqrt(self.g_out)
                 self.bias -= 0.05 * e.mean(0)
 
-    def _calibrate(self, best, n, y):
+    def _calibrate(self, best, n, y, share):
         """Logistic regression of the label on the strongest window and the number of windows."""
         x = np.stack((best, np.log(np.maximum(n, 1)), np.ones(len(y))), 1)
         mean, std = x.mean(0), x.std(0) + 1e-9
         mean[2], std[2] = 0, 1
         z, w = (x - mean) / std, np.zeros(3)
+        each = np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean()))
         for _ in range(60):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            h = (z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(3)
-            w -= np.clip(np.linalg.solve(h, z.T @ (p - y) + 1e-3 * w), -5, 5)
+            h = (z * (each * p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(3)
+            w -= np.clip(np.linalg.solve(h, z.T @ (each * (p - y)) + 1e-3 * w), -2, 2)
         self.scale = w / std
         self.scale[2] -= (w[:2] * mean[:2] / std[:2]).sum()
 
@@ -137,11 +148,12 @@ class SubwordBags:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, modulus: int = 5, held: int = 0, per_label: int = 1200):
+def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, modulus: int = 5, held: int = 0, per_label: int = 1600):
     """A function from texts to scores."""
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = known.where(learnable(known, "doc_id", modulus, held)).groupBy("doc_id").agg(F.max("y").alias("y"))
+    share = known.agg(F.avg("y")).first()[0] or 0.0
     drawn = sample_by(known, "y", per_label).select("doc_id", "y")
 
     def features(batches):
@@ -164,7 +176,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return lambda texts: np.full(len(texts), fixed)
     bags = [np.frombuffer(x, "<i4") for x in got["bag"].to_pylist()]
     _, start, doc = np.unique(got["h"].to_numpy(), return_index=True, return_inverse=True)
-    return SubwordBags(bags, doc, y[start]).score
+    return SubwordBags(bags, doc, y[start], share).score
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
