@@ -33,12 +33,12 @@ def presence(texts: list[str | None]) -> list[np.ndarray]:
     grams = [gram_hash(points, n, _BITS) for n in _GRAMS]
     edges = np.searchsorted(owner, np.arange(len(texts) + 1))
     seen, some, out = np.zeros(1 << _BITS, bool), np.concatenate(([0], np.cumsum(letter))), []
-    for a, b in zip(edges, edges[1:]):
+    for a, b in zip(np.maximum(edges - 1, 0), edges[1:]):  # from the line feed before a text to the one after it
         if some[b] == some[a]:
             out.append(np.zeros(0, np.int64))
             continue
         for n, g in zip(_GRAMS, grams):
-            seen[g[a : b - n + 1 if b < len(points) else b]] = True
+            seen[g[a : max(a, b - n + 1)]] = True
         found = np.flatnonzero(seen)
         seen[found] = False
         out.append(found)
