@@ -59,7 +59,7 @@ class SubwordBags:
         self.emb = rng.uniform(-0.5 / _DIM, 0.5 / _DIM, (1 << _BITS, _DIM)).astype(np.float32)
         self.out = rng.normal(0, 0.5, (_DIM, 2)).astype(np.float32)
         self.bias = np.zeros(2, np.float32)
-        self.g_emb, self.g_out = np.full(1 << _BITS, 1e-6, np.float32), np.full(2, 1e-6, np.float32)
+        self.g_emb, self.g_out = np.full(1 << _BITS, 0.1, np.float32), np.full(2, 1e-6, np.float32)
         sizes = np.array([len(b) for b in bags])
         flat, first = np.concatenate(bags), np.cumsum(sizes) - sizes
         label = y[doc].astype(np.int64)
@@ -133,10 +133,17 @@ class SubwordBags:
         each = np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean()))
         for _ in range(60):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            h = (z * (each * p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(3)
-            w -= np.clip(np.linalg.solve(h, z.T @ (each * (p - y)) + 1e-3 * w), -2, 2)
+            h = (z * (each * p * (1 - p))[:, None]).T @ z + np.diag((1.0, 1.0, 1e-3))
+            w -= np.clip(np.linalg.solve(h, z.T @ (each * (p - y)) + np.array((1.0, 1.0, 1e-3)) * w), -2, 2)
         self.scale = w / std
         self.scale[2] -= (w[:2] * mean[:2] / std[:2]).sum()
+        # One half lies where fewest are wrong; of several such places, in the middle of the widest gap.
+        z = x @ self.scale
+        order = np.argsort(z)
+        wrong = np.cumsum(np.where(y[order] > 0, each[order], -each[order]))[:-1]
+        gap = np.diff(z[order])
+        best = np.lexsort((-gap, np.where(gap > 0, wrong, np.inf)))[0]
+        self.scale[2] -= z[order][best] + gap[best] / 2
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         feature, window, text = windows(texts)
