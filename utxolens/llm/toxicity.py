@@ -53,15 +53,14 @@ def windows(texts: list[str | None]):
 class SubwordBags:
     """Embeddings and softmax trained jointly on bags; score() reads texts with both folded into one weight per feature."""
 
-    def __init__(self, bags: list[np.ndarray], doc: np.ndarray, y: np.ndarray, share: float, seed: int = 5):
-        """bags: features of each window; doc: the document of each window; y: label of each document; share: of label 1 among all."""
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray, doc: np.ndarray, y: np.ndarray, share: float, seed: int = 5):
+        """flat: features of all windows, sizes: how many each has; doc: the document of each window; y: label of each document; share: of label 1 among all."""
         rng = np.random.default_rng(seed)
         self.emb = rng.uniform(-0.5 / _DIM, 0.5 / _DIM, (1 << _BITS, _DIM)).astype(np.float32)
         self.out = rng.normal(0, 0.5, (_DIM, 2)).astype(np.float32)
         self.bias = np.zeros(2, np.float32)
         self.g_emb, self.g_out = np.full(1 << _BITS, 0.1, np.float32), np.full(2, 1e-6, np.float32)
-        sizes = np.array([len(b) for b in bags])
-        flat, first = np.concatenate(bags), np.cumsum(sizes) - sizes
+        first = np.cumsum(sizes) - sizes
         label = y[doc].astype(np.int64)
         held = np.zeros(len(y), bool)
         for v in (0, 1):  # every fourth document of a label is kept for calibration
@@ -75,7 +74,11 @@ class SubwordBags:
             np.maximum.at(best, doc, s)
             use = np.flatnonzero(fit & ((label == 0) | (s >= best[doc]) | (s > 0)))
             self._epochs(flat, first, sizes, label, use, 2, rng)
-        met = np.bincount(flat[np.repeat(fit, sizes)], minlength=1 << _BITS)
+        met = np.zeros(1 << _BITS)
+        for a in range(0, len(sizes), 8192):
+            rows = [flat[f : f + n] for f, n in zip(first[a : a + 8192][fit[a : a + 8192]], sizes[a : a + 8192][fit[a : a + 8192]])]
+            if rows:
+                met += np.bincount(np.concatenate(rows), minlength=1 << _BITS)
         self.emb *= (met / (met + 3.0)).astype(np.float32)[:, None]
         self.weight = (self.emb @ (self.out[:, 1] - self.out[:, 0])).astype(np.float32)
         self.shift = float(self.bias[1] - self.bias[0])
@@ -90,8 +93,12 @@ class SubwordBags:
 
     def _logits(self, flat, first, sizes):
         w = self.emb @ (self.out[:, 1] - self.out[:, 0])
-        total = np.concatenate(([0.0], np.cumsum(w[flat].astype(np.float64))))
-        return (total[first + sizes] - total[first]) / np.maximum(sizes, 1) + (self.bias[1] - self.bias[0])
+        out = np.zeros(len(sizes))
+        for a in range(0, len(sizes), 8192):  # a few windows at a time: the driver holds the features once
+            f, n = first[a : a + 8192], sizes[a : a + 8192]
+            total = np.concatenate(([0.0], np.cumsum(w[flat[f[0] : f[-1] + n[-1]]], dtype=np.float64)))
+            out[a : a + 8192] = total[f - f[0] + n] - total[f - f[0]]
+        return out / np.maximum(sizes, 1) + (self.bias[1] - self.bias[0])
 
     def _epochs(self, flat, first, sizes, label, use, n, rng, batch: int = 128, rate: float = 0.25):
         """Adagrad steps; each label weighs the same in all."""
@@ -170,20 +177,24 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             feature, window, text = windows(b.column(1).to_pylist())
             order = np.argsort(window, kind="stable")
             feature, cuts = feature[order], np.searchsorted(window[order], np.arange(len(text) + 1))
-            bags = [np.unique(feature[x:z]).astype("<i4").tobytes() for x, z in zip(cuts, cuts[1:])]
-            rows = pa.array(text)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(2).take(rows), pa.array(bags, pa.binary())], ["y", "h", "bag"])
+            bags = [np.unique(feature[x:z]).astype("<i4") for x, z in zip(cuts, cuts[1:])]
+            ends = np.searchsorted(text, np.arange(b.num_rows + 1))
+            sizes = [[len(w) for w in bags[x:z]] for x, z in zip(ends, ends[1:])]
+            whole = [b"".join(w.tobytes() for w in bags[x:z]) for x, z in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sizes, pa.list_(pa.int32())), pa.array(whole, pa.binary())], ["y", "h", "n", "bag"])
 
     # At most per_label ids of each of two labels: a bounded side to broadcast.
     rows = source.join(F.broadcast(drawn), "doc_id").select("y", "text", F.xxhash64("doc_id").alias("h")).limit(4 * per_label)
-    got = rows.mapInArrow(features, "y int, h long, bag binary").toArrow().sort_by([("h", "ascending"), ("bag", "ascending")])
-    y = got["y"].to_numpy().astype(float)
+    got = sorted(rows.mapInArrow(features, "y int, h long, n array<int>, bag binary").toLocalIterator(), key=lambda r: (r.h, r.bag))
+    y = np.array([r.y for r in got], float)
     if len(set(y.tolist())) < 2:
         fixed = 0.5 if not len(y) else float(y[0])
         return lambda texts: np.full(len(texts), fixed)
-    bags = [np.frombuffer(x, "<i4") for x in got["bag"].to_pylist()]
-    _, start, doc = np.unique(got["h"].to_numpy(), return_index=True, return_inverse=True)
-    return SubwordBags(bags, doc, y[start], share).score
+    sizes = np.concatenate([r.n for r in got]).astype(np.int64)
+    flat = np.frombuffer(b"".join(r.bag for r in got), "<i4")
+    doc = np.repeat(np.arange(len(got)), [len(r.n) for r in got])
+    del got
+    return SubwordBags(flat, sizes, doc, y, share).score
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
