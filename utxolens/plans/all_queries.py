@@ -1,6 +1,6 @@
 """All registered queries; importing the modules registers them."""
 
-from . import core, graphs
+from . import core, graphs, measures, review
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "core", "graphs"]
+__all__ = ["QUERIES", "SQL", "core", "graphs", "measures", "review"]
