@@ -17,7 +17,7 @@ def normalize(raw: DataFrame) -> DataFrame:
     df = raw.select("logical_record", F.lower(blank_to_null(F.col("txid"))).alias("txid"), F.coalesce(F.lower(blank_to_null(F.col("network"))), F.lit("unknown")).alias("network"), t.alias("t"), out_addr.alias("out_addr"), in_addr.alias("in_addr"), parsed.alias("sats"), blank_to_null(F.col("src_ip")).alias("src_ip"), parse_port(F.col("src_port")).alias("port"))
     error = F.coalesce(
         F.when(~F.coalesce(F.col("txid").rlike("^[0-9a-f]{64}$"), F.lit(False)), "txid is not 64 hex digits"), F.when(~F.col("network").isin(*NETWORKS), "unknown network"), F.col("t.error"),
-        F.when(F.size("sats") == 0, "no outputs"), F.when(F.size("out_addr") != F.size("sats"), "array lengths differ"), F.filter("sats", lambda s: s.error.isNotNull())[0]["error"], F.col("port.error"))
+        F.when(F.size("sats") == 0, "no outputs"), F.when(F.size("out_addr") != F.size("sats"), "array lengths differ"), F.get(F.filter("sats", lambda s: s.error.isNotNull()), 0)["error"], F.col("port.error"))
     return df.withColumn("error", error)
 
 

@@ -105,13 +105,13 @@ def _raw(d: Domain):
     seconds = (us / 1_000_000).cast("long").cast("string")
     iso = F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")
     ts = F.when(k % 13 == 1, iso).when(k % 5 == 0, F.concat(iso, F.lit("Z"))).when(k % 5 == 1, F.concat(F.regexp_replace(iso, "T", " "), F.lit(" UTC"))).otherwise(seconds)
-    cents = F.round(F.col("o_totalprice") * 100).cast("long").cast("string")
-    amounts = F.when(k % 17 == 2, "").when(k % 17 == 3, "0.1;x").when(k % 17 == 4, F.concat(F.lit("-"), cents, F.lit(";1"))).otherwise(F.concat(cents, F.lit(";0.5")))
+    coins = F.round("o_totalprice").cast("long").cast("string")
+    amounts = F.when(k % 17 == 2, "").when(k % 17 == 3, "0.1;x").when(k % 17 == 4, F.concat(F.lit("-"), coins, F.lit(";1"))).otherwise(F.concat(coins, F.lit(";0.5")))
     txid = F.when(k % 19 == 5, "zz").otherwise(F.sha2((k - F.when(k % 23 == 7, 23).otherwise(0)).cast("string").cast("binary"), 256))
     return o.select((k + 1).alias("logical_record"), ts.alias("timestamp"), txid.alias("txid"), F.lit("mainnet").alias("network"), F.lit(" ").alias("input_addresses"), F.when(k % 29 == 9, "a").otherwise(F.concat(F.lit("[\"a\", \"b"), (k % 9).cast("string"), F.lit("\"]"))).alias("output_addresses"), amounts.alias("output_amounts"), F.when(k % 3 == 0, "10.0.0.1").alias("src_ip"), F.when(k % 31 == 11, "70000").otherwise("8333").alias("src_port"))
 
 
-_ERR = """, rw AS (SELECT o_orderkey AS k, epoch_us(o_orderdate) AS us, round(o_totalprice * 100)::BIGINT AS c FROM orders), er AS (SELECT *, CASE WHEN k % 19 = 5 THEN 'txid is not 64 hex digits' WHEN k % 13 = 1 THEN 'no time zone' WHEN k % 17 = 2 THEN 'no outputs'
+_ERR = """, rw AS (SELECT o_orderkey AS k, epoch_us(o_orderdate) AS us, round(o_totalprice)::BIGINT AS c FROM orders), er AS (SELECT *, CASE WHEN k % 19 = 5 THEN 'txid is not 64 hex digits' WHEN k % 13 = 1 THEN 'no time zone' WHEN k % 17 = 2 THEN 'no outputs'
     WHEN k % 29 = 9 THEN 'array lengths differ' WHEN k % 17 = 3 THEN 'not a number' WHEN k % 17 = 4 THEN 'negative amount' WHEN k % 31 = 11 THEN 'not a port' END AS error FROM rw)"""
 
 

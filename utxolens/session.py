@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_SHIPPING = threading.Lock()
+
 #: Settings the engine relies on; AQE is on by default.
 SETTINGS = {"spark.sql.session.timeZone": "UTC"}
 
@@ -16,14 +19,15 @@ SETTINGS = {"spark.sql.session.timeZone": "UTC"}
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once for each Spark context."""
     sc, root = spark.sparkContext, Path(__file__).resolve().parent
-    if getattr(sc, "_utxolens_shipped", False):
-        return
+    with _SHIPPING:
+        if getattr(sc, "_utxolens_shipped", False):
+            return
+        sc._utxolens_shipped = True
     path = Path(tempfile.mkdtemp(prefix="utxolens-")) / "utxolens_code.zip"
     with zipfile.ZipFile(path, "w") as z:
         for p in root.rglob("*.py"):
             z.write(p, p.relative_to(root.parent))
     sc.addPyFile(str(path))
-    sc._utxolens_shipped = True
 
 
 def prepare(spark: SparkSession) -> SparkSession:
