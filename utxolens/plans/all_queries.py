@@ -1,6 +1,6 @@
 """All registered queries; importing the modules registers them."""
 
-from . import core, graphs, measures, review, streams
+from . import core, graphs, measures, more, review, streams
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "core", "graphs", "measures", "review", "streams"]
+__all__ = ["QUERIES", "SQL", "core", "graphs", "measures", "more", "review", "streams"]
