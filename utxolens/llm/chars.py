@@ -51,6 +51,12 @@ def learnable(table: DataFrame, id_col: str, modulus: int, held: int):
 
 
 def sample_by(labelled: DataFrame, label: str, per_label: int) -> DataFrame:
-    """At most per_label rows of each label, by the order of a hash of doc_id."""
+    """At most per_label (under 1000, so that tasks cut their own rows first) rows of each label, by the order of a hash of doc_id."""
     order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
     return labelled.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= per_label)
+
+
+def sample_binary(labelled: DataFrame, label: str, per_label: int) -> DataFrame:
+    """At most per_label rows of label 0 and of label 1 in the same order; each task gives its own first ones only."""
+    top = [labelled.where(F.col(label) == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for v in (0, 1)]
+    return top[0].unionByName(top[1])

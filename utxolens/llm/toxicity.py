@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chars import gram_hash, joined, kinds, learnable, sample_by
+from .chars import gram_hash, joined, kinds, learnable, sample_binary
 from .common import table, text_slices
 from .quality import score_table
 
@@ -168,7 +168,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = known.where(learnable(known, "doc_id", modulus, held)).groupBy("doc_id").agg(F.max("y").alias("y"))
     share = known.agg(F.avg("y")).first()[0] or 0.0
-    drawn = sample_by(known, "y", per_label).select("doc_id", "y")
+    drawn = sample_binary(known, "y", per_label).select("doc_id", "y")
 
     def features(batches):
         import pyarrow as pa
