@@ -30,6 +30,8 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stay = groups.where("doc_id = component_id or component_id is null").groupBy("doc_id").count()
     once, again = stay.where("count = 1").select("doc_id"), stay.where("count > 1").select("doc_id")
     plain = docs.join(once, "doc_id", "left_semi")
+    if again.isEmpty():  # else the texts would be dealt out a second time
+        return plain
     one = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars"))
     return plain.unionByName(docs.join(again, "doc_id", "left_semi").withColumn("rn", one).where("rn = 1").select(docs.columns))
 
