@@ -15,7 +15,7 @@ import re
 from array import array
 
 #: Chunks whose ids a worker keeps, and the longest one worth keeping.
-CACHE_ENTRIES, CACHE_CHARS = 1 << 20, 40
+CACHE_ENTRIES, CACHE_CHARS = 3 << 17, 40
 _ODD = re.compile(r" (?:\s|\Z)")
 #: ASCII punctuation, all of which the pre-tokenizer puts in one run.
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
