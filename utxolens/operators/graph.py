@@ -105,9 +105,9 @@ def peeling_walks(hops: DataFrame, longest: int = 8, shortest: int = 3) -> DataF
     walks = hops.select(F.col("prev_txid").alias("start_txid"), F.col("prev_vout").alias("start_vout"), F.array("spend_txid").alias("path"), F.col("spend_txid").alias("t"), F.col("next_vout").alias("v"))
     done = []
     for _ in range(longest - 1):
-        moved = walks.join(step, ["t", "v"], "left")
+        moved = keep(walks.join(step, ["t", "v"], "left"), "walks")
         done.append(moved.where("s is null").select("start_txid", "start_vout", "path"))
-        walks = keep(moved.where("s is not null").select("start_txid", "start_vout", F.array_append("path", F.col("s")).alias("path"), F.col("s").alias("t"), F.col("n").alias("v")), "walks")
+        walks = moved.where("s is not null").select("start_txid", "start_vout", F.array_append("path", F.col("s")).alias("path"), F.col("s").alias("t"), F.col("n").alias("v"))
     out = walks.select("start_txid", "start_vout", "path")
     for d in done[shortest - 1 :]:
         out = out.unionByName(d)
@@ -138,13 +138,14 @@ def seed_proximity(tx_in: DataFrame, tx_out: DataFrame, seeds: DataFrame, depth:
 
 
 def neighbourhood(edges: DataFrame, seed: str, depth: int) -> DataFrame:
-    """(node, level) within `depth` undirected steps of a node."""
+    """(node, level) within `depth` undirected steps of a node; the edges and every level are written once."""
+    edges = keep(edges.select("from_node", "to_node"), "edges")
     both = edges.select(F.col("from_node").alias("a"), F.col("to_node").alias("b")).unionByName(edges.select(F.col("to_node").alias("a"), F.col("from_node").alias("b")))
     reached = edges.where((F.col("from_node") == seed) | (F.col("to_node") == seed)).limit(1).select(F.lit(seed).alias("node"), F.lit(0).alias("level"))
     for level in range(1, depth + 1):
         front = reached.where(F.col("level") == level - 1).withColumnRenamed("node", "a")
         new = both.join(front, "a", "left_semi").select(F.col("b").alias("node")).distinct().join(reached, "node", "left_anti")
-        reached = reached.unionByName(new.withColumn("level", F.lit(level)))
+        reached = keep(reached.unionByName(new.withColumn("level", F.lit(level))), "reached")
     return reached
 
 

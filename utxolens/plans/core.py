@@ -112,9 +112,11 @@ def concentrated_collection(d: Domain):
     return windows.count_rule(windows.window_features(windows.memberships(d.tx_out)), "concentrated_collection", 3, 25, 15, 86400)
 
 
-@query(_FEATURES + _rule("emerging_hub", 4, 20, 10, 86400))
+# Hubs are looked for among parts, which recur more often than addresses.
+@query(_FEATURES.replace("SELECT addr, txid, vout", "SELECT concat('p', part) AS addr, txid, vout") + _rule("emerging_hub", 4, 20, 10, 86400))
 def emerging_hub(d: Domain):
-    return windows.count_rule(windows.window_features(windows.memberships(d.tx_out)), "emerging_hub", 4, 20, 10, 86400)
+    parts = d.tx_out.withColumn("addr", F.concat(F.lit("p"), F.col("part").cast("string")))
+    return windows.count_rule(windows.window_features(windows.memberships(parts)), "emerging_hub", 4, 20, 10, 86400)
 
 
 @query(_FEATURES + _RAPID + """, e AS (SELECT address AS addr, spent_us - spent_us % 86400000000 AS start_us, count(*) AS events, min(delay_us) / 1e6 AS shortest_delay, median(delay_us) / 1e6 AS median_delay FROM rapid GROUP BY ALL)

@@ -118,10 +118,10 @@ for _k in range(3):
     _TAINT += f", x{_k} AS (SELECT sh.txid, sum(share * taint) AS t FROM t{_k} JOIN sh ON sh.prev_txid = t{_k}.txid AND sh.prev_vout = t{_k}.vout GROUP BY sh.txid), t{_k + 1} AS (SELECT ou.txid, vout, greatest(seed, 0.85::DOUBLE * coalesce(t, 0)) AS taint FROM ou LEFT JOIN x{_k} USING (txid) WHERE greatest(seed, 0.85::DOUBLE * coalesce(t, 0)) > 0)"
 
 
-@query(_RESOLVED + _TAINT + "SELECT addr, round(greatest(sum(amount * coalesce(taint, 0)) / sum(amount), max(seed)), 9) AS risk FROM ou LEFT JOIN t3 USING (txid, vout) GROUP BY addr HAVING greatest(sum(amount * coalesce(taint, 0)) / sum(amount), max(seed)) > 1e-6")
+@query(_RESOLVED + _TAINT + "SELECT addr, round(greatest(sum(amount * coalesce(taint, 0)) / sum(amount), max(seed)), 6) AS risk FROM ou LEFT JOIN t3 USING (txid, vout) GROUP BY addr HAVING greatest(sum(amount * coalesce(taint, 0)) / sum(amount), max(seed)) > 1e-6")
 def risk_propagation(d: Domain):
     seeds = d.tx_out.where("part % 101 = 3").select("addr").distinct().withColumn("weight", F.lit(1.0))
-    return graph.risk_downstream(d.tx_in, d.tx_out, seeds).withColumn("risk", F.round("risk", 9))
+    return graph.risk_downstream(d.tx_in, d.tx_out, seeds).withColumn("risk", F.round("risk", 6))
 
 
 @query(_RESOLVED + """SELECT (SELECT count(*) FROM (SELECT 1 FROM tx_out GROUP BY txid, vout HAVING count(*) > 1)) AS duplicate_outpoints, (SELECT count(*) FROM (SELECT 1 FROM tx_in GROUP BY prev_txid, prev_vout HAVING count(DISTINCT txid) > 1)) AS double_spends,
