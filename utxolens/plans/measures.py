@@ -90,13 +90,15 @@ _SHAPE = _RESOLVED + """, ow AS (SELECT *, count(*) OVER (PARTITION BY txid ORDE
         coalesce(fee / nullif(it, 0), 0) AS fee_share, coalesce(om / nullif(it, 0), 0) AS largest_over_in, (n = 2 AND o2 / om < 0.25)::INT AS one_big_one_small, ro AS round_outputs, ro / n AS round_share, sc AS script_types, coalesce(im / nullif(it, 0), 0) AS in_max_share,
         ln(1 + coalesce(it, 0)) AS log_in, coalesce(ot / nullif(it, 0), 0) AS out_over_in, ln(1 + coalesce(amin, 0)) AS log_age_min, ln(1 + coalesce(amed, 0)) AS log_age_median, coalesce(ys, 0) AS young_share FROM oa JOIN tx ON tx.txid = oa.txid LEFT JOIN ia ON ia.txid = oa.txid)"""
 _FLOATS = ("log_inputs", "log_outputs", "equal_fraction", "class_fraction", "entropy", "gini", "max_share", "second_ratio", "log_total", "log_max", "log_min", "log_median", "log_fee", "fee_share", "largest_over_in", "round_share", "in_max_share", "log_in", "out_over_in", "log_age_min", "log_age_median", "young_share")
+# Quotients of integers are the same in both engines; sums and logarithms are rounded.
+_QUOTIENTS = ("equal_fraction", "class_fraction", "max_share", "second_ratio", "fee_share", "largest_over_in", "round_share", "in_max_share", "out_over_in", "young_share")
 _INTS = ("txid", "n_inputs", "n_outputs", "equal_tol_0", "equal_tol_10", "equal_tol_100", "equal_tol_1000", "value_classes", "one_big_one_small", "round_outputs", "script_types")
 
 
-@query(_SHAPE + "SELECT " + ", ".join([*_INTS, *(f"round({c}, 6) + 0.0 AS {c}" for c in _FLOATS)]) + " FROM sh")
+@query(_SHAPE + "SELECT " + ", ".join([*_INTS, *(c if c in _QUOTIENTS else f"round({c}, 6) + 0.0 AS {c}" for c in _FLOATS)]) + " FROM sh")
 def transaction_shapes(d: Domain):
     s = stats.shape_features(d.tx_in, d.tx_out, d.tx)
-    return s.select(*_INTS, *[(F.round(c, 6) + 0.0).alias(c) for c in _FLOATS])
+    return s.select(*_INTS, *[F.col(c) if c in _QUOTIENTS else (F.round(c, 6) + 0.0).alias(c) for c in _FLOATS])
 
 
 @query(_SHAPE + """SELECT txid, equal_tol_100 >= 3 AND n_inputs >= 3 AND n_outputs >= 3 AS mixing_like, one_big_one_small > 0 AS peel_like,
