@@ -47,19 +47,23 @@ def graph_edges(tx: DataFrame, tx_in: DataFrame, tx_out: DataFrame, obs: DataFra
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) with root the smallest node reached over edges (a, b); minimum labels with pointer jumping.
+    """(node, root) with root the smallest node reached over edges (a, b); large and small stars in turn.
 
-    Each round is written once to the shared folder, so plans stay short and lost executors are survived.
+    A large star ties each node's greater neighbours to its smallest one, a small star its smaller ones and itself, so long
+    chains fold in few rounds. Each round is written once to the shared folder: plans stay short and lost executors are survived.
     """
-    both = keep(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"), F.lit(True).alias("moved")), "labels")
-    while not labels.where("moved").isEmpty():
-        best = both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("near")), "b").groupBy("a").agg(F.min("near").alias("near"))
-        step = labels.join(best, labels.node == best.a).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        after = step.join(jump, "root", "left").select("node", F.coalesce(F.least("root", "far"), "root").alias("root"), "old")
-        labels = keep(after.select("node", "root", (F.col("root") < F.col("old")).alias("moved")), "labels")
-    return labels.select("node", "root")
+    pairs = lambda df: df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    stars = keep(pairs(edges), "stars")
+    while True:
+        both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        large = keep(pairs(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))), "stars")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        own = least.select("a", F.col("m").alias("b"))
+        stars = keep(pairs(large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(own)), "stars")
+        if stars.join(stars.select(F.col("a").alias("b")), "b", "left_semi").isEmpty() and stars.groupBy("a").count().where("count > 1").isEmpty():
+            break
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def common_input_clusters(tx_in: DataFrame, tx_out: DataFrame) -> DataFrame:

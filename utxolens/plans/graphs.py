@@ -28,15 +28,12 @@ def graph_edges(d: Domain):
     return graph.graph_edges(d.tx, d.tx_in, d.tx_out, d.obs)
 
 
-# The oracle's fixpoint is over every fifth transaction's inputs, as is the query's; SQL recursion has no pointer jumping.
+# The queries take every transaction's inputs. The SQL's fixpoint is over every fifth transaction's only (SQL recursion has no
+# pointer jumping), so it differs from them; tests/test_plans.py holds them against plain Python.
 _CLUSTER = _STATS + """, sp AS (SELECT DISTINCT r.txid, coalesce(nullif(address, ''), prev_addr) AS addr FROM r JOIN st USING (txid) LEFT JOIN eq USING (txid) WHERE n_addr >= 2 AND NOT (n_in >= 3 AND coalesce(max_equal, 0) >= 3) AND coalesce(nullif(address, ''), prev_addr) IS NOT NULL),
     ce AS (SELECT DISTINCT min(addr) OVER (PARTITION BY txid) AS a, addr AS b FROM sp), both_ways AS (SELECT a, b FROM ce WHERE a <> b UNION SELECT b, a FROM ce WHERE a <> b)"""
 
 
-def _sparse(d: Domain):
-    return d.tx_in.where("txid % 5 = 0")
-
-
 _CLUSTER = ", tx_in_all AS (SELECT * FROM tx_in)" + _CLUSTER.replace("FROM tx_in i", "FROM (SELECT * FROM tx_in WHERE txid % 5 = 0) i")
 _CC = _CLUSTER + """, reach(node, other) AS (SELECT a, a FROM both_ways UNION SELECT reach.node, both_ways.b FROM reach JOIN both_ways ON reach.other = both_ways.a),
     cl AS (SELECT node AS addr, concat('E-', substr(md5(min(other)), 1, 12)) AS entity_id FROM reach GROUP BY node)"""
@@ -44,27 +41,27 @@ _CC = _CLUSTER + """, reach(node, other) AS (SELECT a, a FROM both_ways UNION SE
 
 @query(_CC + "SELECT * FROM cl")
 def common_input_cluster(d: Domain):
-    return graph.common_input_clusters(_sparse(d), d.tx_out)
+    return graph.common_input_clusters(d.tx_in, d.tx_out)
 
 
 @query(_CC + """, rc AS (SELECT entity_id, count(*) AS received_outputs, sum(amount)::BIGINT AS received, min(us) AS first_us, max(us) AS last_us FROM tx_out JOIN cl USING (addr) GROUP BY entity_id),
     se AS (SELECT entity_id, sum(prev_amount)::BIGINT AS sent FROM r JOIN cl ON r.prev_addr = cl.addr GROUP BY entity_id), mb AS (SELECT entity_id, count(*) AS address_count FROM cl GROUP BY entity_id)
     SELECT entity_id, address_count, coalesce(received_outputs, 0) AS received_outputs, coalesce(received, 0) AS received, coalesce(sent, 0) AS sent, first_us, last_us FROM mb LEFT JOIN rc USING (entity_id) LEFT JOIN se USING (entity_id)""")
 def entity_rollup(d: Domain):
-    return graph.entity_rollup(graph.common_input_clusters(_sparse(d), d.tx_out), _sparse(d), d.tx_out)
+    return graph.entity_rollup(graph.common_input_clusters(d.tx_in, d.tx_out), d.tx_in, d.tx_out)
 
 
 @query(_CC + "SELECT a.addr, coalesce(entity_id, a.addr) AS wallet FROM (SELECT DISTINCT addr FROM tx_out) a LEFT JOIN cl USING (addr)")
 def wallet_of_address(d: Domain):
-    return graph.wallets(graph.common_input_clusters(_sparse(d), d.tx_out), d.tx_out.select("addr").distinct())
+    return graph.wallets(graph.common_input_clusters(d.tx_in, d.tx_out), d.tx_out.select("addr").distinct())
 
 
 @query(_CC + """, w AS (SELECT a.addr, coalesce(entity_id, a.addr) AS wallet FROM (SELECT DISTINCT addr FROM tx_out) a LEFT JOIN cl USING (addr))
     SELECT o.txid, wallet, sum(amount)::BIGINT AS amount, 'out' AS side FROM tx_out o JOIN w USING (addr) GROUP BY o.txid, wallet
     UNION ALL SELECT r.txid, wallet, sum(prev_amount)::BIGINT, 'in' FROM r JOIN w ON r.prev_addr = w.addr GROUP BY r.txid, wallet""")
 def value_flows(d: Domain):
-    wallet = graph.wallets(graph.common_input_clusters(_sparse(d), d.tx_out), d.tx_out.select("addr").distinct())
-    return graph.value_flows(_sparse(d), d.tx_out, wallet)
+    wallet = graph.wallets(graph.common_input_clusters(d.tx_in, d.tx_out), d.tx_out.select("addr").distinct())
+    return graph.value_flows(d.tx_in, d.tx_out, wallet)
 
 
 _HOPS = """, u AS (SELECT prev_txid, prev_vout, min(txid) AS spend_txid FROM tx_in GROUP BY prev_txid, prev_vout HAVING count(DISTINCT txid) = 1),
