@@ -64,3 +64,16 @@ def test_clusters_link_every_transactions_inputs(spark, ledger, entities):
     assert len(got) == len(flows) and {(r.txid, r.wallet, r.side): r.amount for r in got} == dict(flows)
     rollup = {r.entity_id: (r.address_count, r.sent) for r in rows(spark, "entity_rollup")}
     assert rollup == {e: (n, sent[e]) for e, n in Counter(entities.values()).items()}
+
+
+def test_bounds_copies_and_matches_are_over_whole_tables(spark, ledger):
+    outs, ins = ledger
+    tx = sorted((r.us, r.txid) for r in Domain(spark, DIR).tx.collect())
+    later = [True] + [a[0] < b[0] for a, b in zip(tx, tx[1:])]
+    assert sorted((r.us, r.txid, r.later, r.first_us) for r in rows(spark, "source_bounds")) == [(*t, x, tx[0][0]) for t, x in zip(tx, later)]
+    want = {(hashlib.sha256(f"{t}:{c}".encode()).hexdigest(), us + c * 3_600_000_000, c) for us, t in tx for c in range(3)}
+    got = [tuple(r) for r in rows(spark, "scaled_copies")]
+    assert len(got) == len(want) and set(got) == want
+    found = lambda i: (i.prev_txid, i.prev_vout) in outs
+    assert sorted(map(tuple, rows(spark, "matched_inputs"))) == sorted((i.txid, i.vin) for i in ins if found(i))
+    assert sorted(map(tuple, rows(spark, "unresolved_inputs"))) == sorted((i.txid, i.vin) for i in ins if not found(i))
