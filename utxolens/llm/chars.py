@@ -60,3 +60,8 @@ def sample_binary(labelled: DataFrame, label: str, per_label: int) -> DataFrame:
     """At most per_label rows of label 0 and of label 1 in the same order; each task gives its own first ones only."""
     top = [labelled.where(F.col(label) == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for v in (0, 1)]
     return top[0].unionByName(top[1])
+
+
+def one_text(drawn: DataFrame, *keys: str) -> DataFrame:
+    """One row for each value of keys, with its smallest text (null only if it has no other)."""
+    return drawn.groupBy(*keys).agg(F.min("text").alias("text"))

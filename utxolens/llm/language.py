@@ -6,8 +6,8 @@ everything else is one blank; n-grams hash to 2**18 features. Nystrom landmarks
 language) turn the kernel into features, a one-versus-rest ridge regression learns the languages,
 and a batch is scored by two matrix products.
 
-It learns from at most `per_language` rows of each language, taken by the order of a hash of their
-ids, and only from rows that may be learned from. Defined results: `und` with score 0 for a null
+It learns from at most `per_language` ids of each language, taken by the order of a hash of the
+ids, with one text each (the smallest of a repeated id), and only from rows that may be learned from. Defined results: `und` with score 0 for a null
 text or one without a letter, or where nothing could be learned; null ids are held in the remainder
 of the empty string; repeated rows are scored each; an empty table gives an empty result; other
 columns are ignored.
@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chars import gram_hash, joined, kinds, learnable, sample_by
+from .chars import gram_hash, joined, kinds, learnable, one_text, sample_by
 from .common import table, text_slices
 
 _BITS, _GRAMS = 18, (1, 2, 3)
@@ -87,7 +87,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", labe
     """(doc_id, held_out, lang_pred, score) for each row."""
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("lang"))
     rows = source.where(F.col("lang").isNotNull() & learnable(source, "doc_id", modulus, held) & F.col("text").rlike(r"\p{L}"))
-    picked = sample_by(rows.select("doc_id", "lang"), "lang", per_language).select("doc_id", "lang", "rn").where("doc_id is not null")
+    picked = sample_by(rows.select("doc_id", "lang").distinct(), "lang", per_language).select("doc_id", "lang", "rn").where("doc_id is not null")
 
     def features(batches):
         import pyarrow as pa
@@ -97,7 +97,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", labe
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.binary())], ["lang", "rn", "grams"])
 
     # At most per_language ids of each language: a bounded side to broadcast.
-    drawn = rows.join(F.broadcast(picked), ["doc_id", "lang"]).select("lang", "text", "rn").limit(64 * per_language)
+    drawn = one_text(rows.join(F.broadcast(picked), ["doc_id", "lang"]), "lang", "rn").select("lang", "text", "rn")
     learned = drawn.mapInArrow(features, "lang string, rn int, grams binary").collect()
     learned = sorted((r for r in learned if r.grams), key=lambda r: (r.rn, r.lang, bytes(r.grams)))
     model = KernelModel([np.frombuffer(r.grams, "<i4") for r in learned], [r.lang for r in learned], landmarks) if learned else None

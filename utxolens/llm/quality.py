@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chars import joined, kinds, learnable, sample_binary
+from .chars import joined, kinds, learnable, one_text, sample_binary
 from .common import table, text_slices
 
 #: Token buckets, shapes, vector length, and neighbours on each side.
@@ -151,7 +151,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(pooled(b.column(1).to_pylist(), vectors)), pa.list_(pa.float32())), b.column(2)], ["y", "x", "h"])
 
     # At most per_label ids of each of two labels: a bounded side to broadcast.
-    rows = source.join(F.broadcast(drawn), "doc_id").select("y", "text", F.xxhash64("doc_id").alias("h")).limit(4 * per_label)
+    rows = one_text(source.join(F.broadcast(drawn), "doc_id"), "doc_id", "y").select("y", "text", F.xxhash64("doc_id").alias("h"))
     got = sorted(rows.mapInArrow(features, "y int, x array<float>, h long").collect(), key=lambda r: (r.h, r.x))
     y = np.array([r.y for r in got], float)
     if len(set(y)) < 2:

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chars import gram_hash, joined, kinds, learnable, sample_binary
+from .chars import gram_hash, joined, kinds, learnable, one_text, sample_binary
 from .common import table, text_slices
 from .quality import score_table
 
@@ -184,7 +184,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sizes, pa.list_(pa.int32())), pa.array(whole, pa.binary())], ["y", "h", "n", "bag"])
 
     # At most per_label ids of each of two labels: a bounded side to broadcast.
-    rows = source.join(F.broadcast(drawn), "doc_id").select("y", "text", F.xxhash64("doc_id").alias("h")).limit(4 * per_label)
+    rows = one_text(source.join(F.broadcast(drawn), "doc_id"), "doc_id", "y").select("y", "text", F.xxhash64("doc_id").alias("h"))
     got = sorted(rows.mapInArrow(features, "y int, h long, n array<int>, bag binary").toLocalIterator(), key=lambda r: (r.h, r.bag))
     y = np.array([r.y for r in got], float)
     if len(set(y.tolist())) < 2:
