@@ -14,7 +14,7 @@ from utxolens.llm.common import keep, table
 from utxolens.llm.mixing import WORD, mix_sources
 from utxolens.llm.packing import pack_documents
 from utxolens.llm.pii import redacted
-from utxolens.llm.simhash import near_duplicates
+from utxolens.llm.shingles import similar_texts, text_key
 from utxolens.session import prepare
 
 
@@ -25,8 +25,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: its smallest id; of rows that repeat that id, one."""
-    groups = keep(near_duplicates(docs).select("doc_id", "component_id"), "groups")
+    """One document of each near-duplicate group stays: its smallest id; of rows that repeat that id, one.
+
+    Groups connect texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
+    """
+    roots = docs.select("doc_id", text_key(F.col("text")).alias("key")).join(similar_texts(docs, words=5, similarity=0.8), "key")
+    names = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    groups = keep(roots.join(names, "root").select("doc_id", "component_id"), "groups")
     stay = groups.where("doc_id = component_id or component_id is null").groupBy("doc_id").count()
     once, again = stay.where("count = 1").select("doc_id"), stay.where("count > 1").select("doc_id")
     plain = docs.join(once, "doc_id", "left_semi")

@@ -1,8 +1,10 @@
 """Cases in which a part of the rows used to be left out."""
 
+import random
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 from test_llm import documents, labelled, words
 from utxolens.llm import language, quality, toxicity
 
@@ -27,3 +29,24 @@ def test_a_repeated_id_is_learned_from_once(spark, monkeypatch):
     toxicity.train(docs, known, per_label=20)
     quality.train(docs, known, per_label=20)
     assert seen == [Counter(i % 2 for i in ids)] * 2
+
+
+def test_the_stage_groups_by_jaccard(spark):
+    r, texts = random.Random(5), []
+    for i in range(40):
+        w = words(i, "abcdefgh", r.choice((3, 12, 60, 200))).split()
+        texts.append(" ".join(w))
+        for k in range(4):
+            v = list(w)
+            for _ in range(k):
+                v[r.randrange(len(v))] = f"new{i}x{k}"
+            texts.append("license line all have in common " + " ".join(v) if k == 3 else " ".join(v))
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)] + [(900, "", "en", "s"), (901, None, "en", "s")]
+    sets = [frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) for w in ((t or "").split() for _, t, _, _ in rows)]
+    up = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                up = [min(up[a], up[b]) if x in (up[a], up[b]) else x for x in up]
+    got = corpus_pipeline.dedup_stage(spark, documents(spark, rows), "")
+    assert sorted(x.doc_id for x in got.collect()) == sorted(rows[i][0] for i in set(up))

@@ -1,0 +1,112 @@
+"""Groups of texts whose word shingles are similar: exact Jaccard, found through prefixes.
+
+A text is the set of its hashed shingles of `words` words; texts with one set are one node. Sets are
+put in one order, shingles of seldom buckets first; of two sets with similarity t or more the first
+n - ceil(t * n) + 1 shingles of each share one. Pairs are checked on whole sets, in two steps: each
+node of a shared shingle with the smallest one there, then only nodes that are not yet connected.
+No shingle is capped, so many unlike texts that share a prefix shingle cost the square of their number.
+
+Defined results: null, empty and blank texts are one node; a text of fewer words is one shingle.
+"""
+
+from __future__ import annotations
+
+from math import ceil
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import connected_components, keep, text_slices
+
+_BITS = 18
+
+
+def text_key(text: Column) -> Column:
+    """What names a text: never null, so that it can be joined on."""
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+
+def shingle_set(text: bytes | None, words: int = 5):
+    """The distinct 64-bit hashes of the shingles; on bytes, so A-Z is lower-cased and white space is ASCII's."""
+    import numpy as np
+    import xxhash
+
+    w = text.lower().split() if text else []
+    if not w:
+        return np.zeros(0, np.uint64)
+    x, k = np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w)), min(words, len(w))
+    h = np.full(len(w) - k + 1, k, np.uint64)
+    for j in range(k):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + x[j : j + len(h)]
+    return np.unique(h ^ (h >> np.uint64(32)))
+
+
+def similar_texts(df: DataFrame, text_col: str = "text", *, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(key, root) for each distinct text_key; texts have one root if pairs of at least this similarity connect them."""
+    text = F.col(text_col).cast("string")
+    source = df.select(text_key(text).alias("key"), text.cast("binary").alias("text"))
+
+    def buckets(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        total = np.zeros(1 << _BITS, np.int64)
+        for b in text_slices(batches):
+            for t in b.column(1).to_pylist():
+                np.add.at(total, (shingle_set(t, words) >> np.uint64(64 - _BITS)).astype(np.int64), 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
+
+    import numpy as np
+
+    often = np.zeros(1 << _BITS, np.int64)
+    counted = source.mapInArrow(buckets, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    often[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
+
+    def prefixes(batches):
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        for b in text_slices(batches):
+            node, size, first = [], [], []
+            for t in b.column(1).to_pylist():
+                s = shingle_set(t, words)
+                node.append(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63))
+                size.append(len(s))
+                n = len(s) - ceil(similarity * len(s) - 1e-9) + 1 if len(s) else 0
+                first.append(s[np.lexsort((s, often[(s >> np.uint64(64 - _BITS)).astype(np.int64)]))[:n]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["key", "node", "n", "first"])
+
+    def whole(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in text_slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array([shingle_set(t, words).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["node", "shingles"])
+
+    marks = keep(source.mapInArrow(prefixes, "key string, node long, n int, first array<long>"), "prefixes")
+    names = keep(marks.select("key", "node").distinct(), "nodes")
+    rows = marks.select("node", "n", F.explode("first").alias("token"))
+    ends = rows.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("token", "least")
+    shared = keep(rows.join(ends, "token").select("token", "node", "n", "least").distinct(), "shared")
+    need = shared.select("node").distinct().join(names.groupBy("node").agg(F.min("key").alias("key")), "node")
+    texts = source.join(need, "key").select("key", "text", "node")
+    sets = keep(texts.mapInArrow(whole, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+
+    def alike(pairs):
+        x = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        both = F.size(F.array_intersect("x", "y"))
+        return x.where(both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b")
+
+    links = keep(alike(shared.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()), "links")
+    roots = keep(connected_components(links), "roots")
+    rest = shared.join(roots, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
+    open_ = rest.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("token")
+    rest = keep(rest.join(open_, "token", "left_semi"), "rest")
+    x, y = (rest.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "root")]) for side in "ab")
+    fits = (F.col("n_a") >= similarity * F.col("n_b") - 1e-9) & (F.col("n_b") >= similarity * F.col("n_a") - 1e-9)
+    pairs = x.join(y, "token").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & fits)
+    more = alike(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
+    roots = connected_components(links.unionByName(more))
+    return names.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
