@@ -6,12 +6,12 @@ again as the next one's documents. All but the last return the columns of docume
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from utxolens.llm import quality
 from utxolens.llm.common import keep, table
-from utxolens.llm.mixing import WORD, mix_sources
+from utxolens.llm.mixing import mix_sources
 from utxolens.llm.packing import pack_documents
 from utxolens.llm.pii import redacted
 from utxolens.llm.shingles import similar_texts, text_key
@@ -24,21 +24,32 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return docs.where(quality.score_column(score, F.col("text")) >= 0.3)
 
 
+def row_key(columns: list[str]) -> Column:
+    """What names a row: never null, and equal only for rows that are equal in all columns."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(F.md5(F.col(c).cast("string").cast("binary")), F.lit("-")) for c in columns]).cast("binary"))
+
+
+def with_rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Documents with their row key, joined with chosen (row, copies, ...): one of the `copies` equal rows each."""
+    keyed = docs.withColumn("row", row_key(docs.columns))
+    once = keyed.join(chosen.where("copies = 1"), "row")
+    again = chosen.where("copies > 1")
+    if again.isEmpty():  # else the texts would be dealt out a second time
+        return once
+    one = F.row_number().over(Window.partitionBy("row").orderBy("row"))
+    return once.unionByName(keyed.join(again, "row").withColumn("rn", one).where("rn = 1").select(once.columns))
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: its smallest id; of rows that repeat that id, one.
+    """One row of each near-duplicate group stays: its smallest id's, ids that are null last, then by its contents.
 
     Groups connect texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
     """
-    roots = docs.select("doc_id", text_key(F.col("text")).alias("key")).join(similar_texts(docs, words=5, similarity=0.8), "key")
-    names = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    groups = keep(roots.join(names, "root").select("doc_id", "component_id"), "groups")
-    stay = groups.where("doc_id = component_id or component_id is null").groupBy("doc_id").count()
-    once, again = stay.where("count = 1").select("doc_id"), stay.where("count > 1").select("doc_id")
-    plain = docs.join(once, "doc_id", "left_semi")
-    if again.isEmpty():  # else the texts would be dealt out a second time
-        return plain
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars"))
-    return plain.unionByName(docs.join(again, "doc_id", "left_semi").withColumn("rn", one).where("rn = 1").select(docs.columns))
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), row_key(docs.columns).alias("row"))
+    rows = rows.groupBy("doc_id", "key", "row").agg(F.count("*").alias("copies"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "row", "copies")
+    best = rows.join(similar_texts(docs, words=5, similarity=0.8), "key").groupBy("root").agg(F.min(order).alias("best"))
+    return with_rows(docs, keep(best.select("best.row", "best.copies"), "stay")).select(docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +64,9 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents that take no words go. Ids are those of the documents; a repeated document repeats its id.
     """
-    ids = keep(mix_sources(docs).select("doc_id", "size", "taken").where("taken > 0").groupBy("doc_id", "size").agg(F.max("taken").alias("taken")), "taken")
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.withColumn("size", size).join(ids, ["doc_id", "size"])
+    keyed = docs.withColumn("row", row_key(docs.columns))
+    ids = mix_sources(keyed, carry=("row",)).groupBy("row", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("copies"))
+    sized = with_rows(docs, keep(ids.where("taken > 0"), "taken"))
     copies = F.expr("sequence(0L, (taken - 1) div size)")
     rows = sized.withColumn("copy", F.explode(copies)).withColumn("words", F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size")))
     first = F.expr(r"array_join(slice(regexp_extract_all(text, '[ \\t-\\r]*[^ \\t-\\r]+', 0), 1, cast(words as int)), '')")

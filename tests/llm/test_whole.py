@@ -6,7 +6,7 @@ from collections import Counter
 
 import corpus_pipeline
 from test_llm import documents, labelled, words
-from utxolens.llm import language, quality, toxicity
+from utxolens.llm import language, mixing, quality, toxicity
 
 
 def test_every_language_gives_its_rows(spark, monkeypatch):
@@ -50,3 +50,18 @@ def test_the_stage_groups_by_jaccard(spark):
                 up = [min(up[a], up[b]) if x in (up[a], up[b]) else x for x in up]
     got = corpus_pipeline.dedup_stage(spark, documents(spark, rows), "")
     assert sorted(x.doc_id for x in got.collect()) == sorted(rows[i][0] for i in set(up))
+
+
+def test_null_and_repeated_ids_keep_their_texts(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    a, b, c, d, e = (words(i, "abcdefgh", 40) for i in range(5))
+    rows = [(None, a, "en", "s"), (None, b, "en", None), (1, c, "en", "s"), (1, d, "en", "s"), (2, c, "en", "s"), (2, e, "en", "s"), (2, e, "en", "s"), (0, e, "en", "t")]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], schema)
+    stay = corpus_pipeline.dedup_stage(spark, docs, "")
+    kept = sorted(((r.doc_id, r.text, r.source) for r in stay.collect()), key=str)
+    assert kept == sorted([(None, a, "s"), (None, b, None), (1, c, "s"), (1, d, "s"), (0, e, "t")], key=str)
+    for given in (stay, docs):
+        taken = sum(r.taken for r in mixing.mix_sources(given).collect())
+        mixed = corpus_pipeline.mix_stage(spark, given, "").collect()
+        assert sum(len(r.text.split()) for r in mixed) == taken
+    assert any(r.doc_id is None for r in mixed)

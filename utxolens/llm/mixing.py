@@ -57,12 +57,12 @@ def _budget_end(rows: DataFrame, plan: DataFrame, bucket: str, room: str, out: s
     return plan.join(ends, "g", "left")
 
 
-def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weight=prose_weight, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for each row; taken counts words, repeats and a cut last document included."""
+def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weight=prose_weight, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS, carry: tuple = ()) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) and the carried columns for each row; taken counts words, repeats and a cut last document included."""
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.col(text_col).cast("string").alias("t"))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.col(text_col).cast("string").alias("t"), *carry)
     u = (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(2.0**48)
-    rows = rows.select("doc_id", "source", "size", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")).alias("g"), (-F.log(u) / weight(F.col("t"), F.col("size"))).alias("key"))
+    rows = rows.select(*carry, "doc_id", "source", "size", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")).alias("g"), (-F.log(u) / weight(F.col("t"), F.col("size"))).alias("key"))
     at = F.floor(F.col("key") / (1 + F.col("key")) * _BUCKETS * _BUCKETS)
     rows = keep(rows.withColumn("b1", F.floor(at / _BUCKETS).cast("int")).withColumn("b2", F.pmod(at, F.lit(_BUCKETS)).cast("int")), "keys")
     plan = source_targets(rows, share, most, weights)
@@ -75,9 +75,9 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     last = (F.col("b1") == F.col("e1")) & (F.col("b2") == F.col("e2"))
     full = (F.col("b1") < F.col("e1")) | ((F.col("b1") == F.col("e1")) & (F.col("b2") < F.col("e2")))
     even = placed.where(~F.coalesce(last, F.lit(False))).withColumn("part", F.when(full, F.col("size")).otherwise(0))
-    before = Window.partitionBy("g").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("g").orderBy("key", F.col("doc_id").asc_nulls_last(), "size", *carry).rowsBetween(Window.unboundedPreceding, -1)
     edge = placed.where(last).withColumn("part", F.least("size", F.greatest(F.lit(0), F.col("room2") - F.coalesce(F.sum("size").over(before), F.lit(0)))))
-    columns = ["doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken")]
+    columns = ["doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"), *carry]
     return even.select(columns).unionByName(edge.select(columns))
 
 
