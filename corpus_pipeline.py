@@ -76,8 +76,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of the documents that are left."""
-    return pack_documents(docs)
+    """Token sequences of the documents that are left, with their ids."""
+    return pack_documents(docs, with_ids=True)
 
 
 STAGES = [("quality", quality_stage), ("near_duplicates", dedup_stage), ("personal_data", pii_stage), ("mixing", mix_stage), ("packing", packing_stage)]

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 from test_llm import documents, labelled, words
 from utxolens.llm import language, mixing, quality, toxicity
 
@@ -65,3 +66,9 @@ def test_null_and_repeated_ids_keep_their_texts(spark):
         mixed = corpus_pipeline.mix_stage(spark, given, "").collect()
         assert sum(len(r.text.split()) for r in mixed) == taken
     assert any(r.doc_id is None for r in mixed)
+
+
+def test_the_pipeline_ends_with_token_ids(spark):
+    docs = documents(spark, [(i % 3, words(i, "abcdefgh", 40), "en", "s") for i in range(6)])
+    got = corpus_pipeline.packing_stage(spark, docs, "").collect()
+    assert got and all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got)
