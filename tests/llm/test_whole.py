@@ -6,8 +6,9 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
-from test_llm import documents, labelled, words
-from utxolens.llm import language, mixing, quality, toxicity
+from test_llm import documents, labelled, prose, words
+from tokenizers import Tokenizer
+from utxolens.llm import language, mixing, quality, tokens, toxicity
 
 
 def test_every_language_gives_its_rows(spark, monkeypatch):
@@ -72,3 +73,12 @@ def test_the_pipeline_ends_with_token_ids(spark):
     docs = documents(spark, [(i % 3, words(i, "abcdefgh", 40), "en", "s") for i in range(6)])
     got = corpus_pipeline.packing_stage(spark, docs, "").collect()
     assert got and all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got)
+
+
+def test_ids_are_the_default_tokenizers_but_for_the_literal():
+    default = Tokenizer.from_file(tokens.default_vocabulary())
+    ids = lambda t: np.frombuffer(tokens.Encoder(tokens.default_vocabulary()).batch([t])[0], "<u4").tolist()
+    for t in ("", "two  words \n\n it's 12", "<|endoftext", prose(3, 200)):
+        assert ids(t) == default.encode(t, add_special_tokens=False).ids
+    t = "a <|endoftext|> b"
+    assert 50256 in default.encode(t, add_special_tokens=False).ids and 50256 not in ids(t), "the README states this"
