@@ -8,7 +8,7 @@ import corpus_pipeline
 import numpy as np
 from test_llm import documents, labelled, prose, words
 from tokenizers import Tokenizer
-from utxolens.llm import language, mixing, quality, tokens, toxicity
+from utxolens.llm import language, mixing, quality, tokens, toxicity, vectors
 
 
 def test_every_language_gives_its_rows(spark, monkeypatch):
@@ -82,3 +82,11 @@ def test_ids_are_the_default_tokenizers_but_for_the_literal():
         assert ids(t) == default.encode(t, add_special_tokens=False).ids
     t = "a <|endoftext|> b"
     assert 50256 in default.encode(t, add_special_tokens=False).ids and 50256 not in ids(t), "the README states this"
+
+
+def test_each_vector_length_is_searched(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, r.normal(size=4 + 4 * (i % 2)).tolist()) for i in range(60)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vectors.nearest(table, table, k=3, share=1.0).collect()
+    assert Counter(x.query_id for x in got) == {i: 3 for i in range(60)} and all((x.query_id - x.vec_id) % 2 == 0 for x in got)

@@ -16,6 +16,7 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil, sqrt
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -252,7 +253,7 @@ class MultiIndex:
 
 
 def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, k: int = 20, sample: int = 4096, share: float = 0.97, shard: int = 1 << 16) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k largest inner products by multi-index hashing.
+    """(query_id, rank, vec_id, score): each query's k largest inner products with vectors of its length, by multi-index hashing.
 
     Codes and radius are fitted on `sample` vectors, taken by the order of a hash of their ids. All
     vectors lie in shards of about `shard` rows, each with its own substring tables; blocks of
@@ -266,6 +267,10 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_co
     base, asked = use(df), use(queries)
     first = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     base = keep(base.distinct().withColumn("rn", first).where(F.col("rn") <= k + 1).drop("rn"), "vectors")
+    lengths = sorted(r[0] for r in base.select(F.size("embedding")).distinct().collect())
+    if len(lengths) > 1:  # each length has its own codes and radius
+        of = lambda t, n: t.where(F.size(vector_col) == n)
+        return reduce(DataFrame.unionByName, [nearest(of(df, n), of(queries, n), id_col, vector_col, k=k, sample=sample, share=share, shard=shard) for n in lengths])
     n = base.count()
     picked = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
     empty = "query_id long, rank int, vec_id long, score double"
