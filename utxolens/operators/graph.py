@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import keep
+from ..session import forget, keep
 from .spends import OUTPOINT, linking_transactions, prevouts, resolve_inputs, spend_resolution, unique_spends
 
 
@@ -47,10 +47,11 @@ def graph_edges(tx: DataFrame, tx_in: DataFrame, tx_out: DataFrame, obs: DataFra
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) with root the smallest node reached over edges (a, b); large and small stars in turn.
+    """(node, root) with root the smallest node reached over edges (a, b) of any orderable type; large and small stars in turn.
 
     A large star ties each node's greater neighbours to its smallest one, a small star its smaller ones and itself, so long
-    chains fold in few rounds. Each round is written once to the shared folder: plans stay short and lost executors are survived.
+    chains fold in few rounds. Each round is written once to the shared folder: plans stay short and lost executors are
+    survived. Loops and edges with a null end are ignored.
     """
     pairs = lambda df: df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     stars = keep(pairs(edges), "stars")
@@ -60,7 +61,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = keep(pairs(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))), "stars")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         own = least.select("a", F.col("m").alias("b"))
-        stars = keep(pairs(large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(own)), "stars")
+        fresh = keep(pairs(large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(own)), "stars")
+        forget(stars, large)
+        stars = fresh
         if stars.join(stars.select(F.col("a").alias("b")), "b", "left_semi").isEmpty() and stars.groupBy("a").count().where("count > 1").isEmpty():
             break
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

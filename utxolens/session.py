@@ -39,13 +39,35 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir, or on a local master one of our own where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kept-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
+
+
 def keep(df, tag: str):
-    """Write df once in the folder all executors share (spark.checkpoint.dir) and read it back."""
+    """Write df once in the shared folder and read it back: plans stay short and lost executors are survived."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kept-"))
-        root = spark.sparkContext.getCheckpointDir()
-    path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_path = path
+    return out
+
+
+def forget(*kept) -> None:
+    """Delete kept tables that no later plan reads."""
+    for df in kept:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.kept_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def shuffle_tasks(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions: named in repartition() it is not merged down by bytes, where cost is not bytes."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
