@@ -1,14 +1,15 @@
-"""Pieces that several training-data operators share: table access, kept tables, components."""
+"""Pieces that several training-data operators share."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..session import prepare
+from ..operators.graph import components as connected_components
+from ..session import forget, keep, prepare, shared_dir, shuffle_tasks
+
+__all__ = ["connected_components", "forget", "keep", "matrix", "new_path", "shuffle_tasks", "sorted_groups", "spanning_forest", "table", "text_slices"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,64 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kept-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, tag: str) -> DataFrame:
-    """Write df once in the shared folder and read it back: it cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.kept_path = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Delete a kept table that no later plan reads."""
-    spark, path = df.sparkSession, df.kept_path
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root): for each end of an edge (a, b: longs) the smallest node it can reach.
-
-    Minimum labels move along the edges and every round also jumps to the label's own label, so
-    long chains halve. A round is two equi-joins whose skewed side AQE can split, a map-side
-    combined minimum, and one kept table; nothing is collected but one changed-or-not flag.
-    Self-loops and nulls are ignored. An empty edge table gives an empty result.
-    """
-    spark = edges.sparkSession
-    e = edges.where("a is not null and b is not null and a <> b").distinct()
-    e = keep(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = keep(e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"), F.lit(True).alias("moved")), "labels")
-    while not labels.where("moved").isEmpty():
-        near = labels.select(F.col("node").alias("b"), F.col("label").alias("near"))
-        best = e.join(near, "b").groupBy("a").agg(F.min("near").alias("near"))
-        step = labels.join(best, labels.node == best.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        after = step.join(jump, "label", "left").select("node", F.coalesce(F.least("label", "further"), "label").alias("label"), "old")
-        fresh = keep(after.select("node", "label", (F.col("label") < F.col("old")).alias("moved")), "labels")
-        forget(labels)
-        labels = fresh
-    forget(e)
-    return labels.select("node", F.col("label").alias("root"))
-
-
-def text_slices(batches, n_bytes: int = 1 << 20):
-    """Arrow batches whose first column is text's companion and second is text, cut to about n_bytes of text each.
+def text_slices(batches, n_bytes: int = 1 << 20, text: int | str = 1):
+    """Arrow batches cut to about n_bytes of their text column each.
 
     Python objects of a slice are freed before the next, so memory follows the slice, not the batch.
     """
@@ -83,7 +32,7 @@ def text_slices(batches, n_bytes: int = 1 << 20):
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         group = np.cumsum(size + 64) // n_bytes
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):

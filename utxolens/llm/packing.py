@@ -2,11 +2,12 @@
 
 Lengths fall into reciprocal-capacity classes: class k holds lengths in (C/(k+1), C/k], and each of
 its bins takes exactly k pieces. Every worker fills its classes' bins alone, so there is no shuffle
-and a lost task is simply run again. A document may be cut anywhere, so what class k would waste is
-kept small: whole sequences come off first, and a remainder that would waste more than
-`waste` of its bin gives up a piece of exactly C//(k+1) ids and goes on with the rest. The bins a
-worker leaves unfilled are joined end to end and cut at C; its very last sequence is cut at powers
-of two, which need no padding.
+and a lost task is simply run again. A document longer than C gives up whole sequences first; what is
+left of it, and every other document, stays whole in its class. A full bin's gap takes the
+longest of the worker's waiting short documents that fit, and then, if more than `waste` of the
+bin is still empty, the next ids of one document that is cut up for this (the filler), so few documents are cut. The
+bins a worker leaves unfilled are joined end to end and cut at C; its very last sequence is cut
+at powers of two, which need no padding.
 
 Defined results: null text is empty text (its document is the one end id); null ids stay null;
 repeated rows are packed once each; an empty table gives an empty result; other columns are ignored.
@@ -15,6 +16,7 @@ repeated rows are packed once each; an empty table gives an empty result; other
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,25 +28,18 @@ from .tokens import default_vocabulary, encoder
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def harmonic_pieces(length: int, capacity: int, waste: float) -> Iterator[int]:
-    """Piece lengths of one document, first whole sequences, then class-sized pieces."""
-    while length >= capacity:
-        yield capacity
-        length -= capacity
-    while length:
-        k = capacity // length
-        if capacity - k * length <= waste * capacity:
-            yield length
-            return
-        yield capacity // (k + 1)
-        length -= capacity // (k + 1)
-
-
 class Harmonic:
-    """One worker's bins. place() and finish() give (sequence, offset, piece), a piece being (doc, start, length, rest)."""
+    """One worker's bins; add() and finish() give (sequence, offset, piece), a piece being (doc, start, length, rest).
+
+    cut(piece, n) gives a piece's first n ids and the rest. At most `waiting` short pieces (an eighth of C or less) are
+    held back for gaps; a class's open bin holds its pieces until it is full.
+    """
 
-    def __init__(self, capacity: int, first: int):
-        self.capacity, self.next, self.open = capacity, first, {}
+    def __init__(self, capacity: int, first: int, cut, waste: float = 0.01, waiting: int = 1024):
+        self.capacity, self.next, self.cut, self.spare, self.waiting = capacity, first, cut, int(waste * capacity), waiting
+        self.open: dict[int, list] = {}
+        self.short: list[tuple] = []  # (length, order, piece), ascending
+        self.filler, self.order = None, 0
 
     def _bin(self, pieces: list) -> Iterator[tuple]:
         at = 0
@@ -53,18 +48,44 @@ class Harmonic:
             at += p[2]
         self.next += 1
 
-    def place(self, piece: tuple) -> Iterator[tuple]:
+    def _fill(self, pieces: list) -> list:
+        gap = self.capacity - sum(p[2] for p in pieces)
+        while gap and self.short and (i := bisect_right(self.short, (gap, self.order))):
+            pieces.append(self.short.pop(i - 1)[2])
+            gap -= pieces[-1][2]
+        while gap > self.spare and self.filler:
+            piece, self.filler = (self.filler, None) if self.filler[2] <= gap else self.cut(self.filler, gap)
+            pieces.append(piece)
+            gap -= piece[2]
+            if self.filler is None and self.open:  # the next one comes out of an open bin
+                k = min(self.open)
+                self.filler = self.open[k].pop()
+                if not self.open[k]:
+                    del self.open[k]
+        return pieces
+
+    def add(self, piece: tuple) -> Iterator[tuple]:
+        """Place a document, whole sequences of it first."""
+        while piece[2] > self.capacity:
+            head, piece = self.cut(piece, self.capacity)
+            yield from self._bin([head])
         k = self.capacity // piece[2]
-        bin_ = self.open.setdefault(k, [])
-        bin_.append(piece)
-        if len(bin_) == k:
-            del self.open[k]
-            yield from self._bin(bin_)
-
-    def finish(self, cut) -> Iterator[tuple]:
-        """Join the pieces of unfilled bins end to end; cut(piece, n) gives its first n ids and the rest."""
-        left = [p for k in sorted(self.open) for p in self.open[k]]
-        self.open = {}
+        if k >= 8 and len(self.short) < self.waiting:
+            self.order += 1
+            insort(self.short, (piece[2], self.order, piece))
+        elif self.filler is None and piece[2] < self.capacity - self.spare:
+            self.filler = piece
+        else:
+            bin_ = self.open.setdefault(k, [])
+            bin_.append(piece)
+            if len(bin_) == k:
+                del self.open[k]
+                yield from self._bin(self._fill(bin_))
+
+    def finish(self) -> Iterator[tuple]:
+        """Join what is left end to end."""
+        left = [p for k in sorted(self.open) for p in self.open[k]] + [s[2] for s in self.short] + ([self.filler] if self.filler else [])
+        self.open, self.short, self.filler = {}, [], None
         total = sum(p[2] for p in left)
         todo = left[::-1]
         while total:
@@ -74,7 +95,7 @@ class Harmonic:
             while room:
                 p = todo.pop()
                 if p[2] > room:
-                    p, rest = cut(p, room)
+                    p, rest = self.cut(p, room)
                     todo.append(rest)
                 bin_.append(p)
                 room -= p[2]
@@ -92,8 +113,8 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         from pyspark import TaskContext
 
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-        bins = Harmonic(capacity, TaskContext.get().partitionId() << 40)
         cut = lambda p, n: ((p[0], p[1], n, p[3], p[4][: 4 * n]), (p[0], p[1] + n, p[2] - n, p[3], p[4][4 * n :]))
+        bins = Harmonic(capacity, TaskContext.get().partitionId() << 40, cut, waste)
 
         def rows(placed):
             cols = list(zip(*((p[0], p[1], p[2], zlib.crc32(p[4]), p[3], seq, at) for seq, at, p in placed))) or [()] * len(names)
@@ -106,12 +127,9 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             placed = []
             for doc, ids in zip(b.column(0).to_pylist(), encoder(path).batch(b.column(1).to_pylist())):
                 ids += end
-                n, start = len(ids) // 4, 0
-                for size in harmonic_pieces(n, capacity, waste):
-                    placed += bins.place((doc, start, size, n, ids[4 * start : 4 * (start + size)]))
-                    start += size
+                placed += bins.add((doc, 0, len(ids) // 4, len(ids) // 4, ids))
             yield rows(placed)
-        yield rows(list(bins.finish(cut)))
+        yield rows(list(bins.finish()))
 
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))

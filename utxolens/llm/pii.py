@@ -119,12 +119,14 @@ def spans_text(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def redact(text: str | None, spans: list[tuple[int, int, int]] | None = None) -> str | None:
-    """The text with each span, or run of overlapping spans, replaced by its first kind in angle brackets."""
+def redact(text: str | None, kinds: tuple[str, ...] = KINDS) -> str | None:
+    """The text with each span of these kinds, or run of overlapping ones, replaced by its first kind in angle brackets."""
     if not text:
         return text
     parts, done, kind = [], 0, None
-    for a, k, b in find_spans(text) if spans is None else spans:
+    for a, k, b in find_spans(text):
+        if KINDS[k] not in kinds:
+            continue
         if a < done and kind is not None:
             done = max(done, b)
             continue
@@ -133,14 +135,17 @@ def redact(text: str | None, spans: list[tuple[int, int, int]] | None = None) ->
     return "".join(parts) + text[done:]
 
 
-def redacted(text: Column) -> Column:
-    """A column's texts with personal data replaced."""
+def redacted(text: Column, kinds: tuple[str, ...] = KINDS) -> Column:
+    """A column's texts with personal data of these kinds replaced."""
 
-    @F.pandas_udf("string")
     def run(texts):
-        return texts.map(redact, na_action="ignore")
+        import pyarrow as pa
+
+        batch = pa.RecordBatch.from_arrays([texts], ["text"])
+        parts = [pa.array([redact(t, kinds) for t in b.column(0).to_pylist()], pa.string()) for b in text_slices([batch], 4 << 20, text=0)]
+        return pa.concat_arrays(parts or [pa.array([], pa.string())])
 
-    return run(text)
+    return F.arrow_udf(run, "string")(text.cast("string"))
 
 
 def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -132,9 +132,10 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         total = context_sums(batches, index)
         some = np.flatnonzero(np.abs(total).sum(1))
         if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(list(total[some].astype(np.float32)), pa.list_(pa.float32()))], ["bucket", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(list(total[some].astype(np.int64)), pa.list_(pa.int64()))], ["bucket", "c"])
 
-    sums = source.mapInArrow(contexts, "bucket long, c array<float>").groupBy("bucket").agg(F.array(*[F.sum(F.col("c")[d]) for d in range(DIM)]).alias("c"))
+    # Whole numbers, so that sums do not depend on their order and reruns agree.
+    sums = source.mapInArrow(contexts, "bucket long, c array<long>").groupBy("bucket").agg(F.array(*[F.sum(F.col("c")[d]) for d in range(DIM)]).alias("c"))
     context = np.zeros((BUCKETS, DIM), np.float32)
     for r in sums.collect():  # BUCKETS rows at most
         context[r.bucket] = r.c
@@ -164,16 +165,13 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score_column(score, text: Column) -> Column:
     """A column of scores; the texts of a batch are taken about a megabyte at a time."""
 
-    @F.pandas_udf("double")
     def run(texts):
-        import pandas as pd
         import pyarrow as pa
 
-        values = pa.array(texts.where(texts.notna(), None), pa.string())
-        batch = pa.RecordBatch.from_arrays([pa.nulls(len(values)), values], ["none", "text"])
-        return pd.Series(np.concatenate([score(b.column(1).to_pylist()) for b in text_slices([batch])] or [np.zeros(0)]))
+        batch = pa.RecordBatch.from_arrays([texts], ["text"])
+        return pa.array(np.concatenate([score(b.column(0).to_pylist()) for b in text_slices([batch], text=0)] or [np.zeros(0)]))
 
-    return run(text)
+    return F.arrow_udf(run, "double")(text.cast("string"))
 
 
 def score_table(df: DataFrame, score, id_col: str, text_col: str, modulus: int, held: int, threshold: float) -> DataFrame:

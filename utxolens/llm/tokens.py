@@ -5,12 +5,12 @@ other than white space, so a text is cut there and each chunk is encoded once pe
 `Encoder` keeps the ids of short chunks (bounded) and hands the new ones of a batch to the
 `tokenizers` library in one call. A chunk that is plain Latin letters, perhaps with ASCII
 punctuation behind, is one or two pre-tokens, so the library's BPE model gets them directly; every
-other chunk goes through the whole tokenizer. The ids are those of encoding the whole text at once.
+other chunk goes through the whole tokenizer. A text with the literal of an added token (an end
+marker, say) goes through it uncut. The ids are those of encoding the whole text at once.
 """
 
 from __future__ import annotations
 
-import json
 import re
 from array import array
 
@@ -49,10 +49,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        bare = json.loads(self.tokenizer.to_str())
-        bare |= {"added_tokens": [], "pre_tokenizer": None}
-        self.model = Tokenizer.from_str(json.dumps(bare))
+        #: Literals that the library takes out of a text before it is cut into pre-tokens.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.merge = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
         self.space = self.letters[32]
         self.kept: dict[str, bytes] = {}
@@ -75,7 +74,7 @@ class Encoder:
                 whole.append(p)
         names = list(cores)
         shaped = [self.space + c if c.isascii() else self.space + c.encode().decode("latin-1").translate(self.letters) for c in names]
-        cores = dict(zip(names, self._ids(self.model, shaped)))
+        cores = {c: array("I", [t.id for t in self.merge(x)]).tobytes() for c, x in zip(names, shaped)}
         out = dict(zip(whole, self._ids(self.tokenizer, [" " + p for p in whole])))
         kept, marks = self.kept, self.marks
         for p, core in cut.items():
@@ -92,6 +91,16 @@ class Encoder:
         return out
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; one that holds an added token's literal goes through the whole tokenizer."""
+        odd = [i for i, t in enumerate(texts) if t and any(a in t for a in self.added)]
+        if not odd:
+            return self._batch(texts)
+        out = self._batch(["" if t and any(a in t for a in self.added) else t for t in texts])
+        for i, ids in zip(odd, self._ids(self.tokenizer, [texts[i] for i in odd])):
+            out[i] = ids
+        return out
+
+    def _batch(self, texts: list[str | None]) -> list[bytes]:
         rows, holes, new, get = [], [], set(), self.kept.get
         for t in texts:
             parts = chunks(t) if t else [""]
