@@ -18,12 +18,12 @@ def prevout_resolve(d: Domain):
     return spends.resolve_inputs(d.tx_in, d.tx_out).select("txid", "vin", "prev_txid", "prev_vout", "prev_amount", "prev_addr")
 
 
-@query("SELECT txid, vin FROM tx_in i WHERE EXISTS (SELECT 1 FROM tx_out o WHERE o.txid = i.prev_txid AND o.vout = i.prev_vout AND o.part % 2 = 0)")
-def matched_inputs(d: Domain):  # against all outputs; the SQL of this and the next looks at even parts only
+@query("SELECT txid, vin FROM tx_in i WHERE EXISTS (SELECT 1 FROM tx_out o WHERE o.txid = i.prev_txid AND o.vout = i.prev_vout)")
+def matched_inputs(d: Domain):
     return spends.matched_inputs(d.tx_in, d.tx_out).select("txid", "vin")
 
 
-@query("SELECT txid, vin FROM tx_in i WHERE NOT EXISTS (SELECT 1 FROM tx_out o WHERE o.txid = i.prev_txid AND o.vout = i.prev_vout AND o.part % 2 = 0)")
+@query("SELECT txid, vin FROM tx_in i WHERE NOT EXISTS (SELECT 1 FROM tx_out o WHERE o.txid = i.prev_txid AND o.vout = i.prev_vout)")
 def unresolved_inputs(d: Domain):
     return spends.unresolved_inputs(d.tx_in, d.tx_out).select("txid", "vin")
 
@@ -120,9 +120,9 @@ def emerging_hub(d: Domain):
 
 
 @query(_FEATURES + _RAPID + """, e AS (SELECT address AS addr, spent_us - spent_us % 86400000000 AS start_us, count(*) AS events, min(delay_us) / 1e6 AS shortest_delay, median(delay_us) / 1e6 AS median_delay FROM rapid GROUP BY ALL)
-    SELECT f.addr, f.seconds, f.start_us, transactions, events, shortest_delay, median_delay, least(100, 45 + 10 * events)::DOUBLE AS score FROM f JOIN e ON f.addr = e.addr AND f.start_us = e.start_us WHERE seconds = 86400 AND transactions >= 1""")
+    SELECT f.addr, f.seconds, f.start_us, transactions, events, shortest_delay, median_delay, least(100, 45 + 10 * events)::DOUBLE AS score FROM f JOIN e ON f.addr = e.addr AND f.start_us = e.start_us WHERE seconds = 86400 AND transactions >= 3""")
 def rapid_redistribution(d: Domain):
-    return windows.rapid_redistribution(windows.window_features(windows.memberships(d.tx_out)), spends.rapid_spends(d.tx_in, d.tx_out, d.tx), 1, 86400)
+    return windows.rapid_redistribution(windows.window_features(windows.memberships(d.tx_out)), spends.rapid_spends(d.tx_in, d.tx_out, d.tx), 3, 86400)
 
 
 _FOUND = _FEATURES + ", found AS (" + " UNION ALL ".join(_rule(*r, s) for s in windows.SPANS for r in (("concentrated_collection", 2, 25, 15), ("emerging_hub", 3, 20, 10))) + ")"

@@ -1,17 +1,18 @@
 """The canonical tables derived from a star schema, once for Spark and once for the SQL oracle.
 
 An order is a transaction, its lines are outputs, and a line spends the previous line of the same
-part; the line after one line in 97 claims that line's outpoint a second time. Events are network observations. One
-template serves both dialects; they differ in epoch arithmetic only.
+part; the line after one line in 97 claims that line's outpoint a second time, and one transaction in 173 also claims an outpoint
+that is not in the ledger. Events are network observations. One template serves both dialects; they differ in epoch arithmetic only.
 """
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import prepare
+from ..session import keep, prepare
 
 _TEMPLATE = {
     "tx": """SELECT o_orderkey AS seq, o_orderkey AS txid,
@@ -31,7 +32,9 @@ _TEMPLATE = {
             WINDOW w AS (PARTITION BY part ORDER BY us, txid, vout)
         UNION ALL
         SELECT CASE WHEN (txid * 31 + vout) % 97 = 0 THEN lead(txid) OVER w END AS txid, lag(txid) OVER w AS prev_txid, lag(vout) OVER w AS prev_vout, lag(addr) OVER w AS prev_addr FROM tx_out
-            WINDOW w AS (PARTITION BY part ORDER BY us, txid, vout)) claims
+            WINDOW w AS (PARTITION BY part ORDER BY us, txid, vout)
+        UNION ALL
+        SELECT txid, -1 - txid AS prev_txid, 0 AS prev_vout, NULL AS prev_addr FROM tx_out WHERE vout = 0 AND txid % 173 = 0) claims
         WHERE prev_txid IS NOT NULL AND txid IS NOT NULL AND txid <> prev_txid) spends""",
     "obs": """SELECT event_id AS seq, event_id AS obs_id, event_id * 7 % 15013 AS txid,
         concat('10.', CAST(user_id % 5 AS STRING), '.', CAST(user_id % 40 AS STRING), '.1') AS src_ip,
@@ -73,7 +76,7 @@ ORACLE_PRELUDE = "WITH RECURSIVE " + ",\n".join(f"{name} AS ({_spell(sql, True)}
 
 
 class Domain:
-    """The star tables and the derived ones, each planned when it is first asked for."""
+    """A snapshot of the star tables and the derived ones: each of these is written once for a session and folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = prepare(spark), sf_dir
@@ -82,11 +85,13 @@ class Domain:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def _derive(self, name: str, **tables: DataFrame) -> DataFrame:
-        sql = _spell(_TEMPLATE[name], False)
-        for t in tables:
-            sql = sql.replace(f"FROM {t} ", f"FROM {{{t}}} AS {t} ").replace(f"JOIN {t} ", f"JOIN {{{t}}} AS {t} ").replace(f"FROM {t}\n", f"FROM {{{t}}} AS {t}\n")
-            sql = sql.removesuffix(f"FROM {t}") + (f"FROM {{{t}}} AS {t}" if sql.endswith(f"FROM {t}") else "")
-        return self.spark.sql(sql, **tables)
+        known = self.spark.__dict__.setdefault("_utxolens_snapshots", {})
+        if (self.sf_dir, name) not in known:
+            sql = _spell(_TEMPLATE[name], False)
+            for t in tables:
+                sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}} AS {t}", sql)
+            known[self.sf_dir, name] = keep(self.spark.sql(sql, **tables), name)
+        return known[self.sf_dir, name]
 
     @cached_property
     def tx(self) -> DataFrame:

@@ -28,15 +28,12 @@ def graph_edges(d: Domain):
     return graph.graph_edges(d.tx, d.tx_in, d.tx_out, d.obs)
 
 
-# The queries take every transaction's inputs. The SQL's fixpoint is over every fifth transaction's only (SQL recursion has no
-# pointer jumping), so it differs from them; tests/test_plans.py holds them against plain Python.
-_CLUSTER = _STATS + """, sp AS (SELECT DISTINCT r.txid, coalesce(nullif(address, ''), prev_addr) AS addr FROM r JOIN st USING (txid) LEFT JOIN eq USING (txid) WHERE n_addr >= 2 AND NOT (n_in >= 3 AND coalesce(max_equal, 0) >= 3) AND coalesce(nullif(address, ''), prev_addr) IS NOT NULL),
-    ce AS (SELECT DISTINCT min(addr) OVER (PARTITION BY txid) AS a, addr AS b FROM sp), both_ways AS (SELECT a, b FROM ce WHERE a <> b UNION SELECT b, a FROM ce WHERE a <> b)"""
-
-
-_CLUSTER = ", tx_in_all AS (SELECT * FROM tx_in)" + _CLUSTER.replace("FROM tx_in i", "FROM (SELECT * FROM tx_in WHERE txid % 5 = 0) i")
-_CC = _CLUSTER + """, reach(node, other) AS (SELECT a, a FROM both_ways UNION SELECT reach.node, both_ways.b FROM reach JOIN both_ways ON reach.other = both_ways.a),
-    cl AS (SELECT node AS addr, concat('E-', substr(md5(min(other)), 1, 12)) AS entity_id FROM reach GROUP BY node)"""
+# The SQL's fixpoint holds one row a node: a smaller label of a neighbour replaces a node's own until none does.
+_CC = _STATS + """, sp AS (SELECT DISTINCT r.txid, coalesce(nullif(address, ''), prev_addr) AS addr FROM r JOIN st USING (txid) LEFT JOIN eq USING (txid) WHERE n_addr >= 2 AND NOT (n_in >= 3 AND coalesce(max_equal, 0) >= 3) AND coalesce(nullif(address, ''), prev_addr) IS NOT NULL),
+    ce AS (SELECT DISTINCT min(addr) OVER (PARTITION BY txid) AS a, addr AS b FROM sp), both_ways AS MATERIALIZED (SELECT a, b FROM ce WHERE a <> b UNION SELECT b, a FROM ce WHERE a <> b),
+    cc(node, label) USING KEY (node) AS (SELECT a, least(a, min(b)) FROM both_ways GROUP BY a
+        UNION SELECT e.a, min(cc.label) FROM cc JOIN both_ways e ON e.b = cc.node JOIN recurring.cc AS k ON k.node = e.a WHERE cc.label < k.label GROUP BY e.a),
+    cl AS (SELECT node AS addr, concat('E-', substr(md5(label), 1, 12)) AS entity_id FROM cc)"""
 
 
 @query(_CC + "SELECT * FROM cl")

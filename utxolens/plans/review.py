@@ -92,8 +92,8 @@ def multiset_fingerprint(d: Domain):
     return ranking.multiset_fingerprint(d.obs.select("obs_id", "txid", "src_ip"))
 
 
-@query("SELECT txid, us, coalesce(lag(us) OVER (ORDER BY us, txid) < us, true) AS later, min(us) OVER () AS first_us FROM tx WHERE txid % 50 = 0")
-def source_bounds(d: Domain):  # over all of tx; the SQL is over one row in 50
+@query("SELECT txid, us, coalesce(lag(us) OVER (ORDER BY us, txid) < us, true) AS later, min(us) OVER () AS first_us FROM tx")
+def source_bounds(d: Domain):
     # Not later than its predecessor is who shares its time with one: no global order is needed.
     later = F.col("us").isNull() | (F.row_number().over(Window.partitionBy("us").orderBy("txid")) == 1)
     return d.tx.select("txid", "us", later.alias("later")).crossJoin(F.broadcast(d.tx.agg(F.min("us").alias("first_us"))))
