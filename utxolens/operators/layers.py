@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import ranked, running
 from .spends import OUTPOINT, prevouts, resolve_inputs
 from .windows import window_start
 
@@ -60,10 +61,9 @@ def stouffer(rows: DataFrame, layers: list[str], weights: list[float]) -> DataFr
     """Weighted Stouffer fusion of one-sided p-values against the reference; equal scores are ranked once."""
     out, norm = rows, sum(w * w for w in weights) ** 0.5
     for c in layers:
-        counts = rows.groupBy(c).agg(F.count_if("is_ref").alias("n"))
-        down = Window.orderBy(F.desc(c)).rowsBetween(Window.unboundedPreceding, 0)
-        p = (F.sum("n").over(down) + 1) / (F.sum("n").over(Window.partitionBy()) + 1)
-        ranks = counts.select(c, F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), p)).alias(f"p_{c}"))
+        counts = running(rows.groupBy(c).agg(F.count_if("is_ref").alias("n")), [F.desc(c)], {"above": "n"})
+        p = (F.col("above") + 1) / (F.col("whole") + 1)
+        ranks = counts.crossJoin(F.broadcast(rows.agg(F.count_if("is_ref").alias("whole")))).select(c, F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), p)).alias(f"p_{c}"))
         out = out.join(ranks, c)
     z = sum(w * normal_quantile(1 - F.col(f"p_{c}")) for c, w in zip(layers, weights)) / norm
     return out.select("txid", z.alias("fused"))
@@ -83,8 +83,7 @@ def as_of(tx: DataFrame, tx_in: DataFrame, us) -> tuple[DataFrame, DataFrame]:
 
 def perturb(rows: DataFrame, column: str, every: int, order: list[str]) -> DataFrame:
     """Every n-th row in order loses a column."""
-    rn = F.row_number().over(Window.orderBy(*order))
-    return rows.withColumn("_rn", rn).withColumn(column, F.when(F.col("_rn") % every != 0, F.col(column))).drop("_rn")
+    return ranked(rows, [F.col(c) for c in order], "_rn").withColumn(column, F.when(F.col("_rn") % every != 0, F.col(column))).drop("_rn")
 
 
 def copies(rows: DataFrame, id_col: str, us_col: str, n: int, shift_us: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import ranked
+
 
 def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
@@ -22,9 +24,9 @@ def band(status: Column) -> Column:
 
 def workflow_queue(found: DataFrame, capacity: int) -> DataFrame:
     """Round robin over families inside each band: the first `capacity` are the queue, the rest the backlog."""
-    ranked = found.withColumn("band", band(F.col("status"))).withColumn("family_rank", F.row_number().over(Window.partitionBy("band", "rule").orderBy(F.desc("score"), "id")))
-    place = F.row_number().over(Window.orderBy("band", "family_rank", "rule", "id"))
-    return ranked.withColumn("position", place).withColumn("queued", F.col("position") <= capacity)
+    rows = found.withColumn("band", band(F.col("status"))).withColumn("family_rank", F.row_number().over(Window.partitionBy("band", "rule").orderBy(F.desc("score"), "id")))
+    placed = ranked(rows, [F.col(c) for c in ("band", "family_rank", "rule", "id")], "position")
+    return placed.withColumn("position", F.col("position").cast("int")).withColumn("queued", F.col("position") <= capacity)
 
 
 def review_queue(scored: DataFrame, entity: str, score: str, capacity: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import ranked, running
 from .spends import resolve_inputs
 
 
@@ -60,6 +61,9 @@ def reference_rank(rows: DataFrame, value: str, group: list[str] | None = None)
     """Share of reference values at or below each value: distinct values are counted first, so the order is over those."""
     g = group or []
     counts = rows.groupBy(*g, value).agg(F.count_if("is_ref").alias("n"))
+    if not g:
+        ranks = running(counts, [F.col(value)], {"up": "n"}).crossJoin(F.broadcast(rows.agg(F.count_if("is_ref").alias("whole"))))
+        return rows.join(ranks.select(value, (F.col("up") / F.col("whole")).alias("rank")), value)
     w = Window.partitionBy(*g).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*g)
     ranks = counts.select(*g, value, (F.sum("n").over(w) / F.sum("n").over(whole)).alias("rank"))
@@ -69,10 +73,12 @@ def reference_rank(rows: DataFrame, value: str, group: list[str] | None = None)
 def ecod(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Outlier score from empirical tails: for each column the larger of -ln of both tails and of the skewed one, summed."""
     long = rows.select("txid", "is_ref", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("txid", "is_ref", "x.c", "x.v")
-    counts = long.groupBy("c", "v").agg(F.count_if("is_ref").alias("n"))
-    up, whole = Window.partitionBy("c").orderBy("v").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("c")
-    at_most, total = F.sum("n").over(up), F.sum("n").over(whole)
-    tails = counts.select("c", "v", F.greatest(at_most / total, 1 / total).alias("left"), F.greatest((total - at_most + F.col("n")) / total, 1 / total).alias("right"))
+    # One running total over all columns' values; a column's own starts at what the columns before it hold.
+    counts = running(long.groupBy("c", "v").agg(F.count_if("is_ref").alias("n")), [F.col("c"), F.col("v")], {"up": "n"})
+    totals = long.groupBy("c").agg(F.count_if("is_ref").alias("total"))
+    totals = totals.withColumn("start", F.coalesce(F.sum("total").over(Window.orderBy("c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    at_most, total = F.col("up") - F.col("start"), F.col("total")
+    tails = counts.join(F.broadcast(totals), "c").select("c", "v", F.greatest(at_most / total, 1 / total).alias("left"), F.greatest((total - at_most + F.col("n")) / total, 1 / total).alias("right"))
     skew = long.where("is_ref").groupBy("c").agg(F.skewness("v").alias("skew"))
     scored = long.join(tails, ["c", "v"]).join(F.broadcast(skew), "c")
     chosen = F.when(F.coalesce("skew", F.lit(0.0)) < 0, F.col("left")).otherwise(F.col("right"))
@@ -80,13 +86,14 @@ def ecod(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def hbos(rows: DataFrame, columns: list[str], bins: int = 32) -> DataFrame:
-    """Histogram score on the reference: -ln of a value's bin share, summed over columns."""
+    """Histogram score on the reference: -ln of a value's bin density over its column's largest, empty bins counting one row; summed over columns."""
     long = rows.select("txid", "is_ref", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("txid", "is_ref", "x.c", "x.v")
     edges = long.where("is_ref").groupBy("c").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
     at = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))))
     placed = long.join(F.broadcast(edges), "c").withColumn("bin", at)
-    counts = placed.groupBy("c", "bin").agg(F.count_if("is_ref").alias("k"))
-    return placed.join(counts, ["c", "bin"]).groupBy("txid").agg(F.sum(-F.log((F.col("k") + 1) / (F.col("n") + bins))).alias("score"))
+    counts = placed.groupBy("c", "bin").agg(F.greatest(F.count_if("is_ref"), F.lit(1)).alias("k"))
+    counts = counts.join(F.broadcast(counts.groupBy("c").agg(F.max("k").alias("top"))), "c")
+    return placed.join(F.broadcast(counts), ["c", "bin"]).groupBy("txid").agg(F.sum(-F.log(F.col("k") / F.col("top"))).alias("score"))
 
 
 def kaplan_meier(durations: DataFrame) -> DataFrame:
@@ -99,31 +106,84 @@ def kaplan_meier(durations: DataFrame) -> DataFrame:
     return risk.select("stratum", "duration", F.when(dead, 0.0).otherwise(F.exp(F.sum(F.log(1 - F.when(F.col("d") == F.col("at_risk"), 0.0).otherwise(F.col("d") / F.col("at_risk")))).over(up))).alias("survival"))
 
 
-def population_bursts(times: DataFrame, seconds: int = 900, half_life: float = 96.0, warm: int = 8, floor: float = 0.25) -> DataFrame:
-    """Per bucket from the first time on: the count and its Poisson surprise over a baseline of strictly earlier buckets.
+def bucket_series(times: DataFrame, seconds: int = 900) -> DataFrame:
+    """(family, bucket, n): counts from the first time of all families on, empty buckets included; times is (family, us, member).
 
-    The series is one row a bucket (time, not data, bounds it), so it is folded in one ordered array.
+    Buckets start at the earliest time of any row; only members are counted.
     """
     low = times.agg(F.min("us").alias("low"), F.max("us").alias("high"))
     size = seconds * 1_000_000
-    bucket = F.floor((F.col("us") - F.col("low")) / size)
-    counts = times.crossJoin(F.broadcast(low)).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    counts = times.where("member").crossJoin(F.broadcast(low)).groupBy("family", F.floor((F.col("us") - F.col("low")) / size).alias("bucket")).agg(F.count("*").alias("n"))
     grid = low.select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("high") - F.col("low")) / size))).alias("bucket"))
-    series = grid.join(counts, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).cast("double").alias("n"))
+    grid = times.select("family").distinct().crossJoin(F.broadcast(grid))
+    return grid.join(counts, ["family", "bucket"], "left").select("family", "bucket", F.coalesce("n", F.lit(0)).cast("double").alias("n"))
+
+
+def burst_baseline(series: DataFrame, half_life: float = 96.0, warm: int = 8, floor: float = 0.25) -> DataFrame:
+    """Each bucket's exponentially weighted mean of strictly earlier buckets, started at the mean of the first ones.
+
+    A series is one row a bucket (time, not data, bounds it), so each family's is folded in one task, one pass.
+    """
     decay = 0.5 ** (1 / half_life)
-    packed = series.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "n"))), lambda x: x.n).alias("ns"))
-    start = F.aggregate(F.slice("ns", 1, warm), F.lit(0.0), lambda a, x: a + x) / F.least(F.lit(warm), F.size("ns"))
-    step = lambda acc, x: F.struct((acc.m * decay + x * (1 - decay)).alias("m"), F.array_append(acc.b, acc.m).alias("b"))
-    run = packed.withColumn("r", F.aggregate("ns", F.struct(start.alias("m"), F.array().cast("array<double>").alias("b")), step))
-    rows = run.select(F.posexplode(F.arrays_zip("ns", F.col("r.b").alias("b"))).alias("bucket", "z"))
-    return rows.select(F.col("bucket").cast("long").alias("bucket"), F.col("z.ns").alias("n"), F.greatest(F.col("z.b"), F.lit(floor)).alias("baseline"))
+
+    def fold(pdf):
+        pdf = pdf.sort_values("bucket")
+        n, mean, out = pdf["n"].tolist(), float(pdf["n"].head(warm).mean()), []
+        for v in n:
+            out.append(max(mean, floor))
+            mean = decay * mean + (1 - decay) * v
+        return pdf.assign(baseline=out)
+
+    return series.groupBy("family").applyInPandas(fold, "family string, bucket long, n double, baseline double")
+
+
+def population_bursts(times: DataFrame, seconds: int = 900, half_life: float = 96.0, warm: int = 8, floor: float = 0.25) -> DataFrame:
+    """(family, bucket, n, baseline, surprise): counts and -ln P(X >= n) at the rate of strictly earlier buckets."""
+    from .layers import poisson_surprise
+
+    b = burst_baseline(bucket_series(times, seconds), half_life, warm, floor)
+    return b.withColumn("surprise", poisson_surprise(F.col("n"), F.col("baseline")))
+
+
+def inherited_bursts(times: DataFrame, seconds: int = 900) -> DataFrame:
+    """(txid, burst): a transaction has the strongest surprise of its own bucket among the families it belongs to, else 0."""
+    low = times.agg(F.min("us").alias("low"))
+    bucket = F.floor((F.col("us") - F.col("low")) / (seconds * 1_000_000))
+    rows = times.crossJoin(F.broadcast(low)).select("txid", "family", "member", bucket.alias("bucket"))
+    scored = rows.join(population_bursts(times, seconds).select("family", "bucket", "surprise"), ["family", "bucket"])
+    return scored.groupBy("txid").agg(F.max(F.when(F.col("member"), F.col("surprise")).otherwise(0.0)).alias("burst"))
+
+
+def change_points(series: DataFrame, hazard: float = 1 / 240, longest: int = 400) -> DataFrame:
+    """(family, bucket, n, changed): online probability that a Poisson rate changed, over run lengths up to `longest`.
+
+    A run's rate has a Gamma(1, 1) prior, so a count's predictive is negative binomial. One pass for each family's series.
+    """
+
+    def fold(pdf):
+        from math import lgamma
+
+        import numpy as np
+
+        pdf = pdf.sort_values("bucket")
+        gamma = np.vectorize(lgamma, otypes=[float])
+        prob, a, b, out = np.ones(1), np.ones(1), np.ones(1), []
+        for v in pdf["n"].to_numpy():
+            like = np.exp(gamma(a + v) - gamma(a) - lgamma(v + 1) + a * np.log(b / (b + 1)) - v * np.log(b + 1))
+            both = prob * np.maximum(like, 1e-12)
+            prob = np.append(both.sum() * hazard, both * (1 - hazard))[: longest + 1]
+            prob /= prob.sum()
+            a, b = np.append(1.0, a + v)[: longest + 1], np.append(1.0, b + 1)[: longest + 1]
+            out.append(prob[0])
+        return pdf.assign(changed=out)
+
+    return series.groupBy("family").applyInPandas(fold, "family string, bucket long, n double, changed double")
 
 
 def average_precision(scored: DataFrame) -> DataFrame:
     """Tie-aware average precision and ROC area from (score, label): equal scores are one block, so rows are counted before any order."""
     blocks = scored.groupBy("score").agg(F.count("*").alias("n"), F.sum(F.col("label").cast("long")).alias("pos"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    b = blocks.select("n", "pos", F.sum("n").over(down).alias("cn"), F.sum("pos").over(down).alias("cp"))
+    b = running(blocks, [F.desc("score")], {"cn": "n", "cp": "pos"})
     t = b.agg(F.sum("n").alias("all"), F.sum("pos").alias("positives"), F.sum(F.col("pos") * F.col("cp") / F.col("cn")).alias("ap"), F.sum(F.col("pos") * ((F.col("cn") - F.col("cp")) - (F.col("n") - F.col("pos")) / 2)).alias("above"))
     return t.select("positives", (F.col("ap") / F.col("positives")).alias("average_precision"), (1 - F.col("above") / (F.col("positives") * (F.col("all") - F.col("positives")))).alias("roc_auc"))
 
@@ -136,7 +196,6 @@ def reliability_bins(scored: DataFrame) -> DataFrame:
 
 def pair_scores(rows: DataFrame) -> DataFrame:
     """Pairwise precision and recall of (predicted, truth) groupings from their contingency table."""
-    pairs = lambda df: df.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]
     cells = rows.groupBy("predicted", "truth").agg(F.count("*").alias("n"))
     by = lambda c, name: cells.groupBy(c).agg(F.sum("n").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias(name))
     both = cells.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("both"))
@@ -147,14 +206,16 @@ def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Rank correlation with average ranks; each side's distinct values are counted before they are ordered."""
 
     def ranks(c):
-        counts = rows.groupBy(c).agg(F.count("*").alias("k"))
-        w = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-        return counts.select(c, (F.coalesce(F.sum("k").over(w), F.lit(0)) + (F.col("k") + 1) / 2).alias(f"rank_{c}"))
+        counts = running(rows.groupBy(c).agg(F.count("*").alias("k")), [F.col(c)], {"up": "k"})
+        return counts.select(c, (F.col("up") - F.col("k") + (F.col("k") + 1) / 2).alias(f"rank_{c}"))
 
     return rows.join(ranks(a), a).join(ranks(b), b).agg(F.corr(f"rank_{a}", f"rank_{b}").alias("rho"))
 
 
-def rank_average(scores: DataFrame, layers: list[str]) -> Column:
-    """Mean of each layer's 0-to-1 rank, ties by txid."""
-    one = Window.partitionBy()
-    return sum((F.row_number().over(Window.orderBy(c, "txid")) - 1) / F.greatest(F.lit(1), F.count("*").over(one) - 1) for c in layers) / len(layers)
+def rank_average(scores: DataFrame, layers: list[str]) -> DataFrame:
+    """(txid, fused): the mean of each layer's 0-to-1 rank, ties by txid."""
+    out = scores.select("txid").crossJoin(F.broadcast(scores.agg(F.count("*").alias("whole"))))
+    for c in layers:
+        place = ranked(scores.select("txid", c), [F.col(c), F.col("txid")], f"r_{c}").select("txid", f"r_{c}")
+        out = out.join(place, "txid")
+    return out.select("txid", (sum((F.col(f"r_{c}") - 1) / F.greatest(F.lit(1), F.col("whole") - 1) for c in layers) / len(layers)).alias("fused"))

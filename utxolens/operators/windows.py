@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spends import rapid_spends, window_start
+from .ordered import ranked
+from .spends import window_start
 
 SPANS = (900, 3600, 86400)
 
@@ -79,7 +80,7 @@ def dedupe_and_rank(found: DataFrame, key: list[str], score: str, ties: list[Col
     """Keep each key's highest score (first by ties), then rank all by score."""
     first = Window.partitionBy(*key).orderBy(F.desc(score), *ties)
     kept = found.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
-    return kept.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), *ties)))
+    return ranked(kept, [F.desc(score), *ties]).withColumn("rank", F.col("rank").cast("int"))
 
 
 def trailing_count(rows: DataFrame, key: str, us: str, seconds: int) -> Column:
@@ -93,10 +94,10 @@ def prior_index(key: str, *order) -> Column:
 
 
 def expanding_rarity(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """-ln((earlier rows of the key + 1) / (earlier rows + classes)): the running rank needs one order over all rows."""
+    """-ln((earlier rows of the key + 1) / (earlier rows + classes))."""
     classes = rows.agg(F.count_distinct(key).alias("classes"))
-    ranked = rows.withColumn("prior_key", prior_index(key, *order)).withColumn("prior_all", F.row_number().over(Window.orderBy(*order)) - 1)
-    return ranked.crossJoin(F.broadcast(classes)).withColumn("rarity", -F.log((F.col("prior_key") + 1) / (F.col("prior_all") + F.col("classes"))))
+    placed = ranked(rows, [F.col(c) for c in order], "prior_all").withColumn("prior_all", F.col("prior_all") - 1).withColumn("prior_key", prior_index(key, *order))
+    return placed.crossJoin(F.broadcast(classes)).withColumn("rarity", -F.log((F.col("prior_key") + 1) / (F.col("prior_all") + F.col("classes"))))
 
 
 def recipient_history(tx_out: DataFrame) -> DataFrame:

@@ -37,10 +37,19 @@ _BUYER = ", wp AS (SELECT DISTINCT concat('c', o_custkey) AS wallet, asn AS key,
 
 @query(_BUYER + "SELECT wallet, key, n, total, (SELECT count(*) FROM te) AS tested, round(least(1.0, p * (SELECT count(*) FROM te)), 9) AS adjusted, n / total >= 0.6 AND least(1.0, p * (SELECT count(*) FROM te)) < 1e-3 AS flagged FROM pv")
 def network_correlation(d: Domain):
+    return _correlation(d, "asn")
+
+
+@query(_BUYER.replace("asn", "src_ip") + "SELECT wallet, key, n, total, (SELECT count(*) FROM te) AS tested, round(least(1.0, p * (SELECT count(*) FROM te)), 9) AS adjusted, n / total >= 0.6 AND least(1.0, p * (SELECT count(*) FROM te)) < 1e-3 AS flagged FROM pv")
+def endpoint_correlation(d: Domain):
+    return _correlation(d, "src_ip")
+
+
+def _correlation(d: Domain, dimension: str):
     orders = d.star("orders").select(F.col("o_orderkey").alias("txid"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("addr"))
     outs = orders.select((-F.col("txid") - 1).alias("txid"), F.lit(0).alias("vout"), "addr", F.col("addr").alias("address"), F.lit(1).cast("long").alias("amount"), F.lit(0).cast("long").alias("us"))
     ins = orders.select("txid", F.lit(0).alias("vin"), (-F.col("txid") - 1).alias("prev_txid"), F.lit(0).alias("prev_vout"), F.lit(None).cast("string").alias("address"))
-    return network.network_correlation(ins, outs, d.obs, "asn").withColumn("adjusted", F.round("adjusted", 9))
+    return network.network_correlation(ins, outs, d.obs, dimension).withColumn("adjusted", F.round("adjusted", 9))
 
 
 @query(""", se AS (SELECT DISTINCT txid, src_ip AS ip FROM obs), rt AS (SELECT ip, count(*) / (SELECT count(DISTINCT txid) FROM se) AS rate FROM se GROUP BY ip),
@@ -50,6 +59,19 @@ def relay_coherence(d: Domain):
     return network.relay_coherence(d.tx_in, d.tx_out, d.obs).select("ip", "children", "coherent", F.round("expected", 9).alias("expected"))
 
 
+_TAIL = "least(1.0, (SELECT sum(exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + i * ln({p}) + ({n} - i) * ln(1 - {p}))) FROM generate_series({k}, {n}) s(i)))"
+_RELAY = """, se AS (SELECT DISTINCT txid, src_ip AS ip FROM obs), rt AS (SELECT ip, count(*) / (SELECT count(DISTINCT txid) FROM se) AS rate FROM se GROUP BY ip), pr AS (SELECT DISTINCT i.txid, i.prev_txid AS parent, s.ip AS parent_ip FROM tx_in i JOIN se s ON s.txid = i.prev_txid),
+    pc AS (SELECT pr.txid, se.ip, bool_or(parent_ip = se.ip) AS same, count(DISTINCT parent) AS parents FROM pr JOIN se ON se.txid = pr.txid GROUP BY pr.txid, se.ip),
+    te AS (SELECT ip, count(*) AS children, count(*) FILTER (same) AS coherent, avg(1 - pow(1 - rate, parents)) AS expected FROM pc JOIN rt USING (ip) GROUP BY ip HAVING count(*) >= 3),
+    rp AS (SELECT *, (SELECT count(*) FROM te) AS tested, CASE WHEN coherent = 0 THEN 1.0 ELSE """ + _TAIL.format(n="children", k="coherent", p="expected") + """ END AS p FROM te)"""
+
+
+@query(_RELAY + "SELECT ip, children, coherent, round(expected, 9) AS expected, round(p, 9) AS p, tested, round(least(1.0, p * tested), 9) AS adjusted, coherent >= 3 AND coherent / children >= 0.5 AND least(1.0, p * tested) < 1e-3 AS flagged FROM rp")
+def relay_flags(d: Domain):
+    r = network.relay_flags(network.relay_coherence(d.tx_in, d.tx_out, d.obs))
+    return r.withColumns({c: F.round(c, 9) for c in ("expected", "p", "adjusted")})
+
+
 _V4 = "split_part(src_ip, '.', 1)::BIGINT * 16777216 + split_part(src_ip, '.', 2)::BIGINT * 65536 + split_part(src_ip, '.', 3)::BIGINT * 256 + split_part(src_ip, '.', 4)::BIGINT"
 _GEO = f", ips AS (SELECT DISTINCT src_ip, {_V4} AS ip FROM obs), rg AS (SELECT 167772160 + n_nationkey * 5000 AS s, 167772160 + n_nationkey * 5000 + 3999 AS e, n_name AS country FROM nation UNION ALL SELECT 167772160 + 65536 + n_nationkey * 40000, 167772160 + 65536 + n_nationkey * 40000 + 20000, n_name FROM nation WHERE n_nationkey > 3)"
 
@@ -133,10 +155,10 @@ def ecod(d: Domain):
 
 
 @query(_LONG + """, ed AS (SELECT c, min(v) AS lo, max(v) AS hi, count(*) AS n FROM lg WHERE is_ref GROUP BY c), pl AS (SELECT txid, is_ref, c, n, CASE WHEN hi = lo THEN 0 ELSE least(31, greatest(0, floor((v - lo) / (hi - lo) * 32))) END AS bin FROM lg JOIN ed USING (c)),
-    bc AS (SELECT c, bin, count(*) FILTER (is_ref) AS k FROM pl GROUP BY c, bin) SELECT txid, round(sum(-ln((k + 1) / (n + 32))), 6) AS score FROM pl JOIN bc USING (c, bin) GROUP BY txid""")
+    bc AS (SELECT *, max(k) OVER (PARTITION BY c) AS top FROM (SELECT c, bin, greatest(1, count(*) FILTER (is_ref)) AS k FROM pl GROUP BY c, bin)) SELECT txid, round(sum(-ln(k / top)), 6) + 0.0 AS score FROM pl JOIN bc USING (c, bin) GROUP BY txid""")
 def hbos(d: Domain):
     rows = d.tx.select("txid", "fee", (F.floor(F.col("us") / 3600000000) % 24).alias("hour")).join(stats.reference_set(d.tx), "txid")
-    return stats.hbos(rows, ["fee", "hour"]).select("txid", F.round("score", 6).alias("score"))
+    return stats.hbos(rows, ["fee", "hour"]).select("txid", (F.round("score", 6) + 0.0).alias("score"))
 
 
 _DUR = _RESOLVED + """, hz AS (SELECT max(us) AS h FROM tx), sp AS (SELECT prev_txid, prev_vout, min(t.us) AS us FROM tx_in i JOIN tx t USING (txid) GROUP BY prev_txid, prev_vout), du AS (SELECT o.script_type AS stratum, ((coalesce(sp.us, h) - o.us) // 3600000000) AS duration, sp.us IS NOT NULL AS event FROM tx_out o LEFT JOIN sp ON sp.prev_txid = o.txid AND sp.prev_vout = o.vout, hz)"""
@@ -152,11 +174,31 @@ def kaplan_meier(d: Domain):
     return stats.kaplan_meier(rows).withColumn("survival", F.round("survival", 9))
 
 
-@query(""", lo AS (SELECT min(us) AS low, max(us) AS high FROM tx), ct AS (SELECT (us - low) // 900000000 AS bucket, count(*) AS n FROM tx, lo GROUP BY 1), sr AS (SELECT g AS bucket, coalesce(n, 0)::DOUBLE AS n FROM (SELECT unnest(generate_series(0, (high - low) // 900000000)) AS g FROM lo) LEFT JOIN ct ON bucket = g),
-    st AS (SELECT avg(n) AS m FROM sr WHERE bucket < 8), ew(bucket, n, base) AS (SELECT bucket, n, m FROM sr, st WHERE bucket = 0 UNION ALL SELECT sr.bucket, sr.n, ew.base * pow(0.5::DOUBLE, 1 / 96.0::DOUBLE) + ew.n * (1 - pow(0.5::DOUBLE, 1 / 96.0::DOUBLE)) FROM ew JOIN sr ON sr.bucket = ew.bucket + 1)
-    SELECT bucket, n, round(greatest(base, 0.25::DOUBLE), 6) AS baseline FROM ew""")
+_FAMILIES = """, fm AS (SELECT txid, us, 'dear' AS family, fee >= 500 AS member FROM tx UNION ALL SELECT txid, us, 'seventh', txid % 7 = 0 FROM tx), lo AS (SELECT min(us) AS low, max(us) AS high FROM tx),
+    sr AS MATERIALIZED (SELECT family, bucket, coalesce(n, 0)::DOUBLE AS n FROM (SELECT family, unnest(generate_series(0, (high - low) // 900000000)) AS bucket FROM lo, (SELECT DISTINCT family FROM fm)) LEFT JOIN (SELECT family, (us - low) // 900000000 AS bucket, count(*) AS n FROM fm, lo WHERE member GROUP BY ALL) USING (family, bucket)),
+    ew(family, bucket, n, base) AS (SELECT family, bucket, n, (SELECT avg(n) FROM sr f WHERE f.bucket < 8 AND f.family = sr.family) FROM sr WHERE bucket = 0 UNION ALL SELECT sr.family, sr.bucket, sr.n, ew.base * pow(0.5::DOUBLE, 1 / 96.0::DOUBLE) + ew.n * (1 - pow(0.5::DOUBLE, 1 / 96.0::DOUBLE)) FROM ew JOIN sr ON sr.bucket = ew.bucket + 1 AND sr.family = ew.family),
+    pb AS (SELECT family, bucket, n, greatest(base, 0.25::DOUBLE) AS baseline, -ln(greatest(1e-12, 1 - (SELECT coalesce(sum(exp(-greatest(base, 0.25::DOUBLE) + i * ln(greatest(base, 0.25::DOUBLE)) - lgamma(i + 1))), 0) FROM generate_series(0, n::BIGINT - 1) s(i)))) AS surprise FROM ew)"""
+
+
+def _families(d: Domain):
+    dear = d.tx.select("txid", "us", F.lit("dear").alias("family"), (F.col("fee") >= 500).alias("member"))
+    return dear.unionByName(d.tx.select("txid", "us", F.lit("seventh").alias("family"), (F.col("txid") % 7 == 0).alias("member")))
+
+
+@query(_FAMILIES + "SELECT family, bucket, n, round(baseline, 6) AS baseline, round(surprise, 6) + 0.0 AS surprise FROM pb")
 def population_burst(d: Domain):
-    return stats.population_bursts(d.tx.select("us")).withColumn("baseline", F.round("baseline", 6))
+    b = stats.population_bursts(_families(d))
+    return b.withColumn("baseline", F.round("baseline", 6)).withColumn("surprise", F.round("surprise", 6) + 0.0)
+
+
+@query(_FAMILIES + "SELECT fm.txid, round(max(CASE WHEN member THEN surprise ELSE 0 END), 6) + 0.0 AS burst FROM fm CROSS JOIN lo JOIN pb ON pb.family = fm.family AND pb.bucket = (fm.us - low) // 900000000 GROUP BY fm.txid")
+def inherited_burst(d: Domain):
+    return stats.inherited_bursts(_families(d)).withColumn("burst", F.round("burst", 6) + 0.0)
+
+
+@query()
+def change_points(d: Domain):
+    return stats.change_points(stats.bucket_series(_families(d), 3600))
 
 
 _SCORED = ", sc AS (SELECT fee / 1000 AS score, txid % 10 < fee // 150 AS label FROM tx)"
@@ -189,4 +231,14 @@ def spearman(d: Domain):
 
 @query("SELECT txid, ((row_number() OVER (ORDER BY fee, txid) - 1) / greatest(1, count(*) OVER () - 1) + (row_number() OVER (ORDER BY us, txid) - 1) / greatest(1, count(*) OVER () - 1)) / 2 AS fused FROM tx")
 def rank_average_fuse(d: Domain):
-    return d.tx.select("txid", stats.rank_average(d.tx, ["fee", "us"]).alias("fused"))
+    return stats.rank_average(d.tx, ["fee", "us"])
+
+
+# Findings at levels under which the synthetic observations give some: the rule's own flags are in the queries above.
+@query(_BUYER + ", rf AS (SELECT 0)" + _RELAY.replace(", se AS", ", se AS", 1).replace("te AS (", "tr AS (").replace("FROM te)", "FROM tr)").replace("FROM te)", "FROM tr)").replace("p FROM te", "p FROM tr") + """, ff AS (SELECT concat('wallet:', wallet) AS entity_ref, 'relay_concentration' AS rule, round(least(1.0, p * (SELECT count(*) FROM te)), 9) AS adjusted FROM pv WHERE n / total >= 0.3
+    UNION ALL SELECT concat('endpoint:', ip), 'relay_flow_coherence', round(least(1.0, p * tested), 9) FROM rp WHERE coherent >= 1), sc AS (SELECT *, least(50.0, -log10(greatest(adjusted, 1e-50))) + 0.0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY adjusted, entity_ref) AS k FROM ff) WHERE k <= 500)
+    SELECT entity_ref, rule, adjusted, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, entity_ref, rule)::INT AS rank FROM sc""")
+def network_findings(d: Domain):
+    wallets = _correlation(d, "asn").withColumn("flagged", F.col("n") / F.col("total") >= 0.3)
+    relays = network.relay_flags(network.relay_coherence(d.tx_in, d.tx_out, d.obs)).withColumn("adjusted", F.round("adjusted", 9)).withColumn("flagged", F.col("coherent") >= 1)
+    return network.network_findings(wallets, relays).withColumn("score", F.round(F.col("score") + 0.0, 6))
