@@ -51,9 +51,16 @@ def learnable(table: DataFrame, id_col: str, modulus: int, held: int):
 
 
 def sample_by(labelled: DataFrame, label: str, per_label: int) -> DataFrame:
-    """At most per_label (under 1000, so that tasks cut their own rows first) rows of each label, by the order of a hash of doc_id."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    return labelled.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= per_label)
+    """At most per_label rows of each label, by the order of a hash of doc_id, with their place (rn).
+
+    A label's rows are counted first; only those whose hash lies below what four times per_label rows need are put in
+    order, so a label that holds most of the table is no larger a task than any other.
+    """
+    place = F.xxhash64("doc_id").bitwiseAND((1 << 62) - 1)
+    counts = labelled.groupBy(label).agg(F.count("*").alias("_n")).select(label, (F.lit(4.0 * per_label * (1 << 62)) / F.col("_n")).alias("_below"))
+    few = labelled.join(counts, label).where(place <= F.col("_below")).drop("_below")
+    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id").bitwiseAND((1 << 62) - 1), "doc_id")
+    return few.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= per_label)
 
 
 def sample_binary(labelled: DataFrame, label: str, per_label: int) -> DataFrame:
