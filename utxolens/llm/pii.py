@@ -32,7 +32,7 @@ SCHEMES = ("http://", "https://", "ftp://")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _REGION = re.compile(r"[0-9.\x20-]+")
-_IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
+_DIGITS = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL = re.compile(r"[^\s<>\"'`{}|\\^\[\]]+")
@@ -66,6 +66,20 @@ def _automaton():
     return _AUTOMATON
 
 
+def _addresses(text: str, at: int, end: int):
+    """Four runs of digits joined by single dots; each run is read once, so long runs cost what they are long."""
+    parts: list[tuple[int, int]] = []
+    for m in _DIGITS.finditer(text, at, end):
+        if parts and not (m.start() == parts[-1][1] + 1 and text[m.start() - 1] == "."):
+            parts = []
+        parts.append(m.span())
+        if len(parts) == 4:
+            values = [text[a:b].lstrip("0") for a, b in parts]
+            if all(len(v) <= 3 and int(v or 0) <= 255 for v in values):
+                yield parts[0][0], 1, parts[3][1]
+            parts = []
+
+
 def find_spans(text: str | None) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of every span, in order."""
     out: list[tuple[int, int, int]] = []
@@ -81,9 +95,7 @@ def find_spans(text: str | None) -> list[tuple[int, int, int]]:
             region_end = region.end()
             if region_end - at < 7:
                 continue
-            for m in _IP.finditer(text, at, region_end):
-                if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.groups()):
-                    out.append((m.start(), 1, m.end()))
+            out += _addresses(text, at, region_end)
             for m in _CARD.finditer(text, at, region_end):
                 digits = m[0].replace(" ", "").replace("-", "")
                 if 14 <= len(digits) <= 19 and luhn(digits):
