@@ -9,7 +9,8 @@ window, calibrated with its number of windows on documents that were not trained
 weighing as often as it occurs. Features the training met rarely count for less, unmet ones for
 nothing.
 
-It learns from at most `per_label` rows of each label, taken by the order of a hash of their ids, and
+It learns from at most `per_label` rows of each label, taken by the order of a hash of their ids, from
+at most `per_text` windows of each, spread evenly (so the driver holds some 160 MB at most), and
 only from rows that may be learned from. Defined results: null and empty texts have one empty window
 and get its calibrated score; without labels every score is 0.5; null ids are held in the remainder
 of the empty string; repeated rows are scored each; an empty table gives an empty result; other
@@ -162,8 +163,8 @@ class SubwordBags:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, modulus: int = 5, held: int = 0, per_label: int = 1600):
-    """A function from texts to scores."""
+def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, modulus: int = 5, held: int = 0, per_label: int = 1600, per_text: int = 128):
+    """A function from texts to scores; at most per_text windows of a text, evenly spread, are learned from, all are scored."""
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = known.where(learnable(known, "doc_id", modulus, held)).groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -179,8 +180,9 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             feature, cuts = feature[order], np.searchsorted(window[order], np.arange(len(text) + 1))
             bags = [np.unique(feature[x:z]).astype("<i4") for x, z in zip(cuts, cuts[1:])]
             ends = np.searchsorted(text, np.arange(b.num_rows + 1))
-            sizes = [[len(w) for w in bags[x:z]] for x, z in zip(ends, ends[1:])]
-            whole = [b"".join(w.tobytes() for w in bags[x:z]) for x, z in zip(ends, ends[1:])]
+            drawn = [[bags[x + k * (z - x) // min(z - x, per_text)] for k in range(min(z - x, per_text))] for x, z in zip(ends, ends[1:])]
+            sizes = [[len(w) for w in bag] for bag in drawn]
+            whole = [b"".join(w.tobytes() for w in bag) for bag in drawn]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sizes, pa.list_(pa.int32())), pa.array(whole, pa.binary())], ["y", "h", "n", "bag"])
 
     # At most per_label ids of each of two labels: a bounded side to broadcast.
