@@ -22,7 +22,7 @@ from math import ceil, sqrt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, keep, matrix, sorted_groups, spanning_forest, table
+from .common import connected_components, forget, keep, matrix, shuffle_tasks, sorted_groups, spanning_forest, table
 
 _UNUSABLE = "embedding is null or size(embedding) = 0 or exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) or not exists(embedding, x -> x <> 0)"
 
@@ -52,48 +52,58 @@ def _principal_axes(vectors: DataFrame) -> dict:
     return {d: np.linalg.eigh(m)[1][:, ::-1].copy() for d, m in out.items()}
 
 
-def tile_pairs(x, y, same: bool, threshold: float, axes):
-    """(i, j) of rows of x and y (both original vectors) with cosine >= threshold; i < j where they are the same tile."""
+def tile_pairs(x, y, same: bool, threshold: float, axes, rows: int = 512):
+    """(i, j) of rows of x and y (both original vectors) with cosine >= threshold; i < j where they are the same tile.
+
+    x is taken some rows at a time, so memory follows `rows` and not the tile.
+    """
     import numpy as np
 
     nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     p, q = (x / nx[:, None]) @ axes, (y / ny[:, None]) @ axes
     d = p.shape[1]
-    rest = lambda m, k: np.sqrt(np.maximum(0, (m[:, k:] ** 2).sum(1)))
-    floor, k, step = threshold - 1e-9, 0, max(4, d // 8)
-    total = np.zeros((len(p), len(q)))
-    while True:
-        total += p[:, k : k + step] @ q[:, k : k + step].T
-        k += step
-        alive = total + rest(p, k)[:, None] * rest(q, k)[None, :] >= floor
-        if k >= d or alive.mean() < 0.05:
-            break
-    if same:
-        alive &= np.arange(len(p))[:, None] < np.arange(len(q))[None, :]
-    i, j = np.nonzero(alive)
-    part = total[i, j]
-    while k < d and len(i):
-        part += np.einsum("nd,nd->n", p[i, k : k + step], q[j, k : k + step])
-        k += step
-        good = part + rest(p, k)[i] * rest(q, k)[j] >= floor
-        i, j, part = i[good], j[good], part[good]
-    out = []
-    for a in range(0, len(i), 1 << 16):  # the decision is made on the original vectors
-        u, v = i[a : a + (1 << 16)], j[a : a + (1 << 16)]
-        ok = np.einsum("nd,nd->n", x[u], y[v]) / (nx[u] * ny[v]) >= threshold
-        out.append((u[ok], v[ok]))
-    return tuple(np.concatenate(c) for c in zip(*out)) if out else (i, j)
-
-
-def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", *, threshold: float = 0.93, block: int = 1024) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for each row."""
+    floor, step = threshold - 1e-9, max(4, d // 8)
+    ends = list(range(step, d, step)) + [d]
+    rest = lambda m: {k: np.sqrt(np.maximum(0, (m[:, k:] ** 2).sum(1))) for k in ends}
+    rest_p, rest_q, out = rest(p), rest(q), []
+    for a in range(0, len(p), rows):
+        part, first = p[a : a + rows], a if same else 0  # the same tile: nothing left of its own rows
+        total = np.zeros((len(part), len(q) - first))
+        for done, k in zip([0, *ends], ends):
+            total += part[:, done:k] @ q[first:, done:k].T
+            alive = total + rest_p[k][a : a + rows, None] * rest_q[k][None, first:] >= floor
+            if k == d or alive.mean() < 0.05:
+                break
+        i, j = np.nonzero(alive)
+        value, i, j = total[i, j], i + a, j + first
+        if same:
+            i, j, value = i[i < j], j[i < j], value[i < j]
+        while k < d and len(i):
+            done, k = k, ends[ends.index(k) + 1]
+            value = value + np.einsum("nd,nd->n", p[i, done:k], q[j, done:k])
+            good = value + rest_p[k][i] * rest_q[k][j] >= floor
+            i, j, value = i[good], j[good], value[good]
+        for c in range(0, len(i), 1 << 16):  # the decision is made on the original vectors
+            u, v = i[c : c + (1 << 16)], j[c : c + (1 << 16)]
+            ok = np.einsum("nd,nd->n", x[u], y[v]) / (nx[u] * ny[v]) >= threshold
+            out.append((u[ok], v[ok]))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
+
+
+def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", *, threshold: float = 0.93, block: int = 4096) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for each row.
+
+    A vector is sent once to each block of its own slab and of the two beside it, so large blocks keep copies few; a tile's
+    memory does not follow its size squared.
+    """
     import numpy as np
 
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"), F.col(label_col).alias("label"))
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"), F.col(label_col).cast("string").alias("label"))
     bad = F.expr(f"label is null or vec_id is null or {_UNUSABLE}")
-    rows = rows.withColumn("node", F.when(~bad, F.xxhash64(F.col("label"), F.col("embedding"))))
-    classes = rows.where("node is not null").groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.first("node").alias("node"))
-    classes = keep(classes.withColumn("dim", F.size("embedding").cast("long")), "classes")
+    # Two hashes name a labelled vector; together with its smallest id they are a node, whose order is that of ids.
+    rows = rows.withColumn("h", F.when(~bad, F.struct(F.xxhash64("label", "embedding").alias("h1"), F.xxhash64(F.lit("b"), "embedding", "label").alias("h2"))))
+    classes = rows.where("h is not null").groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.first("h").alias("h"))
+    classes = keep(classes.select("label", "embedding", "first", "copies", "h.h1", "h.h2", F.size("embedding").cast("long").alias("dim")), "classes")
     axes, width = _principal_axes(classes), sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
 
     def slabs(batches):
@@ -106,47 +116,51 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
                 cell[dims == d] = np.floor(x @ axes[int(d)][:, 0] / np.linalg.norm(x, axis=1) / width)
             yield b.append_column("cell", pa.array(cell))
 
-    placed = classes.select("label", "embedding", "copies", "node", "dim").mapInArrow(slabs, f"label {dict(rows.dtypes)['label']}, embedding array<double>, copies long, node long, dim long, cell long")
-    placed = keep(placed.withColumn("slab", F.xxhash64("label", "dim")).drop("label"), "slabs")
-    counts = placed.groupBy("slab", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("own"))
-    along = Window.partitionBy("slab").orderBy("cell")
+    columns = ["label", "embedding", "first", "copies", "h1", "h2", "dim"]
+    placed = classes.select(columns).mapInArrow(slabs, "label string, embedding array<double>, first long, copies long, h1 long, h2 long, dim long, cell long")
+    placed = keep(placed.withColumn("slab", F.xxhash64("label", "dim")), "slabs")
+    counts = placed.groupBy("slab", "dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("own"))
+    along = Window.partitionBy("slab", "dim").orderBy("cell")
     beside = lambda f, step: F.when(f("cell").over(along) == F.col("cell") + step, f("own").over(along)).otherwise(0)
     counts = counts.withColumns({"below": beside(F.lag, -1), "above": beside(F.lead, 1)})
-    dealt = placed.join(counts, ["slab", "cell"]).withColumn("blk", F.pmod(F.hash("node"), F.col("own")))
+    dealt = placed.join(counts, ["slab", "dim", "cell"]).withColumn("blk", F.pmod(F.col("h2"), F.col("own")).cast("int"))
     meet = F.expr("""concat(
         transform(sequence(0, own - 1), j -> named_struct('c', cell, 'cross', 0, 'x', least(blk, j), 'y', greatest(blk, j), 'right', if(j < blk, 1, 0))),
         if(above = 0, array(), transform(sequence(0, above - 1), j -> named_struct('c', cell, 'cross', 1, 'x', blk, 'y', j, 'right', 0))),
         if(below = 0, array(), transform(sequence(0, below - 1), j -> named_struct('c', cell - 1, 'cross', 1, 'x', j, 'y', blk, 'right', 1))))""")
-    keys = ["slab", "c", "cross", "x", "y"]
-    tiles = dealt.select("slab", "node", "copies", "dim", "embedding", F.explode(meet).alias("t")).select("slab", "t.*", "node", "copies", "dim", "embedding")
+    keys = ["slab", "dim", "c", "cross", "x", "y"]
+    tiles = dealt.withColumn("t", F.explode(meet)).select("slab", "dim", "t.*", "label", "first", "h1", "h2", "copies", "embedding")
 
     def compare(batches):
         import pyarrow as pa
 
         for g in sorted_groups(batches, keys):
             d, right = g["dim"][0].as_py(), g["right"].to_numpy().astype(bool)
-            x, node, copies = matrix(g["embedding"], d), g["node"].to_numpy(), g["copies"].to_numpy()
+            x, copies, label = matrix(g["embedding"], d), g["copies"].to_numpy(), np.array(g["label"].to_pylist())
             one = not g["cross"][0].as_py() and g["x"][0].as_py() == g["y"][0].as_py()
             left, other = (np.arange(len(x)),) * 2 if one else (np.flatnonzero(~right), np.flatnonzero(right))
             if len(left) == 0 or len(other) == 0:
                 continue
             i, j = tile_pairs(x[left], x[other], one, threshold, axes[d])
             i, j = left[i], other[j]
+            i, j = i[label[i] == label[j]], j[label[i] == label[j]]
             links = np.bincount(i, copies[j], len(x)) + np.bincount(j, copies[i], len(x))
             moved, root = spanning_forest(len(x), i, j)
             some = np.flatnonzero(links)
-            a = np.concatenate((node[some], node[moved]))
-            b = pa.array(np.concatenate((node[some], node[root])), mask=np.arange(len(a)) < len(some))
-            n = pa.array(np.concatenate((links[some], np.zeros(len(moved)))).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(a), b, n], ["a", "b", "n"])
-
-    found = keep(tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long, n long"), "links")
-    linked = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "node")
-    roots = connected_components(found.where("b is not null").select("a", "b"))
-    info = classes.select("node", "first", "copies").join(linked, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    names = info.groupBy("root").agg(F.min("first").alias("component_id"))
-    info = info.join(names, "root").select("node", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
-    out = rows.select("vec_id", "node").join(info, "node", "left")
+            names = [g[c].to_numpy() for c in ("first", "h1", "h2")]
+            a, b = np.concatenate((some, moved)), np.concatenate((some, root))
+            n = np.concatenate((links[some], np.zeros(len(moved)))).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(v[at]) for at in (a, b) for v in names] + [pa.array(n)], [f"{s}{k}" for s in "ab" for k in range(3)] + ["n"])
+
+    shown = tiles.repartition(shuffle_tasks(df.sparkSession), *keys).sortWithinPartitions(*keys)
+    found = keep(shown.mapInArrow(compare, ", ".join(f"{s}{k} long" for s in "ab" for k in range(3)) + ", n long"), "links")
+    node = lambda *c: F.struct(*[F.col(x).alias(y) for x, y in zip(c, ("first", "h1", "h2"))])
+    linked = found.where("n > 0").groupBy(node("a0", "a1", "a2").alias("node")).agg(F.sum("n").alias("n"))
+    roots = connected_components(found.where("n = 0").select(node("a0", "a1", "a2").alias("a"), node("b0", "b1", "b2").alias("b")))
+    info = classes.select(node("first", "h1", "h2").alias("node"), "copies").join(linked, "node", "left").join(roots, "node", "left")
+    info = info.select(F.struct("node.h1", "node.h2").alias("h"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root.first", "node.first").alias("component_id"))
+    forget(placed)
+    out = rows.select("vec_id", "h").join(info, "h", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
@@ -156,11 +170,11 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- nearest neighbours -------------------------------------------------------------------------
 
-_PARTS, _PART_BITS = 8, 8
+_PARTS, _PART_BITS = 32, 8
 
 
 def fit_codes(sample, seed: int = 7, rounds: int = 30):
-    """(mean, projection) of 64 rotated sign bits: principal axes turned until signs lose least (ITQ)."""
+    """(mean, projection) of 256 rotated sign bits: principal axes turned until signs lose least (ITQ), from several starts."""
     import numpy as np
 
     rng, bits = np.random.default_rng(seed), _PARTS * _PART_BITS
@@ -179,7 +193,7 @@ def fit_codes(sample, seed: int = 7, rounds: int = 30):
 
 
 def codes(x, model):
-    """64-bit codes as rows of eight bytes."""
+    """Codes as rows of bytes, one for each substring."""
     import numpy as np
 
     mean, projection = model
@@ -189,7 +203,8 @@ def codes(x, model):
 def distances(a, b):
     import numpy as np
 
-    return np.bitwise_count(np.ascontiguousarray(a).view(np.uint64).ravel()[:, None] ^ np.ascontiguousarray(b).view(np.uint64).ravel()[None, :])
+    p, q = (np.ascontiguousarray(c).view(np.uint64) for c in (a, b))
+    return sum(np.bitwise_count(p[:, w, None] ^ q[None, :, w]).astype(np.int32) for w in range(p.shape[1]))
 
 
 def fit_radius(sample, model, k: int, share: float) -> int:
@@ -214,7 +229,7 @@ class MultiIndex:
         self.order = [np.argsort(self.code[:, s], kind="stable") for s in range(_PARTS)]
         self.first = [np.searchsorted(self.code[o, s], np.arange((1 << _PART_BITS) + 1)) for s, o in enumerate(self.order)]
         self.flips = [np.flatnonzero(np.bitwise_count(np.arange(1 << _PART_BITS, dtype=np.uint8)) <= r) for r in range(_PART_BITS + 1)]
-        self.words = self.code.view(np.uint64).ravel()
+        self.words = self.code.view(np.uint64)
 
     def within(self, code, radius: int):
         """Every row whose code differs from `code` in at most radius bits.
@@ -228,10 +243,10 @@ class MultiIndex:
         for s in range(_PARTS):
             r = min(_PART_BITS, budget - 1 + (s < more))
             if r >= 0:
-                for value in code[s] ^ self.flips[r]:
-                    seen[self.order[s][self.first[s][value] : self.first[s][value + 1]]] = True
+                first, order, values = self.first[s], self.order[s], code[s] ^ self.flips[r]
+                seen[np.concatenate([order[a:b] for a, b in zip(first[values], first[values + 1])])] = True
         rows = np.flatnonzero(seen)
-        return rows[np.bitwise_count(self.words[rows] ^ code.view(np.uint64)[0]) <= radius]
+        return rows[np.bitwise_count(self.words[rows] ^ code.view(np.uint64)).sum(1, dtype=np.int64) <= radius]
 
     def search(self, query_id, q, code, radius: int, k: int):
         """The k best inner products within the radius, which widens while it holds fewer than k others."""
@@ -244,7 +259,7 @@ class MultiIndex:
             if len(rows) >= k or radius >= bits:
                 break
             radius = min(bits, radius + _PARTS)
-        score = self.x[rows] @ q
+        score = (self.x[rows] * q).sum(1)  # row by row, so that equal vectors have equal scores wherever they stand
         if len(rows) > k:
             cut = score >= np.partition(score, len(score) - k)[len(score) - k]
             rows, score = rows[cut], score[cut]
@@ -252,13 +267,14 @@ class MultiIndex:
         return self.ids[rows[best]], score[best]
 
 
-def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, k: int = 20, sample: int = 4096, share: float = 0.97, shard: int = 1 << 16) -> DataFrame:
+def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, k: int = 20, sample: int = 4096, share: float = 0.97, shard: int = 1 << 14) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k largest inner products with vectors of its length, by multi-index hashing.
 
     Codes and radius are fitted on `sample` vectors, taken by the order of a hash of their ids. All
     vectors lie in shards of about `shard` rows, each with its own substring tables; blocks of
     queries visit every shard, each gives its k best after reranking on floats, and those are merged.
-    Of equal vectors only the k + 1 smallest ids can be results, so further copies stay out.
+    Of equal vectors only the k + 1 smallest ids can be results, so further copies stay out. A query id that repeats asks
+    with its smallest vector.
     """
     import numpy as np
 
@@ -280,7 +296,7 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_co
     few = np.array([r.embedding for r in picked if len(r.embedding) == dim])
     model = fit_codes(few)
     radius = fit_radius(few, model, k, share)
-    shards = max(ceil(n / shard), min(32, ceil(n / 256)))
+    shards = max(ceil(n / shard), min(8, ceil(n / 256)))
     # The number of query blocks keeps a block about as large as a shard.
     asked = asked.where(F.size("embedding") == dim).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     blocks = F.lit(max(1, ceil(n / shard / 16)))
