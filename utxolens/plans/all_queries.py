@@ -1,6 +1,6 @@
 """All registered queries; importing the modules registers them."""
 
-from . import core, flows, graphs, measures, more, review, streams
+from . import anomaly, core, flows, graphs, measures, more, readside, review, streams
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "core", "flows", "graphs", "measures", "more", "review", "streams"]
+__all__ = ["QUERIES", "SQL", "anomaly", "core", "flows", "graphs", "measures", "more", "readside", "review", "streams"]
