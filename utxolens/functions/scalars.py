@@ -43,12 +43,23 @@ def parse_port(c: Column) -> Column:
     return F.struct(F.when(error.isNull(), n).alias("value"), error.alias("error"))
 
 
-def parse_list_cell(c: Column) -> Column:
-    """A list in a cell: a JSON or bracketed list, or text parted by ; | , or spaces. Empty items are dropped."""
+def list_cell(c: Column) -> Column:
+    """struct(items, error): a JSON array, a bracketed literal with single quotes, or text parted by ; | , or blanks.
+
+    Null and blank cells are empty lists; a cell that opens a bracket and is no array is an error.
+    """
     raw = blank_to_null(c)
-    bare = F.regexp_replace(raw, r"^\s*\[|\]\s*$", "")
-    items = F.transform(F.split(bare, r"\s*[;|,]\s*|\s+"), lambda x: F.regexp_replace(F.trim(x), r"^[\"']|[\"']$", ""))
-    return F.when(raw.isNull(), F.array().cast("array<string>")).otherwise(F.filter(items, lambda x: x != ""))
+    bracket = raw.startswith("[")
+    array = F.coalesce(F.from_json(raw, "array<string>"), F.from_json(F.translate(raw, "'", '"'), "array<string>"))
+    parted = F.filter(F.split(raw, r"\s*[;|]\s*|\s*,\s*|\s+"), lambda x: x != "")
+    items = F.when(raw.isNull(), F.array().cast("array<string>")).when(bracket, array).otherwise(parted)
+    error = F.when(bracket & array.isNull(), "not an array")
+    return F.struct(F.coalesce(items, F.array().cast("array<string>")).alias("items"), error.alias("error"))
+
+
+def parse_list_cell(c: Column) -> Column:
+    """The items of a list in a cell; see list_cell()."""
+    return list_cell(c)["items"]
 
 
 def asn_number(c: Column) -> Column:
@@ -72,3 +83,31 @@ def ip_scope(c: Column) -> Column:
     private = net(10, 0, 0, 0, 8) | net(172, 16, 0, 0, 12) | net(192, 168, 0, 0, 16)
     return (F.when(blank_to_null(c).isNull(), "missing").when(n.isNull(), "invalid").when(documentation, "documentation").when(n == 0, "unspecified").when(net(127, 0, 0, 0, 8), "loopback")
             .when(net(169, 254, 0, 0, 16), "link_local").when(net(224, 0, 0, 0, 4), "multicast").when(private, "private").when(net(240, 0, 0, 0, 4) | net(0, 0, 0, 0, 8), "reserved").otherwise("public"))
+
+
+def ip_scope_any(c: Column) -> Column:
+    """Scope of an IPv4 or IPv6 address, mapped IPv4 unwrapped; meant for distinct addresses, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def scope(values):
+        from ipaddress import ip_address, ip_network
+
+        # Networks set aside for documentation.
+        papers = [ip_network(n) for n in ("192.0.2.0/24", "198.51.100.0/24", "203.0.113.0/24", "2001:db8::/32", "3fff::/20")]
+
+        def one(v):
+            if not v or not v.strip():
+                return "missing"
+            try:
+                a = ip_address(v.strip())
+            except ValueError:
+                return "invalid"
+            a = getattr(a, "ipv4_mapped", None) or a
+            if any(a in n for n in papers if n.version == a.version):
+                return "documentation"
+            kinds = (("unspecified", a.is_unspecified), ("loopback", a.is_loopback), ("link_local", a.is_link_local), ("multicast", a.is_multicast), ("private", a.is_private), ("reserved", a.is_reserved or not a.is_global))
+            return next((k for k, is_it in kinds if is_it), "public")
+
+        return values.map(one)
+
+    return scope(c)

@@ -128,8 +128,8 @@ def path_signals(paths: DataFrame, found: DataFrame) -> DataFrame:
 
 def page_merge(pages: DataFrame, most: int = 500) -> DataFrame:
     """Pages of nodes merged by id: an id keeps its first place and its last value; `most` nodes at most."""
-    merged = pages.groupBy("node").agg(F.min("at").alias("at"), F.max_by("value", "at").alias("value"))
-    return merged.orderBy("at", "node").limit(most)
+    merged = pages.groupBy("node").agg(F.min("at").alias("first_at"), F.max_by("value", "at").alias("value"))
+    return merged.orderBy("first_at", "node").limit(most)
 
 
 def induced_edges(edges: DataFrame, window: DataFrame) -> DataFrame:

@@ -137,7 +137,7 @@ def path_signals(d: Domain):
     return readside.path_signals(paths, found)
 
 
-@query("SELECT addr AS node, min(txid * 100 + vout) AS "at", max_by(amount, txid * 100 + vout) AS value FROM tx_out GROUP BY addr ORDER BY "at", node LIMIT 500")
+@query("SELECT addr AS node, min(txid * 100 + vout) AS first_at, max_by(amount, txid * 100 + vout) AS value FROM tx_out GROUP BY addr ORDER BY first_at, node LIMIT 500")
 def page_merge(d: Domain):
     return readside.page_merge(d.tx_out.select(F.col("addr").alias("node"), (F.col("txid") * 100 + F.col("vout")).alias("at"), F.col("amount").alias("value")))
 

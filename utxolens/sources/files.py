@@ -12,23 +12,35 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Header spellings of each canonical field: fixed values, the canonical name first.
+from ..functions.scalars import asn_number, ipv4_number
+
+# Spellings of each canonical field without blanks, signs and capitals.
 ALIASES = {
-    "timestamp": ("timestamp", "time", "datetime", "date", "block_time"),
-    "network": ("network", "chain"),
-    "txid": ("txid", "tx_id", "hash", "transaction_id", "transaction_hash"),
-    "input_addresses": ("input_addresses", "from_addresses", "senders", "inputs_addresses"),
-    "output_addresses": ("output_addresses", "to_addresses", "recipients"),
-    "input_amounts": ("input_amounts", "input_values"),
-    "output_amounts": ("output_amounts", "output_values"),
-    "src_ip": ("src_ip", "source_ip"),
-    "dst_ip": ("dst_ip", "destination_ip"),
-    "src_port": ("src_port", "source_port"),
-    "dst_port": ("dst_port", "destination_port"),
-    "geo_country": ("geo_country", "country"),
-    "asn": ("asn", "as_number"),
-    "fee": ("fee", "fees"),
-    "script_type": ("script_type",),
+    "txid": ("txid", "txhash", "transactionid", "transactionhash", "hash", "tx", "txidhex", "transaction"),
+    "timestamp": ("timestamp", "time", "datetime", "ts", "eventtime", "capturetime", "capturedat", "date", "timestamputc", "eventtimestamp", "seenat", "firstseen"),
+    "observed_at": ("observedat", "observertime", "receivedat"),
+    "src_ip": ("srcip", "sourceip", "ipsrc", "srcaddr", "srcipaddress", "sourceipaddress", "clientip", "peerip"),
+    "dst_ip": ("dstip", "destip", "destinationip", "ipdst", "dstaddr", "dstipaddress", "destinationipaddress", "serverip"),
+    "src_port": ("srcport", "sourceport", "sport", "portsrc"),
+    "dst_port": ("dstport", "destport", "destinationport", "dport", "portdst"),
+    "input_addresses": ("inputaddresses", "inputaddress", "inaddresses", "fromaddresses", "fromaddress", "senderaddresses", "senders", "inputwallets", "inputwalletaddresses", "fromwallets", "from"),
+    "output_addresses": ("outputaddresses", "outputaddress", "outaddresses", "toaddresses", "toaddress", "receiveraddresses", "receivers", "outputwallets", "outputwalletaddresses", "towallets", "to"),
+    "input_amounts": ("inputamounts", "inputamount", "inamounts", "inputvalues", "invalues", "inputamountsbtc", "inputvaluesbtc", "fromamounts"),
+    "output_amounts": ("outputamounts", "outputamount", "outamounts", "outputvalues", "outvalues", "outputamountsbtc", "outputvaluesbtc", "toamounts"),
+    "input_amounts_sats": ("inputamountssats", "inputvaluessats", "inputamountssatoshi", "inputvaluessatoshi", "inputamountssatoshis", "inamountssats"),
+    "output_amounts_sats": ("outputamountssats", "outputvaluessats", "outputamountssatoshi", "outputvaluessatoshi", "outputamountssatoshis", "outamountssats"),
+    "fee": ("fee", "fees", "txfee", "transactionfee", "feebtc", "feeamount"),
+    "fee_sats": ("feesats", "feesatoshi", "feesatoshis", "feeinsats"),
+    "script_type": ("scripttype", "script", "addresstype", "outputscripttype", "scriptpubkeytype"),
+    "geo_country": ("geocountry", "country", "countrycode", "geo", "srccountry", "sourcecountry", "geoipcountry", "ipcountry"),
+    "asn": ("asn", "asnumber", "as", "srcasn", "sourceasn", "autonomoussystem", "autonomoussystemnumber"),
+    "block_height": ("blockheight", "height", "block"),
+    "block_time": ("blocktime", "blocktimestamp", "confirmedat"),
+    "block_hash": ("blockhash",),
+    "network": ("network", "chain", "net"),
+    "observer_id": ("observerid", "sensor", "sensorid", "observer", "probe", "collector"),
+    "inputs": (),
+    "outputs": (),
 }
 
 
@@ -37,17 +49,15 @@ def header_key(name: str) -> str:
 
 
 def renames(columns: list[str]) -> dict[str, str]:
-    """Columns to canonical names: a canonical spelling beats an alias, an earlier alias a later one."""
-    by_key: dict[str, str] = {}
+    """Columns to canonical names: a canonical name is taken by a column that bears it, else by the first column that spells it."""
+    spelt = {s: name for name, spellings in ALIASES.items() for s in spellings}
+    out, taken = {c: c for c in columns if c in ALIASES}, {c for c in columns if c in ALIASES}
     for c in columns:
-        by_key.setdefault(header_key(c), c)
-    out = {}
-    for name, spellings in ALIASES.items():
-        for s in spellings:
-            if (c := by_key.get(header_key(s))) and c not in out:
-                out[c] = name
-                break
-    return out
+        name = spelt.get(header_key(c))
+        if c not in out and name and name not in taken:
+            out[c] = name
+            taken.add(name)
+    return {c: out[c] for c in columns if c in out}
 
 
 def canonicalize(df: DataFrame) -> DataFrame:
@@ -135,3 +145,25 @@ def write_fragments(facts: DataFrame, path: str, by: str = "record_type") -> Non
 def write_edges_clustered(edges: DataFrame, path: str) -> None:
     """Edges laid out by their first node, so that row-group statistics skip what a neighbourhood does not touch."""
     edges.repartitionByRange("from_node").sortWithinPartitions("from_node", "edge_id").write.option("compression", "zstd").parquet(path)
+
+
+def read_geo_ranges(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(start, end, country, asn, org) of a range table: 'country' (3 columns), 'asn' (4) or 'combined' (5), comma or tab, plain or gzip.
+
+    Header lines, ranges of unknown country and of system number 0 are left out; bounds are dotted or whole numbers.
+    """
+    names = {"country": ["start", "end", "country"], "asn": ["start", "end", "asn", "org"], "combined": ["start", "end", "asn", "country", "org"]}[kind]
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    cells = lines.select(F.from_csv("value", ", ".join(f"{n} string" for n in names), {"sep": ","}).alias("c"), F.from_csv("value", ", ".join(f"{n} string" for n in names), {"sep": "\t"}).alias("t"), F.col("value").contains("\t").alias("tab"))
+    rows = cells.select(F.when(F.col("tab"), F.col("t")).otherwise(F.col("c")).alias("r")).select("r.*")
+    number = lambda c: F.coalesce(ipv4_number(F.col(c)), F.col(c).try_cast("long"))
+    missing = lambda n: F.lit(None).cast("string") if n not in names else F.nullif(F.trim(F.col(n)), F.lit(""))
+    out = rows.select(number("start").alias("start"), number("end").alias("end"), F.upper(missing("country")).alias("country"), asn_number(missing("asn")).alias("asn"), missing("org").alias("org"))
+    out = out.where("start is not null and end is not null and start <= end")
+    known = F.coalesce(~F.col("country").isin("ZZ", "--"), F.lit(False)) if kind == "country" else F.coalesce(F.col("asn") > 0, F.lit(False))
+    return out.where(known)
+
+
+def replay(rows: DataFrame, locator: str) -> DataFrame:
+    """The record that a locator points at."""
+    return rows.where(F.col("locator") == locator)
