@@ -74,7 +74,7 @@ def fingerprints(df: DataFrame, row: Column, text_col: str, words: int, distinct
 
         import pyarrow as pa
 
-        for b in text_slices(batches, 8 << 20):
+        for b in text_slices(batches, 2 << 20):
             texts = b.column(1).to_pylist()
             fp = [int.from_bytes(fingerprint(t, words, distinct), "big", signed=True) for t in texts]
             key = pa.array([hashlib.md5(t or b"").digest() for t in texts], pa.binary())
