@@ -111,3 +111,35 @@ def ip_scope_any(c: Column) -> Column:
         return values.map(one)
 
     return scope(c)
+
+
+def ip_key(c: Column, unwrap: bool = False) -> Column:
+    """An address or whole number as 17 bytes that sort like addresses: the version, then the 128-bit value; null for anything else.
+
+    Numbers below 2 to the 32nd are IPv4. With `unwrap` an IPv6 address that maps an IPv4 one is that. Meant for distinct values, in Arrow batches.
+    """
+
+    @F.pandas_udf("binary")
+    def key(values):
+        from ipaddress import ip_address
+
+        def one(v):
+            v = (v or "").strip()
+            try:
+                if v.isascii() and v.isdigit():
+                    n = int(v)
+                    return bytes([4 if n < 1 << 32 else 6]) + n.to_bytes(16, "big")
+                a = ip_address(v)
+            except (ValueError, OverflowError):
+                return None
+            a = (getattr(a, "ipv4_mapped", None) or a) if unwrap else a
+            return bytes([a.version]) + int(a).to_bytes(16, "big")
+
+        return values.map(one)
+
+    return key(c)
+
+
+def ip_number(key: Column) -> Column:
+    """The value of an IPv4 key; null for an IPv6 one."""
+    return F.when(F.substring(F.hex(key), 1, 2) == "04", F.conv(F.substring(F.hex(key), 27, 8), 16, 10).cast("long"))

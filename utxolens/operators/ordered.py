@@ -38,6 +38,28 @@ def running(df: DataFrame, order: list, sums: dict[str, str]) -> DataFrame:
     return out.withColumns({n: F.col(f"_b_{n}") + F.sum(c).over(within) for n, c in sums.items()}).drop("_part", "_at", *[f"_b_{n}" for n in sums])
 
 
+def running_max(df: DataFrame, order: list, tops: dict[str, str]) -> DataFrame:
+    """df with the largest value before each row, null for the first: tops maps a new column to the one it is of."""
+    cut = _dealt(df, order)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = cut.groupBy("_part").agg(*[F.max(c).alias(n) for n, c in tops.items()])
+    parts = parts.select("_part", *[F.max(n).over(before).alias(f"_b_{n}") for n in tops])
+    within = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    out = cut.join(F.broadcast(parts), "_part")
+    return out.withColumns({n: F.greatest(F.max(c).over(within), F.col(f"_b_{n}")) for n, c in tops.items()}).drop("_part", "_at", *[f"_b_{n}" for n in tops])
+
+
+def next_known(df: DataFrame, order: list, value: str, name: str) -> DataFrame:
+    """df with the first value that is not null at or after each row in `order`."""
+    cut = _dealt(df, order)
+    after = Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
+    heads = cut.groupBy("_part").agg(F.min_by(F.struct(F.col(value).alias("v")), F.when(F.col(value).isNotNull(), F.col("_at"))).alias("_h"))
+    heads = heads.select("_part", F.first("_h.v", ignorenulls=True).over(after).alias("_following"))
+    within = Window.partitionBy("_part").orderBy("_at").rowsBetween(0, Window.unboundedFollowing)
+    out = cut.join(F.broadcast(heads), "_part")
+    return out.withColumn(name, F.coalesce(F.first(value, ignorenulls=True).over(within), F.col("_following"))).drop("_part", "_at", "_following")
+
+
 def value_counts(rows: DataFrame, keys: list[str], counts: dict[str, Column]) -> DataFrame:
     """Distinct values with their counts: what is put in order is combined map-side first."""
     return rows.groupBy(*keys).agg(*[c.alias(n) for n, c in counts.items()])

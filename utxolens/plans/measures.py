@@ -72,25 +72,6 @@ def relay_flags(d: Domain):
     return r.withColumns({c: F.round(c, 9) for c in ("expected", "p", "adjusted")})
 
 
-_V4 = "split_part(src_ip, '.', 1)::BIGINT * 16777216 + split_part(src_ip, '.', 2)::BIGINT * 65536 + split_part(src_ip, '.', 3)::BIGINT * 256 + split_part(src_ip, '.', 4)::BIGINT"
-_GEO = f", ips AS (SELECT DISTINCT src_ip, {_V4} AS ip FROM obs), rg AS (SELECT 167772160 + n_nationkey * 5000 AS s, 167772160 + n_nationkey * 5000 + 3999 AS e, n_name AS country FROM nation UNION ALL SELECT 167772160 + 65536 + n_nationkey * 40000, 167772160 + 65536 + n_nationkey * 40000 + 20000, n_name FROM nation WHERE n_nationkey > 3)"
-
-
-def _ranges(d: Domain):
-    n = d.star("nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("country"))
-    a = n.select((167772160 + F.col("k") * 5000).alias("start"), (167772160 + F.col("k") * 5000 + 3999).alias("end"), "country")
-    return a.where("end < 167837696").unionByName(n.where("k > 3").select((167772160 + 65536 + F.col("k") * 40000).alias("start"), (167772160 + 65536 + F.col("k") * 40000 + 20000).alias("end"), "country"))
-
-
-_GEO = _GEO.replace("FROM nation UNION ALL", "FROM nation WHERE 167772160 + n_nationkey * 5000 + 3999 < 167837696 UNION ALL")
-
-
-@query(_GEO + "SELECT src_ip AS id, ip, country FROM ips LEFT JOIN rg ON ip BETWEEN s AND e")
-def geoip_range_lookup(d: Domain):
-    points = d.obs.select("src_ip").distinct().select(F.col("src_ip").alias("id"), network.ipv4_number(F.col("src_ip")).alias("ip"))
-    return network.range_lookup(points, _ranges(d), "country")
-
-
 @query("SELECT DISTINCT dst_ip, CASE WHEN dst_ip LIKE '203.0.113.%' THEN 'documentation' ELSE 'private' END AS scope, (split_part(dst_ip, '.', 4)::BIGINT + 3405803776)::BIGINT AS n FROM obs")
 def ip_scopes(d: Domain):
     return d.obs.select("dst_ip").distinct().select("dst_ip", network.ip_scope(F.col("dst_ip")).alias("scope"), network.ipv4_number(F.col("dst_ip")).alias("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import layers, network, stats, windows
+from ..operators import layers, stats, windows
 from .core import _FEATURES, _RESOLVED, _rule
 from .domain import Domain
 from .measures import _REF
@@ -88,14 +88,6 @@ def participation(d: Domain):
     return layers.window_findings(windows.count_rule(windows.window_features(members), "concentrated_collection", 2, 25, 15, 86400), members.select("addr", "seconds", "start_us", "txid"))
 
 
-@query(""", en AS (SELECT src_ip, count(*) AS n FROM obs GROUP BY src_ip), mj AS (SELECT src_ip, country AS reported FROM (SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY n DESC, country) AS rn FROM (SELECT src_ip, country, count(*) AS n FROM obs WHERE country IS NOT NULL GROUP BY src_ip, country)) WHERE rn = 1)
-    SELECT src_ip, CASE WHEN reported IS NULL THEN 'not_reported' ELSE 'unverifiable_non_public' END AS verdict FROM en LEFT JOIN mj USING (src_ip)""")
-def geo_check(d: Domain):
-    e = d.obs.groupBy("src_ip").agg(F.count("*").alias("n")).join(network.majority(d.obs, "src_ip", "country").select("src_ip", F.col("country").alias("reported")), "src_ip", "left")
-    e = e.withColumn("scope", network.ip_scope(F.col("src_ip"))).withColumn("db", F.lit(None).cast("string"))
-    return e.select("src_ip", network.geo_check(e, "reported", "db", "scope", "n").alias("verdict"))
-
-
 @query(_REF + "SELECT txid, (us - min(us) OVER (PARTITION BY is_ref)) // 1000000 AS age, CASE WHEN is_ref THEN 'train' ELSE 'test' END AS split FROM rf")
 def time_split(d: Domain):
     from pyspark.sql import Window

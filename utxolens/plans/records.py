@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ip_scope_any
-from ..operators import network, records
+from ..functions.scalars import ip_number, ip_scope_any
+from ..operators import records
 from ..session import keep
 from ..sources import files
 from .domain import Domain
@@ -75,14 +75,6 @@ def ip_scopes_any(d: Domain):
     return rows.join(F.broadcast(scoped), "i").select("id", "ip", "scope")
 
 
-@query("""WITH e AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 > 0 THEN ['DE', 'FR'][1 + c_custkey % 2] END AS reported, CASE WHEN c_custkey % 5 = 0 THEN 'private' ELSE 'public' END AS scope, CASE WHEN c_custkey % 3 > 0 THEN ['DE', 'FR'][1 + c_custkey // 2 % 2] END AS db, c_custkey % 6 AS n FROM customer)
-    SELECT id, CASE WHEN reported IS NULL THEN 'not_reported' WHEN scope <> 'public' THEN 'unverifiable_non_public' WHEN db IS NULL THEN 'not_in_database' WHEN reported = db THEN 'verified' WHEN n >= 3 THEN 'mismatch' ELSE 'too_few' END AS verdict FROM e""", plain=True)
-def geo_verdicts(d: Domain):
-    k, two = F.col("c_custkey"), F.array(F.lit("DE"), F.lit("FR"))
-    e = d.star("customer").select(k.alias("id"), F.when(k % 7 > 0, F.get(two, k % 2)).alias("reported"), F.when(k % 5 == 0, "private").otherwise("public").alias("scope"), F.when(k % 3 > 0, F.get(two, F.floor(k / 2) % 2)).alias("db"), (k % 6).alias("n"))
-    return e.select("id", network.geo_check(e, "reported", "db", "scope", "n").alias("verdict"))
-
-
 @query("SELECT 167772160 + n_nationkey * 256 AS start, 167772160 + n_nationkey * 256 + 255 AS \"end\", substr(n_name, 1, 2) AS country FROM nation WHERE n_nationkey % 4 > 0", plain=True)
 def geo_ranges(d: Domain):
     """A country table with a header, dotted and whole bounds, and an unknown country, written and read again."""
@@ -91,7 +83,7 @@ def geo_ranges(d: Domain):
     lines = d.star("nation").select(line.alias("value"))
     path = keep(lines, "ranges").kept_path + "-text"
     d.spark.createDataFrame([("start,end,country",)], "value string").unionByName(lines).write.text(path)
-    return files.read_geo_ranges(d.spark, path, "country").select("start", "end", "country")
+    return files.read_geo_ranges(d.spark, path, "country").select(ip_number(F.col("start")).alias("start"), ip_number(F.col("end")).alias("end"), "country")
 
 
 @query("SELECT column_name, canonical FROM (VALUES ('Tx Hash', 'txid'), ('chain', 'network'), ('time', 'timestamp'), ('block_time', 'block_time'), ('inputs', 'inputs'), ('outputs', 'outputs'), ('From Addresses', 'input_addresses'), ('input amounts sats', 'input_amounts_sats'), ('receivers', 'output_addresses'), ('output_amounts', 'output_amounts'), ('script', 'script_type'), ('Source IP', 'src_ip'), ('dport', 'dst_port'), ('country', 'geo_country'), ('fees', 'fee')) v(column_name, canonical)", plain=True)

@@ -162,6 +162,26 @@ def scan_csv(d: Domain):
     return _scanned(d, "csv")
 
 
+@query("SELECT row_number() OVER (ORDER BY doc_id) AS logical_record, doc_id, length(text) AS characters, md5(text) AS digest FROM documents WHERE text <> ''", plain=True)
+def scan_csv_line_breaks(d: Domain):
+    """Whole texts, with their quotes and line breaks, written as CSV and read again by byte ranges."""
+    rows = d.star("documents").where("text <> ''").select("doc_id", "text").repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+    path = keep(rows.limit(0), "texts").kept_path + "-csv"
+    rows.write.csv(path, header=True, quoteAll=True, escape='"', emptyValue="")
+    v = F.col("value")
+    return files.scan_csv(prepare(d.spark), path).select("logical_record", v["doc_id"].cast("long").alias("doc_id"), F.length(v["text"]).cast("long").alias("characters"), F.md5(v["text"]).alias("digest"))
+
+
+@query("SELECT 'csv' AS kind, count(*) AS n FROM documents WHERE text <> '' UNION ALL SELECT 'ndjson', count(*) FROM documents WHERE text <> ''", plain=True)
+def count_source_records(d: Domain):
+    """Records counted without building them."""
+    rows = d.star("documents").where("text <> ''").select("doc_id", "text")
+    path, spark = keep(rows.limit(0), "texts").kept_path, prepare(d.spark)
+    rows.write.csv(path + "-csv", header=True, quoteAll=True, escape='"')
+    rows.write.json(path + "-ndjson")
+    return spark.createDataFrame([(k, files.count_records(spark, f"{path}-{k}", k)) for k in ("csv", "ndjson")], "kind string, n long")
+
+
 @query(_FILE_SQL, plain=True)
 def scan_ndjson(d: Domain):
     return _scanned(d, "ndjson")

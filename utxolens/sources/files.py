@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import asn_number, ipv4_number
+from ..functions.scalars import asn_number, ip_key
+from .csvblocks import count_csv, scan_csv_blocks
 
 # Spellings of each canonical field without blanks, signs and capitals.
 ALIASES = {
@@ -85,11 +86,11 @@ def _record(df: DataFrame, locator_type: str, locator, columns: list[str]) -> Da
 
 
 def scan_csv(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8")
-    if not df.columns:
-        raise ValueError("a CSV source needs a header")
-    columns = df.columns
-    return _record(with_ordinal(df), "record", F.concat(F.lit("record:"), F.col("logical_record").cast("string")), columns)
+    """Records of CSV files, each file read in many tasks; see csvblocks for line breaks in quotes and defined results."""
+    rows, names = scan_csv_blocks(spark, path)
+    last = {name: i for i, name in enumerate(names)}
+    value = F.create_map(*[x for name, i in last.items() for x in (F.lit(name), F.col(f"cells.c{i}"))])
+    return rows.select("logical_record", F.lit("record").alias("locator_type"), F.concat(F.lit("record:"), F.col("logical_record").cast("string")).alias("locator"), value.alias("value"))
 
 
 def scan_ndjson(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -133,8 +134,17 @@ def scan(spark: SparkSession, path: str, kind: str, schema=None) -> DataFrame:
     return {"csv": lambda: scan_csv(spark, path), "ndjson": lambda: scan_ndjson(spark, path, schema), "json_array": lambda: scan_json_array(spark, path, schema), "xml": lambda: scan_xml(spark, path, schema)}[kind]()
 
 
-def count_records(spark: SparkSession, path: str, kind: str, schema=None) -> int:
-    return scan(spark, path, kind, schema).count()
+def count_records(spark: SparkSession, path: str, kind: str) -> int:
+    """How many records a scan will give, without building them; a JSON array's file is parsed in one task."""
+    if kind == "csv":
+        return count_csv(spark, path)
+    if kind == "ndjson":
+        return spark.read.text(path).where("trim(value) <> ''").count()
+    if kind == "json_array":
+        return spark.read.schema("_ string").json(path, multiLine=True).count()
+    # A start tag's name stands in one line, whatever follows it.
+    tags = F.regexp_extract_all("value", F.lit(r"(?i)<(?:[a-z_][\w.\-]*:)?(?:transaction|record|row)(?=[\s/>]|$)"), F.lit(0))
+    return spark.read.text(path).agg(F.coalesce(F.sum(F.size(tags)), F.lit(0)).alias("n")).first().n
 
 
 def write_fragments(facts: DataFrame, path: str, by: str = "record_type") -> None:
@@ -147,18 +157,32 @@ def write_edges_clustered(edges: DataFrame, path: str) -> None:
     edges.repartitionByRange("from_node").sortWithinPartitions("from_node", "edge_id").write.option("compression", "zstd").parquet(path)
 
 
+def range_layout(first_line: str) -> str:
+    """'country', 'asn' or 'combined' by how a range table's first line is cut."""
+    tab = "\t" in first_line
+    n = len(first_line.split("\t" if tab else ","))
+    if tab and n == 5:
+        return "combined"
+    if n == 3:
+        return "country"
+    if n == 4 or (n >= 5 and not tab):
+        return "asn"
+    raise ValueError(f"no range table has {n} columns")
+
+
 def read_geo_ranges(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """(start, end, country, asn, org) of a range table: 'country' (3 columns), 'asn' (4) or 'combined' (5), comma or tab, plain or gzip.
+    """(start, end, listed, country, asn, org) of a range table: 'country' (3 columns), 'asn' (4) or 'combined' (5), comma or tab, plain or gzip.
 
-    Header lines, ranges of unknown country and of system number 0 are left out; bounds are dotted or whole numbers.
+    Bounds are dotted, colon or whole numbers of either family, given as ip_key(); `listed` grows in the order of the table. Header
+    lines, ranges of unknown country and of system number 0 are left out.
     """
     names = {"country": ["start", "end", "country"], "asn": ["start", "end", "asn", "org"], "combined": ["start", "end", "asn", "country", "org"]}[kind]
-    lines = spark.read.text(path).where("trim(value) <> ''")
-    cells = lines.select(F.from_csv("value", ", ".join(f"{n} string" for n in names), {"sep": ","}).alias("c"), F.from_csv("value", ", ".join(f"{n} string" for n in names), {"sep": "\t"}).alias("t"), F.col("value").contains("\t").alias("tab"))
-    rows = cells.select(F.when(F.col("tab"), F.col("t")).otherwise(F.col("c")).alias("r")).select("r.*")
-    number = lambda c: F.coalesce(ipv4_number(F.col(c)), F.col(c).try_cast("long"))
+    lines = spark.read.text(path).withColumn("listed", F.monotonically_increasing_id()).where("trim(value) <> '' and value not like '#%'")
+    schema = ", ".join(f"{n} string" for n in names)
+    cells = lines.select("listed", F.from_csv("value", schema, {"sep": ","}).alias("c"), F.from_csv("value", schema, {"sep": "\t"}).alias("t"), F.col("value").contains("\t").alias("tab"))
+    rows = cells.select("listed", F.when(F.col("tab"), F.col("t")).otherwise(F.col("c")).alias("r")).select("listed", "r.*")
     missing = lambda n: F.lit(None).cast("string") if n not in names else F.nullif(F.trim(F.col(n)), F.lit(""))
-    out = rows.select(number("start").alias("start"), number("end").alias("end"), F.upper(missing("country")).alias("country"), asn_number(missing("asn")).alias("asn"), missing("org").alias("org"))
+    out = rows.select(ip_key(F.col("start")).alias("start"), ip_key(F.col("end")).alias("end"), "listed", F.upper(missing("country")).alias("country"), asn_number(missing("asn")).alias("asn"), missing("org").alias("org"))
     out = out.where("start is not null and end is not null and start <= end")
     known = F.coalesce(~F.col("country").isin("ZZ", "--"), F.lit(False)) if kind == "country" else F.coalesce(F.col("asn") > 0, F.lit(False))
     return out.where(known)
