@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import ranked
-from .spends import window_start
+from .spends import rapid_spends, window_start
 
 SPANS = (900, 3600, 86400)
 
@@ -106,3 +106,44 @@ def recipient_history(tx_out: DataFrame) -> DataFrame:
     before = Window.partitionBy("addr").orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
     seen = pairs.select("txid", F.count("*").over(before).alias("n"), ((F.max("us").over(before) - F.min("us").over(before)) / 1e6).alias("span"))
     return seen.groupBy("txid").agg(F.count("*").alias("recipients"), F.avg((F.col("n") > 0).cast("double")).alias("prior_fraction"), F.avg("n").alias("mean_prior_count"), F.coalesce(F.max("span"), F.lit(0.0)).alias("max_span"))
+
+
+def window_vectors(tx_out: DataFrame, tx_in: DataFrame, tx: DataFrame, seconds: int = 900, signals: DataFrame | None = None, coinjoins: DataFrame | None = None) -> DataFrame:
+    """(entity_ref, window_start, features): everything known of an address in a window, nested as the flat features expect it.
+
+    Outgoing are the transactions that spend within the hour what the address got, by the window of the spend; the component is the
+    address, its transactions and the outputs it received. `signals` (entity_ref, first_us, score, hops, duration) and `coinjoins` (txid, score,
+    equal_outputs, equal_value) add the strongest of each; without them those numbers are 0.
+    """
+    key = ["addr", "start_us"]
+    span = F.lit(seconds)
+    members = memberships(tx_out).where(F.col("seconds") == seconds)
+    base = window_features(members).drop("seconds")
+    rapid = rapid_spends(tx_in, tx_out, tx).select(F.col("address").alias("addr"), window_start(F.col("spent_us"), span).alias("start_us"), "txid")
+    outgoing = rapid.groupBy(*key).agg(F.count("*").alias("rapid"), F.count_distinct("txid").alias("out_txs"))
+    paid = rapid.distinct().join(tx_out.select("txid", "amount"), "txid").groupBy(*key).agg(
+        F.count("*").alias("n_out"), F.struct(F.min("amount").alias("min_sats"), F.max("amount").alias("max_sats"), F.median("amount").alias("median_sats"), F.sum("amount").alias("total_sats")).alias("paid"))
+    touched = members.select(*key, "txid").union(rapid.select(*key, "txid")).distinct().groupBy(*key).agg(F.count("*").alias("txs"))
+    gaps = gap_features(members).drop("seconds")
+    past = address_history(window_features(members)).drop("seconds", "transactions", "total_value")
+    rows = base
+    for other in (outgoing, paid, touched, gaps, past):
+        rows = rows.join(other, key, "left")
+    if signals is not None:
+        s = signals.where("entity_ref like 'address:%'").select(F.substring("entity_ref", 9, 1 << 20).alias("addr"), window_start(F.col("first_us"), span).alias("start_us"), F.struct("score", "hops", "duration").alias("s"))
+        rows = rows.join(s.groupBy(*key).agg(F.max("s").alias("peel")), key, "left")
+    if coinjoins is not None:
+        c = members.select(*key, "txid").distinct().join(coinjoins, "txid").groupBy(*key).agg(F.max(F.struct("score", "equal_outputs", "equal_value")).alias("mix"), F.count("*").alias("mixes"))
+        rows = rows.join(c, key, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    peel = lambda n: zero(F.col(f"peel.{n}")) if signals is not None else F.lit(0)
+    mix = lambda n: zero(F.col(n)) if coinjoins is not None else F.lit(0)
+    features = F.struct(
+        F.col("transactions").alias("in_event_count"), zero(F.col("out_txs")).alias("out_event_count"), F.col("outputs").alias("received_output_count"), zero(F.col("n_out")).alias("outgoing_output_count"), F.col("transactions").alias("observed_counterparties"),
+        F.struct(F.col("min_value").alias("min_sats"), F.col("max_value").alias("max_sats"), F.col("median_value").alias("median_sats"), F.col("total_value").alias("total_sats")).alias("received_value_distribution_sats"), F.col("paid").alias("outgoing_value_distribution_sats"),
+        F.struct(zero(F.col("gaps")).alias("count"), F.col("min_gap").alias("minimum_seconds"), F.col("max_gap").alias("maximum_seconds"), F.col("median_gap").alias("median_seconds")).alias("inter_event_gaps_seconds"),
+        F.struct((1 + F.col("txs") + F.col("outputs")).alias("node_delta"), (2 * F.col("outputs") + zero(F.col("rapid"))).alias("edge_delta"), zero(F.col("rapid")).alias("resolved_spend_edge_delta")).alias("bounded_component_change"),
+        (F.col("prior_windows") == 0).alias("first_observed_activity"), F.col("gap_seconds").alias("prior_window_gap_seconds"), F.col("baseline_count").alias("baseline_in_event_count_mean"), F.col("surge_count").alias("activity_surge_ratio"),
+        F.col("baseline_value").alias("baseline_value_sats_mean"), F.col("surge_value").alias("value_surge_ratio"), peel("score").alias("peeling_chain_score"), peel("hops").alias("peeling_chain_length"), peel("duration").alias("peeling_chain_total_duration_sec"), peel("hops").alias("peeling_chain_evidence_count"),
+        mix("mix.score").alias("coinjoin_like_score"), mix("mix.equal_outputs").alias("equal_output_count"), (F.col("mix.equal_value") if coinjoins is not None else F.lit(None).cast("long")).alias("equal_output_value_sats"), mix("mixes").alias("coinjoin_like_evidence_count"))
+    return rows.select(F.concat(F.lit("address:"), "addr").alias("entity_ref"), F.col("start_us").alias("window_start"), features.alias("features"))

@@ -1,6 +1,6 @@
 """All registered queries; importing the modules registers them."""
 
-from . import anomaly, core, flows, geo, graphs, measures, more, readside, records, review, streams
+from . import anomaly, core, flows, geo, graphs, measures, more, readside, records, review, stores, streams
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "anomaly", "core", "flows", "geo", "graphs", "measures", "more", "readside", "records", "review", "streams"]
+__all__ = ["QUERIES", "SQL", "anomaly", "core", "flows", "geo", "graphs", "measures", "more", "readside", "records", "review", "stores", "streams"]
