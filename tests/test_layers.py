@@ -125,3 +125,42 @@ def test_cuts_at_equal_scores(spark):
     df = spark.createDataFrame([(i, 1.0 if i < 10 else 0.5) for i in range(40)], "id long, score double")
     assert sorted(x.id for x in readside.keep_budget(df, "id", 0.3).collect()) == list(range(12))
     assert [x.id for x in readside.keep_budget(df, "id", 1e-9).collect()] == [0]
+
+
+def test_poisson_tails_hold_at_any_rate(spark):
+    cases = [(k, rate) for rate in (0.25, 3.0, 40.0, 744.0, 746.0, 2000.0, 10_000.0) for k in {0, 1, 5, int(rate), *(int(rate + z * rate**0.5) for z in (-4, -1, 1, 2, 4, 6)), int(3 * rate) + 9} if k >= 0] + [(0, 0.0), (2, 0.0)]
+    df = spark.createDataFrame([(k, float(r)) for k, r in cases], "k long, rate double")
+    got = {(r.k, r.rate): r.s for r in df.select("k", "rate", layers.poisson_surprise(F.col("k"), F.col("rate")).alias("s")).collect()}
+    for k, rate in cases:
+        log_term = lambda i: i * log(rate) - rate - lgamma(i + 1)
+        if k == 0:
+            tail = 1.0
+        elif rate == 0:
+            tail = 0.0
+        elif k > rate:
+            tail = sum(exp(log_term(i)) for i in range(k, k + 3000))
+        else:
+            tail = 1 - sum(exp(log_term(i)) for i in range(k))
+        assert got[k, rate] == pytest.approx(-log(max(1e-12, tail)), rel=1e-7, abs=1e-9), (k, rate)
+
+
+def test_binomial_tails_of_busy_wallets(spark):
+    from utxolens.operators.network import binomial_tail
+
+    def plain(k, n, p):
+        return min(1.0, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log(1 - p)) for i in range(k, n + 1)))
+
+    cases = [(0, 5, 0.3), (3, 5, 0.3), (5, 5, 0.3), (6, 5, 0.3), (2, 9, 0.0), (2, 9, 1.0), (40, 100, 0.3), (20, 100, 0.3), (3000, 9000, 0.31), (2700, 9000, 0.31), (9000, 9000, 0.999)]
+    df = spark.createDataFrame(cases + [(5_000_900, 10_000_000, 0.5)], "k long, n long, p double")
+    got = {(r.k, r.n): r.t for r in df.select("k", "n", binomial_tail(F.col("k"), F.col("n"), F.col("p")).alias("t")).collect()}
+    for k, n, p in cases:
+        want = 1.0 if k <= 0 or p >= 1 else 0.0 if p <= 0 or k > n else plain(k, n, p)
+        assert got[k, n] == pytest.approx(want, rel=1e-7, abs=1e-12)
+    # 900 of 10 million above the mean: 0.569 standard deviations.
+    assert got[5_000_900, 10_000_000] == pytest.approx(1 - NormalDist().cdf(899.5 / (10_000_000 * 0.25) ** 0.5), abs=1e-6)
+
+
+def test_path_signals_count_other_findings_only(spark):
+    paths = spark.createDataFrame([(1, "c", ["a", "b", "b", "x"]), (2, "c", ["a"]), (3, "d", ["a"])], "id long, case string, nodes array<string>")
+    found = spark.createDataFrame([(1, "c", "a", "open"), (1, "c", "b", "open"), (9, "c", "b", "open"), (8, "c", "x", "dismissed"), (7, "e", "a", "open")], "id long, case string, entity_ref string, status string")
+    assert {r.id: r.share for r in readside.path_signals(paths, found).collect()} == {1: pytest.approx(1 / 3), 2: 1.0, 3: 0.0}

@@ -37,12 +37,26 @@ def empirical_rate(history: DataFrame, strength: float = 4.0) -> DataFrame:
     return history.crossJoin(F.broadcast(mean)).withColumn("rate", rate).drop("pop")
 
 
+def _log_factorial(k: Column) -> Column:
+    """ln k! of a whole number: exact up to 20, by Stirling's series beyond."""
+    x = k.cast("double")
+    series = x * F.log(x) - x + 0.5 * F.log(2 * F.pi() * x) + 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3))) + 1 / (1260 * F.pow(x, F.lit(5)))
+    return F.when(k <= 20, F.log(F.factorial(F.least(k.cast("int"), F.lit(20))).cast("double"))).otherwise(series)
+
+
 def poisson_surprise(k: Column, rate: Column) -> Column:
-    """-ln P(X >= k) for a Poisson rate, summed term by term."""
-    term = lambda acc, i: F.struct((acc.t * rate / F.greatest(i, F.lit(1))).alias("t"), (acc.s + acc.t * rate / F.greatest(i, F.lit(1))).alias("s"))
-    start = F.struct(F.exp(-rate).alias("t"), F.exp(-rate).alias("s"))
-    below = F.when(k <= 0, 0.0).when(k == 1, F.exp(-rate)).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), k.cast("int") - 1)), start, term, lambda a: a.s))
-    return -F.log(F.greatest(F.lit(1e-12), 1 - below))
+    """-ln P(X >= k) for a Poisson rate, from its logarithm at k on: right at any rate.
+
+    Above the rate the tail is summed upwards, else what lies below k downwards; terms fall off within some square roots of k.
+    """
+    k, above = k.cast("long"), k > rate
+    start = F.when(above, k).otherwise(k - 1)
+    first = F.exp(start * F.log(rate) - rate - _log_factorial(start))
+    steps = F.least(F.when(above, F.lit(1 << 20)).otherwise(start), (60 + 9 * F.sqrt(F.greatest(k.cast("double"), rate))).cast("long")).cast("int")
+    grown = lambda acc, i: F.struct((acc.t * F.when(above, rate / (start + i)).otherwise((start - i + 1) / rate)).alias("t"), (acc.s + acc.t * F.when(above, rate / (start + i)).otherwise((start - i + 1) / rate)).alias("s"))
+    total = F.aggregate(F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>")), F.struct(first.alias("t"), first.alias("s")), grown, lambda a: a.s)
+    tail = F.when(k <= 0, 1.0).when(rate <= 0, 0.0).when(above, total).otherwise(1 - total)
+    return -F.log(F.greatest(F.lit(1e-12), F.least(F.lit(1.0), tail)))
 
 
 def normal_quantile(p: Column) -> Column:

@@ -120,8 +120,9 @@ def keep_budget(scored: DataFrame, key: str, budget: float) -> DataFrame:
 def path_signals(paths: DataFrame, found: DataFrame) -> DataFrame:
     """(id, share): how much of a finding's path consists of nodes that other open findings of its case are about."""
     nodes = paths.select("id", "case", F.explode(F.array_distinct("nodes")).alias("node"))
-    about = found.where("status <> 'dismissed'").select(F.col("id").alias("other"), "case", F.col("entity_ref").alias("node"))
-    hits = nodes.join(about, ["case", "node"]).where("other <> id").select("id", "node").distinct().groupBy("id").agg(F.count("*").alias("hits"))
+    # One row a node: whether there is another than a given finding shows in the least and the greatest.
+    about = found.where("status <> 'dismissed'").groupBy("case", F.col("entity_ref").alias("node")).agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    hits = nodes.join(about, ["case", "node"]).where("low <> id or high <> id").groupBy("id").agg(F.count("*").alias("hits"))
     sizes = nodes.groupBy("id").agg(F.count("*").alias("n"))
     return sizes.join(hits, "id", "left").select("id", (F.coalesce("hits", F.lit(0)) / F.col("n")).alias("share"))
 

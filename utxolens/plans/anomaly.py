@@ -64,7 +64,7 @@ def graph_features(d: Domain):
 
 @query()
 def isolation_scores(d: Domain):
-    shapes = stats.shape_features(d.tx_in, d.tx_out, d.tx)
+    shapes = d.shapes
     columns = [c for c in shapes.columns if c != "txid"]
     return anomaly.isolation_forest(shapes.join(stats.reference_set(d.tx), "txid"), "txid", columns)
 

@@ -12,6 +12,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import graph, stats
 from ..session import keep, prepare
 
 _TEMPLATE = {
@@ -93,6 +94,28 @@ class Domain:
             known[self.sf_dir, name] = keep(self.spark.sql(sql, **tables), name)
         return known[self.sf_dir, name]
 
+    def derived(self, name: str, make) -> DataFrame:
+        """A table made from this snapshot, written once for a session and folder."""
+        known = self.spark.__dict__.setdefault("_utxolens_snapshots", {})
+        if (self.sf_dir, name) not in known:
+            known[self.sf_dir, name] = keep(make(), name)
+        return known[self.sf_dir, name]
+
+    @cached_property
+    def clusters(self) -> DataFrame:
+        """Addresses and the entities that common inputs make of them."""
+        return self.derived("clusters", lambda: graph.common_input_clusters(self.tx_in, self.tx_out))
+
+    @cached_property
+    def wallets(self) -> DataFrame:
+        """Every address with its entity, or itself."""
+        return self.derived("wallets", lambda: graph.wallets(self.clusters, self.tx_out.select("addr").distinct()))
+
+    @cached_property
+    def shapes(self) -> DataFrame:
+        """Shape features of every transaction."""
+        return self.derived("shapes", lambda: stats.shape_features(self.tx_in, self.tx_out, self.tx))
+
     @cached_property
     def tx(self) -> DataFrame:
         return self._derive("tx", orders=self.star("orders"))

@@ -45,19 +45,19 @@ def common_input_cluster(d: Domain):
     se AS (SELECT entity_id, sum(prev_amount)::BIGINT AS sent FROM r JOIN cl ON r.prev_addr = cl.addr GROUP BY entity_id), mb AS (SELECT entity_id, count(*) AS address_count FROM cl GROUP BY entity_id)
     SELECT entity_id, address_count, coalesce(received_outputs, 0) AS received_outputs, coalesce(received, 0) AS received, coalesce(sent, 0) AS sent, first_us, last_us FROM mb LEFT JOIN rc USING (entity_id) LEFT JOIN se USING (entity_id)""")
 def entity_rollup(d: Domain):
-    return graph.entity_rollup(graph.common_input_clusters(d.tx_in, d.tx_out), d.tx_in, d.tx_out)
+    return graph.entity_rollup(d.clusters, d.tx_in, d.tx_out)
 
 
 @query(_CC + "SELECT a.addr, coalesce(entity_id, a.addr) AS wallet FROM (SELECT DISTINCT addr FROM tx_out) a LEFT JOIN cl USING (addr)")
 def wallet_of_address(d: Domain):
-    return graph.wallets(graph.common_input_clusters(d.tx_in, d.tx_out), d.tx_out.select("addr").distinct())
+    return d.wallets
 
 
 @query(_CC + """, w AS (SELECT a.addr, coalesce(entity_id, a.addr) AS wallet FROM (SELECT DISTINCT addr FROM tx_out) a LEFT JOIN cl USING (addr))
     SELECT o.txid, wallet, sum(amount)::BIGINT AS amount, 'out' AS side FROM tx_out o JOIN w USING (addr) GROUP BY o.txid, wallet
     UNION ALL SELECT r.txid, wallet, sum(prev_amount)::BIGINT, 'in' FROM r JOIN w ON r.prev_addr = w.addr GROUP BY r.txid, wallet""")
 def value_flows(d: Domain):
-    wallet = graph.wallets(graph.common_input_clusters(d.tx_in, d.tx_out), d.tx_out.select("addr").distinct())
+    wallet = d.wallets
     return graph.value_flows(d.tx_in, d.tx_out, wallet)
 
 

@@ -107,7 +107,7 @@ def transaction_shapes(d: Domain):
 @query(_SHAPE + """SELECT txid, equal_tol_100 >= 3 AND n_inputs >= 3 AND n_outputs >= 3 AS mixing_like, one_big_one_small > 0 AS peel_like,
     CASE WHEN equal_tol_0 >= 3 AND n_inputs >= 3 AND n_outputs >= 3 THEN 1 + equal_tol_0 / (SELECT max(equal_tol_0) FROM sh) WHEN one_big_one_small = 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS baseline FROM sh""")
 def motif_flags(d: Domain):
-    return stats.motif_flags(stats.shape_features(d.tx_in, d.tx_out, d.tx))
+    return stats.motif_flags(d.shapes)
 
 
 _REF = ", rf AS (SELECT txid, us, fee, row_number() OVER (ORDER BY us // 1000000, txid) <= greatest(1, floor(0.7 * (SELECT count(*) FROM tx))) AS is_ref FROM tx)"
@@ -172,6 +172,17 @@ def population_burst(d: Domain):
     return b.withColumn("baseline", F.round("baseline", 6)).withColumn("surprise", F.round("surprise", 6) + 0.0)
 
 
+_WIDE = _FAMILIES.replace("900000000", "172800000000").replace("greatest(1e-12, 1 - (SELECT coalesce(sum(exp(-greatest(base, 0.25::DOUBLE) + i * ln(greatest(base, 0.25::DOUBLE)) - lgamma(i + 1))), 0) FROM generate_series(0, n::BIGINT - 1) s(i)))",
+    "greatest(1e-12, CASE WHEN n > base THEN (SELECT sum(exp(i * ln(base) - base - lgamma(i + 1))) FROM generate_series(n::BIGINT, n::BIGINT + 5000) s(i)) ELSE 1 - (SELECT coalesce(sum(exp(i * ln(base) - base - lgamma(i + 1))), 0) FROM generate_series(0, n::BIGINT - 1) s(i)) END)")
+
+
+@query(_WIDE + "SELECT family, bucket, n, round(baseline, 6) AS baseline, round(surprise, 6) + 0.0 AS surprise FROM pb")
+def population_burst_wide(d: Domain):
+    """Windows of two days: rates in the hundreds and thousands."""
+    b = stats.population_bursts(_families(d), 172800)
+    return b.withColumn("baseline", F.round("baseline", 6)).withColumn("surprise", F.round("surprise", 6) + 0.0)
+
+
 @query(_FAMILIES + "SELECT fm.txid, round(max(CASE WHEN member THEN surprise ELSE 0 END), 6) + 0.0 AS burst FROM fm CROSS JOIN lo JOIN pb ON pb.family = fm.family AND pb.bucket = (fm.us - low) // 900000000 GROUP BY fm.txid")
 def inherited_burst(d: Domain):
     return stats.inherited_bursts(_families(d)).withColumn("burst", F.round("burst", 6) + 0.0)

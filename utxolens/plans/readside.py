@@ -17,7 +17,7 @@ _SIZES = _CC + ", mb AS (SELECT entity_id, count(*) AS address_count FROM cl GRO
 
 
 def _clusters(d: Domain):
-    return graph.common_input_clusters(d.tx_in, d.tx_out)
+    return d.clusters
 
 
 def _sizes(d: Domain):
@@ -44,7 +44,7 @@ _POINTS = _CC + ", w AS (SELECT a.addr, coalesce(entity_id, a.addr) AS wallet FR
 
 
 def _points(d: Domain):
-    wallet = graph.wallets(_clusters(d), d.tx_out.select("addr").distinct())
+    wallet = d.wallets
     return readside.wallet_endpoints(d.tx_in, d.tx_out, d.obs, wallet)
 
 
