@@ -152,12 +152,12 @@ def test_binomial_tails_of_busy_wallets(spark):
 
     cases = [(0, 5, 0.3), (3, 5, 0.3), (5, 5, 0.3), (6, 5, 0.3), (2, 9, 0.0), (2, 9, 1.0), (40, 100, 0.3), (20, 100, 0.3), (3000, 9000, 0.31), (2700, 9000, 0.31), (9000, 9000, 0.999)]
     df = spark.createDataFrame(cases + [(5_000_900, 10_000_000, 0.5)], "k long, n long, p double")
-    got = {(r.k, r.n): r.t for r in df.select("k", "n", binomial_tail(F.col("k"), F.col("n"), F.col("p")).alias("t")).collect()}
+    got = {(r.k, r.n, r.p): r.t for r in df.select("k", "n", "p", binomial_tail(F.col("k"), F.col("n"), F.col("p")).alias("t")).collect()}
     for k, n, p in cases:
         want = 1.0 if k <= 0 or p >= 1 else 0.0 if p <= 0 or k > n else plain(k, n, p)
-        assert got[k, n] == pytest.approx(want, rel=1e-7, abs=1e-12)
+        assert got[k, n, p] == pytest.approx(want, rel=1e-7, abs=1e-12)
     # 900 of 10 million above the mean: 0.569 standard deviations.
-    assert got[5_000_900, 10_000_000] == pytest.approx(1 - NormalDist().cdf(899.5 / (10_000_000 * 0.25) ** 0.5), abs=1e-6)
+    assert got[5_000_900, 10_000_000, 0.5] == pytest.approx(1 - NormalDist().cdf(899.5 / (10_000_000 * 0.25) ** 0.5), abs=1e-6)
 
 
 def test_path_signals_count_other_findings_only(spark):
