@@ -36,7 +36,7 @@ _DIGITS = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL = re.compile(r"[^\s<>\"'`{}|\\^\[\]]+")
-_ACCOUNT = re.compile(r"(?:[ \t]*(?:no|nr|number|id|code)\b\.?)?[ \t]*[:=#]?[ \t]*[\"']?([A-Za-z0-9][A-Za-z0-9_+/.-]*[A-Za-z0-9])", re.IGNORECASE)
+_ACCOUNT = re.compile(r"(?:[ \t]*+(?:no|nr|number|id|code)\b\.?)?[ \t]*+[:=#]?[ \t]*+[\"']?([A-Za-z0-9][A-Za-z0-9_+/.-]*[A-Za-z0-9])", re.IGNORECASE)
 _AUTOMATON = None
 
 
