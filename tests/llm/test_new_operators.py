@@ -276,3 +276,39 @@ def test_periodic_runs_of_the_driver_table(spark):
 def test_collapsed_texts(spark):
     df = spark.createDataFrame([(1, "go go go go go go  on"), (2, "as  it is"), (3, None)], "n int, text string")
     assert [r.text for r in runs.collapsed_texts(df).orderBy("n").collect()] == ["go on", "as  it is", None]
+
+
+# What earlier operators do with odd sizes
+
+
+def test_blanks_behind_a_cue_are_read_once():
+    import time
+
+    from utxolens.llm.pii import find_spans
+
+    for text in ("account" + " " * 100_000, "iban \t" * 20_000 + "x", "token " + " no" * 50_000, "account" + " \t" * 50_000 + "no. : 'DE12345678'"):
+        began = time.perf_counter()
+        found = find_spans(text)
+        assert time.perf_counter() - began < 0.5, text[:20]
+    assert [text[a:b] for a, k, b in found if k == 5] == ["DE12345678"]
+
+
+def test_overlaps_are_those_of_sets():
+    from utxolens.llm.simhash import overlaps
+
+    rnd = random.Random(8)
+    sets = [np.unique(np.array([rnd.randrange(60) for _ in range(rnd.choice([0, 3, 30, 200]))], np.uint64)) for _ in range(40)]
+    i, j = (np.array([rnd.randrange(40) for _ in range(500)]) for _ in range(2))
+    for most in (1, 50, 1 << 22):
+        assert overlaps(sets, i, j, most).tolist() == [len(set(sets[a].tolist()) & set(sets[b].tolist())) for a, b in zip(i, j)]
+
+
+def test_long_texts_are_dealt_out_by_bytes(spark, monkeypatch):
+    from utxolens.llm import simhash
+
+    monkeypatch.setattr(simhash, "TILE_BYTES", 3000)
+    rnd = random.Random(9)
+    base = [f"w{rnd.randrange(900)}" for _ in range(400)]
+    rows = [(i, " ".join(base[:k] + [f"new{i}"] + base[k + 1 :])) for i in range(24) for k in [rnd.randrange(400)]] + [(100 + i, " ".join(f"z{rnd.randrange(900)}" for _ in range(400))) for i in range(6)]
+    got = {r.node: r.root for r in simhash.similar_texts(spark.createDataFrame(rows, "id long, text string"), "id").collect()}
+    assert {got[i] for i in range(24)} == {0} and all(got[100 + i] == 100 + i for i in range(6))

@@ -67,7 +67,7 @@ def fingerprint(text: bytes | None, words: int = 4, distinct: bool = False) -> b
 
 
 def fingerprints(df: DataFrame, row: Column, text_col: str, words: int, distinct: bool = False) -> DataFrame:
-    """(row, key, fp): fp the fingerprint's 64 bits as a signed long, key the text's md5 digest."""
+    """(row, key, fp, size): fp the fingerprint's 64 bits as a signed long, key the text's md5 digest, size its bytes."""
 
     def run(batches):
         import hashlib
@@ -78,10 +78,11 @@ def fingerprints(df: DataFrame, row: Column, text_col: str, words: int, distinct
             texts = b.column(1).to_pylist()
             fp = [int.from_bytes(fingerprint(t, words, distinct), "big", signed=True) for t in texts]
             key = pa.array([hashlib.md5(t or b"").digest() for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), key, pa.array(fp, pa.int64())], ["row", "key", "fp"])
+            size = pa.array([len(t or b"") for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), key, pa.array(fp, pa.int64()), size], ["row", "key", "fp", "size"])
 
     source = df.select(row.alias("row"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, key binary, fp long")
+    return source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, key binary, fp long, size long")
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -195,6 +196,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 # ---- texts that share most of their shingles ------------------------------------------------------
 
+#: Bytes of text that a block of candidates holds, about: a longer text is one by itself, with what falls to its block.
+TILE_BYTES = 8 << 20
+
 
 def shingle_set(text: bytes | None, words: int = 5):
     """The sorted distinct 64-bit hashes of the word shingles; of fewer words the whole sequence is one."""
@@ -211,17 +215,29 @@ def shingle_set(text: bytes | None, words: int = 5):
     return np.unique(h ^ (h >> np.uint64(32)))
 
 
-def shared_bits(sets):
-    """Each set as a row of bits over the values that two sets or more hold."""
+def overlaps(sets, i, j, most: int = 1 << 22):
+    """How many values the sets i[p] and j[p] share, for each p; memory follows the sets and `most` values compared at a time."""
     import numpy as np
 
-    values, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    column = np.cumsum(counts > 1) - 1
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    row, at = row[counts[at] > 1], column[at[counts[at] > 1]]
-    bits = np.zeros((len(sets), (int((counts > 1).sum()) + 63) // 64), np.uint64)
-    np.bitwise_or.at(bits, (row, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
-    return bits
+    size = np.array([len(s) for s in sets])
+    first = np.concatenate(([0], np.cumsum(size)))
+    values, code = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, both, order = np.zeros(len(values), bool), np.zeros(len(i), np.int64), np.argsort(i, kind="stable")
+    cuts = [*np.flatnonzero(np.append(True, i[order][1:] != i[order][:-1])).tolist(), len(i)] if len(i) else [0]
+    for a, z in zip(cuts, cuts[1:]):
+        own = code[first[i[order[a]]] : first[i[order[a]] + 1]]
+        mark[own] = True
+        others = j[order[a:z]]
+        upto, at = np.cumsum(size[others]), 0
+        while at < len(others):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+            to = others[at:end]
+            n = size[to]
+            place = np.arange(n.sum()) + np.repeat(first[to] - (np.cumsum(n) - n), n)
+            both[order[a + at : a + end]] = np.bincount(np.repeat(np.arange(len(to)), n), mark[code[place]], len(to)).astype(np.int64)
+            at = end
+        mark[own] = False
+    return both
 
 
 def alike(fp, sets, label, similarity: float, distance: int, side):
@@ -232,7 +248,7 @@ def alike(fp, sets, label, similarity: float, distance: int, side):
     """
     import numpy as np
 
-    n, bits, pairs = np.array([len(s) for s in sets]), shared_bits(sets), []
+    n, pairs = np.array([len(s) for s in sets]), []
     for at in range(0, len(fp), 512):
         rows = np.arange(at, min(len(fp), at + 512))
         d = np.bitwise_count(fp[rows, None] ^ fp[None, :])
@@ -243,12 +259,12 @@ def alike(fp, sets, label, similarity: float, distance: int, side):
     pairs = np.concatenate(pairs, axis=1)
     pairs = pairs[1:, np.argsort(pairs[0], kind="stable")]
     root = np.unique(label, return_index=True)[1][label]  # the first row of each label
-    before, step = root.copy(), max(64, (1 << 21) // max(1, bits.shape[1]))
+    before, step = root.copy(), 4096
     for at in range(0, pairs.shape[1], step):
         i, j = pairs[:, at : at + step]
         open_ = root[i] != root[j]
         i, j = i[open_], j[open_]
-        both = np.bitwise_count(bits[i] & bits[j]).sum(1, dtype=np.int64)
+        both = overlaps(sets, i, j)
         good = both >= similarity * (n[i] + n[j] - both) - 1e-9
         moved, to = spanning_forest(len(fp), root[i[good]], root[j[good]])
         up = np.arange(len(fp))
@@ -293,12 +309,13 @@ def similar_texts(df: DataFrame, row_col: str, text_col: str = "text", *, words:
     """
     spark = df.sparkSession
     prints = fingerprints(df, F.col(row_col), text_col, 1, distinct=True)
-    classes = keep(prints.groupBy("key").agg(F.min("row").alias("node"), F.first("fp").alias("fp"), F.count("*").alias("copies")), "texts")
+    classes = keep(prints.groupBy("key").agg(F.min("row").alias("node"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.count("*").alias("copies")), "texts")
     prints = classes.groupBy("fp").agg(F.lit(0).cast("long").alias("id"), F.count("*").alias("n"))
     near = connected_components(links(prints, distance)).select(F.col("node.fp").alias("fp"), F.col("root.fp").alias("ring"))
     ring = prints.join(near, "fp", "left").where("ring is not null or n > 1").select("fp", F.coalesce("ring", "fp").alias("ring"))
     placed = classes.join(ring, "fp")
-    sizes = placed.groupBy("ring").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.max_by("node", F.struct("copies", "node")).alias("pivot")).where("blocks > 0")
+    fill = lambda what: F.ceil(F.greatest(F.count("*") / block, F.sum("size") / TILE_BYTES, F.lit(1))).cast("int").alias(what)
+    sizes = placed.groupBy("ring").agg(fill("blocks"), F.max_by("node", F.struct("copies", "node")).alias("pivot")).where("blocks > 0")
     placed = keep(placed.join(sizes, "ring").withColumn("blk", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")), "placed")
     texts = df.select(F.col(row_col).alias("node"), F.col(text_col).cast("string").cast("binary").alias("text"))
     kind = classes.schema["node"].dataType.simpleString()
@@ -318,7 +335,7 @@ def similar_texts(df: DataFrame, row_col: str, text_col: str = "text", *, words:
         named = wide.join(connected_components(done[0]), "node", "left").withColumn("label", F.coalesce("root", "node"))
         counts = named.groupBy("ring", "label").agg(F.count("*").alias("n")).groupBy("ring").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
         named = named_table = keep(named.join(counts, "ring").withColumn("side", F.col("label") != F.col("main")), "labelled")
-        rest = named.where("side").groupBy("ring").agg(F.ceil(F.count("*") / block).cast("int").alias("open"))
+        rest = named.where("side").groupBy("ring").agg(fill("open"))
         named = named.join(rest, "ring").withColumn("ob", F.pmod(F.xxhash64("key", F.lit(1)), F.col("open")).cast("int"))
         right = named.select("node", "fp", "label", F.lit(False).alias("side"), "ring", "blk", F.explode(F.expr("sequence(0, open - 1)")).alias("ob"))
         left = named.where("side").select("node", "fp", "label", "side", "ring", F.explode(F.expr("sequence(0, blocks - 1)")).alias("blk"), "ob")
