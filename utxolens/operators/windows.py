@@ -62,7 +62,7 @@ def findings(tx_out: DataFrame, tx_in: DataFrame, tx: DataFrame) -> DataFrame:
     f = window_features(memberships(tx_out))
     parts = []
     for seconds in SPANS:
-        parts += [count_rule(f, "concentrated_collection", 2, 25, 15, seconds), count_rule(f, "emerging_hub", 3, 20, 10, seconds)]
+        parts += [count_rule(f, "concentrated_collection", 3, 25, 15, seconds), count_rule(f, "emerging_hub", 4, 20, 10, seconds)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -70,10 +70,17 @@ def findings(tx_out: DataFrame, tx_in: DataFrame, tx: DataFrame) -> DataFrame:
 
 
 def daily_collapse(found: DataFrame) -> DataFrame:
-    """One primary per (address, rule, UTC day): highest score, most transactions, narrowest window; the rest are counted."""
-    day = Window.partitionBy("addr", "rule", window_start(F.col("start_us"), F.lit(86400)))
-    order = day.orderBy(F.desc("score"), F.desc("transactions"), "seconds", "start_us")
-    return found.withColumn("rn", F.row_number().over(order)).withColumn("matched_windows", F.count("*").over(day) - 1).where("rn = 1").drop("rn")
+    """One primary per (address, rule, UTC day): highest score, most transactions, narrowest window; the others are listed as seconds:start.
+
+    A day has 121 windows at most, so a group's list is bounded.
+    """
+    day = window_start(F.col("start_us"), F.lit(86400))
+    primary = F.min(F.struct((-F.col("score")).alias("s"), (-F.col("transactions")).alias("t"), "seconds", "start_us")).alias("p")
+    listed = F.array_sort(F.collect_list(F.struct("seconds", "start_us"))).alias("all")
+    groups = found.groupBy("addr", "rule", day.alias("day")).agg(primary, listed)
+    others = F.filter("all", lambda w: (w.seconds != F.col("p.seconds")) | (w.start_us != F.col("p.start_us")))
+    names = F.array_join(F.transform(others, lambda w: F.concat_ws(":", w.seconds.cast("string"), w.start_us.cast("string"))), ",")
+    return groups.select("addr", "p.seconds", "p.start_us", "rule", (-F.col("p.s")).alias("score"), (-F.col("p.t")).alias("transactions"), F.size(others).cast("long").alias("matched_windows"), names.alias("matched"))
 
 
 def dedupe_and_rank(found: DataFrame, key: list[str], score: str, ties: list[Column]) -> DataFrame:

@@ -125,20 +125,27 @@ def rapid_redistribution(d: Domain):
     return windows.rapid_redistribution(windows.window_features(windows.memberships(d.tx_out)), spends.rapid_spends(d.tx_in, d.tx_out, d.tx), 3, 86400)
 
 
-_FOUND = _FEATURES + ", found AS (" + " UNION ALL ".join(_rule(*r, s) for s in windows.SPANS for r in (("concentrated_collection", 2, 25, 15), ("emerging_hub", 3, 20, 10))) + ")"
+# The rules at their own thresholds, over parts as addresses, which recur.
+_PARTS = _FEATURES.replace("SELECT addr, txid, vout", "SELECT concat('p', part) AS addr, txid, vout")
+_FOUND = _PARTS + ", found AS (" + " UNION ALL ".join(_rule(*r, s) for s in windows.SPANS for r in (("concentrated_collection", 3, 25, 15), ("emerging_hub", 4, 20, 10))) + ")"
 
 
-@query(_FOUND + """, c AS (SELECT *, row_number() OVER (PARTITION BY addr, rule, start_us - start_us % 86400000000 ORDER BY score DESC, transactions DESC, seconds, start_us) AS rn,
-    count(*) OVER (PARTITION BY addr, rule, start_us - start_us % 86400000000) - 1 AS matched_windows FROM found) SELECT addr, seconds, start_us, rule, score, transactions, matched_windows FROM c WHERE rn = 1""")
+def _found_windows(d: Domain):
+    parts = d.tx_out.withColumn("addr", F.concat(F.lit("p"), F.col("part").cast("string")))
+    return windows.findings(parts, d.tx_in, d.tx)
+
+
+@query(_FOUND + """, c AS (SELECT *, start_us - start_us % 86400000000 AS day, row_number() OVER (PARTITION BY addr, rule, start_us - start_us % 86400000000 ORDER BY score DESC, transactions DESC, seconds, start_us) AS rn FROM found)
+    SELECT addr, max(seconds) FILTER (rn = 1) AS seconds, max(start_us) FILTER (rn = 1) AS start_us, rule, max(score) FILTER (rn = 1) AS score, max(transactions) FILTER (rn = 1) AS transactions, count(*) - 1 AS matched_windows, coalesce(string_agg(concat(seconds, ':', start_us), ',' ORDER BY seconds, start_us) FILTER (rn > 1), '') AS matched FROM c GROUP BY addr, rule, day""")
 def daily_collapse(d: Domain):
-    return windows.daily_collapse(windows.findings(d.tx_out, d.tx_in, d.tx))
+    return windows.daily_collapse(_found_windows(d))
 
 
 @query(_FOUND + """, k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY addr, rule ORDER BY score DESC, rule, addr, seconds, start_us) AS rn FROM found) WHERE rn = 1)
     SELECT addr, seconds, start_us, rule, score, transactions, row_number() OVER (ORDER BY score DESC, rule, addr, seconds, start_us)::INT AS rank FROM k""")
 def dedupe_rank(d: Domain):
     ties = [F.col(c) for c in ("rule", "addr", "seconds", "start_us")]
-    return windows.dedupe_and_rank(windows.findings(d.tx_out, d.tx_in, d.tx), ["addr", "rule"], "score", ties)
+    return windows.dedupe_and_rank(_found_windows(d), ["addr", "rule"], "score", ties)
 
 
 @query("SELECT obs_id, ln(1 + count(*) OVER (PARTITION BY src_ip ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND 1 PRECEDING)) AS recent FROM obs")
