@@ -6,7 +6,7 @@ from statistics import NormalDist
 
 import pytest
 from pyspark.sql import functions as F
-from utxolens.operators import anomaly, graph, layers, ordered, ranking, readside, risk, stats
+from utxolens.operators import anomaly, graph, groups, layers, ordered, readside, risk, stats
 
 
 def test_stouffer_is_the_weighted_sum_of_normal_quantiles(spark):
@@ -22,21 +22,42 @@ def test_stouffer_is_the_weighted_sum_of_normal_quantiles(spark):
         assert got[t] == pytest.approx(z / (1 + 0.25) ** 0.5)
 
 
+def plain_groups(rows, most):
+    """{frozenset of ids} by one pass over all findings."""
+    day, made = 86_400_000_000, []
+    for i, s, e, rule, entity, a in sorted(rows, key=lambda x: (x[1], x[2], x[3], x[4], x[0])):
+        free = bool(a) and s <= e <= (s // day + 1) * day
+        fit = next((g for g in made if g["free"] and free and g["rule"] == rule and g["day"] == s // day and (rule == "peel" or g["focal"] == entity) and g["anchors"] & set(a) and len(g["ids"]) < most), None)
+        if fit is None:
+            made.append(fit := {"free": free, "rule": rule, "day": s // day, "focal": entity, "anchors": set(a), "ids": []})
+        fit["ids"].append(i)
+    return made
+
+
 def test_review_groups_agree_with_one_pass_over_all_findings(spark):
     r = random.Random(2)
     day = 86_400_000_000
-    rows = [(i, r.randrange(3 * day), ["peel", "fan"][i % 2], [str(x) for x in r.sample(range(40), r.randrange(4))]) for i in range(300)]
-    found = spark.createDataFrame([(i, s, s + 9, rule, str(i), a) for i, s, rule, a in rows], "id long, start_us long, end_us long, rule string, entity string, anchors array<string>")
-    groups = []  # (rule, day, anchors of the representative, members)
-    for i, s, rule, a in sorted(rows, key=lambda x: (x[1], x[2], str(x[0]))):
-        fit = next((g for g in groups if g[0] == rule and g[1] == s // day and g[2] & set(a) and len(g[3]) < 5), None)
-        if fit is None:
-            groups.append(fit := (rule, s // day, set(a), []))
-        fit[3].append(i)
+    rows = [(i, s := r.randrange(3 * day), s + r.choice([9, -1, day // 3]), ["peel", "fan"][i % 2], f"e{r.randrange(4)}", [str(x) for x in r.sample(range(30), r.randrange(4))]) for i in range(400)]
+    found = spark.createDataFrame(rows, "id long, start_us long, end_us long, rule string, entity_ref string, anchors array<string>")
     got = {}
-    for x in ranking.review_groups(found, most=5).collect():
-        got.setdefault((x.rule, x.day, x.group_no), set()).add(x.id)
-    assert sorted(map(sorted, got.values())) == sorted(sorted(g[3]) for g in groups)
+    for x in groups.review_groups(found, most=5).collect():
+        got.setdefault(x.leader, []).append((x.ordinal, x.id, x.singleton))
+    assert {tuple(i for _, i, _ in sorted(g)) for g in got.values()} == {tuple(g["ids"]) for g in plain_groups(rows, 5)}
+    assert all(leader == sorted(g)[0][1] for leader, g in got.items()) and {s for g in got.values() for *_, s in g} == {None, "no anchor", "the window leaves its day"}
+
+
+def test_anchors_are_spends_of_walks_and_exact_sources_of_others(spark):
+    found = spark.createDataFrame([(1, "peeling", "address:a"), (2, "peeling", "tx:7"), (3, "fan_out", "address:h"), (4, "fan_out", "address:h"), (5, "fan_out", "tx:9"), (6, "peeling", "address:z")], "id long, rule string, entity_ref string")
+    spends = spark.createDataFrame([(1, 10, 11), (2, 11, 12), (3, 1, 2)], "id long, prev_txid long, txid long")
+    refs = spark.createDataFrame([(3, "e", "/0", "s"), (4, "e", "/0", "s"), (4, "e", None, "s"), (5, "e", "/2", "s"), (6, "e", "/0", "s")], "id long, evidence_id string, locator string, sha256 string")
+    rows = groups.finding_anchors(found, spends, refs)
+    got = {x.id: x for x in rows.collect()}
+    assert len(set(got[1].anchors) & set(got[2].anchors)) == 1 and got[3].anchors == got[4].anchors != got[5].anchors and got[6].anchors == []
+    assert got[1].txs == ["tx:10", "tx:11"] and sorted(got[2].txs) == ["tx:11", "tx:12", "tx:7"] and got[3].txs == [] and got[5].txs == ["tx:9"] and got[5].entities == []
+    timed = rows.withColumns({"start_us": F.col("id"), "end_us": F.col("id") + 5})
+    made = groups.review_groups(timed)
+    assert {x.id: x.leader for x in made.collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6}
+    assert {x.leader: (x.members, x.transactions, x.entities, x.start_us, x.end_us) for x in groups.group_coverage(made, timed).collect()} == {1: (2, 4, 1, 1, 7), 3: (2, 0, 1, 3, 9), 5: (1, 1, 0, 5, 10), 6: (1, 0, 1, 6, 11)}
 
 
 def test_change_points_are_the_run_length_posterior(spark):

@@ -49,36 +49,6 @@ def cosine_top_k(vectors: DataFrame, seed_id: int, k: int) -> DataFrame:
     return vectors.where(F.col("vec_id") != seed_id).crossJoin(F.broadcast(seed)).select("vec_id", F.round(sim, 9).alias("similarity")).orderBy(F.desc("similarity"), "vec_id").limit(k)
 
 
-def review_groups(found: DataFrame, most: int = 256) -> DataFrame:
-    """Greedy groups: a finding joins the lowest group of its family and day whose representative shares an anchor, else founds one.
-
-    Order decides, so a family's day is one task; families and days never meet.
-    """
-
-    def assign(key, pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["start_us", "end_us", "rule", "entity", "id"])
-        members: list[int] = []
-        by_anchor: dict[str, list[int]] = {}
-        rows = []
-        for r in pdf.itertuples():
-            fits = sorted({g for a in r.anchors for g in by_anchor.get(a, ()) if members[g] < most})
-            if fits:
-                g, lead = fits[0], False
-            else:
-                g, lead = len(members), True
-                members.append(0)
-                for a in r.anchors:
-                    by_anchor.setdefault(a, []).append(g)
-            members[g] += 1
-            rows.append((r.id, r.rule, int(r.day), g, lead))
-        return pd.DataFrame(rows, columns=["id", "rule", "day", "group_no", "representative"])
-
-    day = F.floor(F.col("start_us") / 86_400_000_000)
-    return found.withColumn("day", day).groupBy("rule", "day").applyInPandas(assign, "id long, rule string, day long, group_no long, representative boolean")
-
-
 def multiset_fingerprint(df: DataFrame) -> DataFrame:
     """Row count and an order-free digest: the sum of row hashes modulo 2**61 - 1, so nothing is gathered."""
     h = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in df.columns]).cast("binary")), 1, 12), 16, 10).cast("decimal(38,0)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import intake, ranking
+from ..operators import groups, intake, ranking
 from ..session import keep, prepare
 from ..sources import files
 from .domain import Domain
@@ -197,9 +197,26 @@ def scan_xml(d: Domain):
     return _scanned(d, "xml")
 
 
+def _episodes(d: Domain):
+    """Walk findings tied by spends, and window findings tied by the transactions they rest on."""
+    spends = d.tx_in.select(F.col("txid").alias("id"), "prev_txid", "txid").distinct()
+    times = d.tx.select(F.col("txid").alias("id"), F.col("us").alias("start_us"), (F.col("us") + 900_000_000).alias("end_us"))
+    walks = times.join(spends.select("id").distinct(), "id").select("*", F.lit("peeling_chain_candidate").alias("rule"), F.concat(F.lit("tx:"), F.col("id").cast("string")).alias("entity_ref"))
+    shift = 1 << 40
+    o = d.tx_out.where("addr is not null").select("part", "txid", F.floor(F.col("us") / 900_000_000).alias("w")).distinct()
+    fans = o.groupBy("part", "w").agg(F.count("*").alias("n")).where("n >= 1")
+    fans = fans.select((shift + F.col("w") * 100_000 + F.col("part") % 100_000).alias("id"), "part", "w").where("part < 100000")
+    found = fans.select("id", (F.col("w") * 900_000_000).alias("start_us"), ((F.col("w") + 1) * 900_000_000).alias("end_us"), F.lit("fan_out").alias("rule"), F.concat(F.lit("address:p"), F.col("part").cast("string")).alias("entity_ref"))
+    refs = o.join(fans, ["part", "w"]).select("id", F.lit("e").alias("evidence_id"), F.concat(F.lit("/"), (F.col("txid") % 97).cast("string")).alias("locator"), F.lit("h").alias("sha256"))
+    return keep(groups.finding_anchors(walks.unionByName(found), spends, refs), "episodes")
+
+
 @query()
 def investigation_groups(d: Domain):
-    o = d.tx_out.join(d.tx_in.select("txid", "prev_txid").distinct(), "txid")
-    found = o.groupBy("txid").agg(F.min("us").alias("start_us"), F.array_sort(F.collect_set(F.col("prev_txid").cast("string"))).alias("anchors"))
-    found = found.select(F.col("txid").alias("id"), "start_us", (F.col("start_us") + 900_000_000).alias("end_us"), F.lit("chain").alias("rule"), F.col("txid").cast("string").alias("entity"), F.slice("anchors", 1, 256).alias("anchors"))
-    return ranking.review_groups(found)
+    return groups.review_groups(_episodes(d))
+
+
+@query()
+def investigation_coverage(d: Domain):
+    found = _episodes(d)
+    return groups.group_coverage(groups.review_groups(found), found)
