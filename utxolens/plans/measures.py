@@ -224,13 +224,3 @@ def spearman(d: Domain):
 @query("SELECT txid, ((row_number() OVER (ORDER BY fee, txid) - 1) / greatest(1, count(*) OVER () - 1) + (row_number() OVER (ORDER BY us, txid) - 1) / greatest(1, count(*) OVER () - 1)) / 2 AS fused FROM tx")
 def rank_average_fuse(d: Domain):
     return stats.rank_average(d.tx, ["fee", "us"])
-
-
-# Findings at levels under which the synthetic observations give some: the rule's own flags are in the queries above.
-@query(_BUYER + ", rf AS (SELECT 0)" + _RELAY.replace(", se AS", ", se AS", 1).replace("te AS (", "tr AS (").replace("FROM te)", "FROM tr)").replace("FROM te)", "FROM tr)").replace("p FROM te", "p FROM tr") + """, ff AS (SELECT concat('wallet:', wallet) AS entity_ref, 'relay_concentration' AS rule, round(least(1.0, p * (SELECT count(*) FROM te)), 9) AS adjusted FROM pv WHERE n / total >= 0.3
-    UNION ALL SELECT concat('endpoint:', ip), 'relay_flow_coherence', round(least(1.0, p * tested), 9) FROM rp WHERE coherent >= 1), sc AS (SELECT *, least(50.0, -log10(greatest(adjusted, 1e-50))) + 0.0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY adjusted, entity_ref) AS k FROM ff) WHERE k <= 500)
-    SELECT entity_ref, rule, adjusted, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, entity_ref, rule)::INT AS rank FROM sc""")
-def network_findings(d: Domain):
-    wallets = _correlation(d, "asn").withColumn("flagged", F.col("n") / F.col("total") >= 0.3)
-    relays = network.relay_flags(network.relay_coherence(d.tx_in, d.tx_out, d.obs)).withColumn("adjusted", F.round("adjusted", 9)).withColumn("flagged", F.col("coherent") >= 1)
-    return network.network_findings(wallets, relays).withColumn("score", F.round(F.col("score") + 0.0, 6))
