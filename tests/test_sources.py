@@ -87,3 +87,17 @@ def test_counts_equal_scans(spark, tmp_path):
         assert files.count_records(spark, str(tmp_path / name), kind) == n
         if kind != "xml":
             assert files.scan(spark, str(tmp_path / name), kind, "k string").count() == n
+
+
+def test_headers_are_described_by_thirteen_fields():
+    got = files.describe(["Timestamp", "Source IP", "Destination Port", "TxID", "From Addresses", "Output Values", "Country", "AS Number", "extra"])
+    assert len(got["minimum"]) == 13 and got["minimum"]["src_ip"] == "Source IP -> src_ip" and got["unmapped"] == ["extra"]
+    assert got["missing"] == ["dst_ip", "src_port", "output_addresses[]", "input_amounts[]", "fee", "script_type"]
+    full = files.describe(["txid", "observed_at", "inputs", "outputs", "asn", "fee_sats", "src_ip", "dst_ip", "src_port", "dst_port"])
+    assert full["missing"] == [] and full["minimum"]["script_type"] == "outputs -> outputs" and full["renames"] == {}
+
+
+def test_recounts_take_each_first_record(spark):
+    rows = spark.createDataFrame([(2, "a", ["x"], None), (1, "a", ["x", "y"], ["z"]), (3, "b", [], ["z"])], "logical_record long, txid string, inputs array<string>, outputs array<string>")
+    assert tuple(files.recount(rows).first()) == (3, 2, 2, 2, 2, 1)
+    assert tuple(files.recount(rows.limit(0)).first()) == (0,) * 6

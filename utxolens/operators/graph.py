@@ -101,32 +101,35 @@ def peeling_hops(tx_in: DataFrame, tx_out: DataFrame) -> DataFrame:
     return joined.groupBy(*OUTPOINT, "spend_txid", "prev_amount").agg(F.min(smaller).alias("best")).select(*OUTPOINT, "spend_txid", F.col("prev_amount").alias("amount"), F.col("best.c_vout").alias("next_vout"))
 
 
-def peeling_walks(hops: DataFrame, longest: int = 8, shortest: int = 3) -> DataFrame:
-    """Walks along hops from every spent outpoint; of walks over the same transactions the lowest start stays.
+def doubled_walks(hops: DataFrame, item, longest: int) -> DataFrame:
+    """(start_txid, start_vout, walk) from every hop: `item` of it and of the hops it leads to, `longest` at most.
 
-    A hop has one successor, so the table never grows: every level is one equi-join of the walks
-    that still go on, and those that ended leave the join.
+    A hop has one successor, so the table never grows; each round joins every walk with the one that begins where it ends, which
+    doubles its length: three joins for eight hops.
     """
-    hops = keep(hops, "hops")
-    step = hops.select(F.col("prev_txid").alias("t"), F.col("prev_vout").alias("v"), F.col("spend_txid").alias("s"), F.col("next_vout").alias("n"))
-    walks = hops.select(F.col("prev_txid").alias("start_txid"), F.col("prev_vout").alias("start_vout"), F.array("spend_txid").alias("path"), F.col("spend_txid").alias("t"), F.col("next_vout").alias("v"))
-    done = []
-    for _ in range(longest - 1):
-        moved = keep(walks.join(step, ["t", "v"], "left"), "walks")
-        done.append(moved.where("s is null").select("start_txid", "start_vout", "path"))
-        walks = moved.where("s is not null").select("start_txid", "start_vout", F.array_append("path", F.col("s")).alias("path"), F.col("s").alias("t"), F.col("n").alias("v"))
-    out = walks.select("start_txid", "start_vout", "path")
-    for d in done[shortest - 1 :]:
-        out = out.unionByName(d)
+    walks = hops.select(F.col("prev_txid").alias("start_txid"), F.col("prev_vout").alias("start_vout"), F.array(item).alias("walk"), F.col("spend_txid").alias("t"), F.col("next_vout").alias("v"))
+    length = 1
+    while length < longest:
+        rest = walks.select(F.col("start_txid").alias("t"), F.col("start_vout").alias("v"), F.col("walk").alias("more"), F.col("t").alias("t2"), F.col("v").alias("v2"))
+        both = F.when(F.col("more").isNull(), F.col("walk")).otherwise(F.concat("walk", "more"))
+        walks = keep(walks.join(rest, ["t", "v"], "left").select("start_txid", "start_vout", both.alias("walk"), F.col("t2").alias("t"), F.col("v2").alias("v")), "walks")
+        length *= 2
+    return walks.select("start_txid", "start_vout", F.slice("walk", 1, longest).alias("walk"))
+
+
+def peeling_walks(hops: DataFrame, longest: int = 8, shortest: int = 3) -> DataFrame:
+    """Walks along hops from every spent outpoint; of walks over the same transactions the lowest start stays."""
+    out = doubled_walks(keep(hops, "hops"), F.col("spend_txid"), longest).withColumnRenamed("walk", "path")
     first = F.min(F.struct("start_txid", "start_vout")).alias("s")
     return out.where(F.size("path") >= shortest).groupBy("path").agg(first).select("s.start_txid", "s.start_vout", F.size("path").alias("hops"), F.concat_ws(",", F.transform("path", lambda x: x.cast("string"))).alias("path"))
 
 
-def coinjoin_like(tx_in: DataFrame, tx_out: DataFrame, least: int = 3) -> DataFrame:
-    """Transactions with enough inputs, outputs and equal output values; largest group, then smaller value."""
+def coinjoin_like(tx_in: DataFrame, tx_out: DataFrame, least: int = 3, tolerance: int = 0) -> DataFrame:
+    """Transactions with enough inputs, outputs and equal output values (the smallest and up to `tolerance` more); largest group, then smaller value."""
     n_in = tx_in.groupBy("txid").agg(F.count("*").alias("n_in")).where(F.col("n_in") >= least)
-    groups = tx_out.groupBy("txid", "amount").agg(F.count("*").alias("n"), F.min("vout").alias("v"))
-    best = groups.groupBy("txid").agg(F.sum("n").alias("n_out"), F.min(F.struct((-F.col("n")).alias("k"), "amount", "v")).alias("b")).where((F.col("n_out") >= least) & (F.col("b.k") <= -least))
+    groups = tx_out.groupBy("txid", "amount").agg(F.count("*").alias("own"), F.min("vout").alias("v"))
+    near = F.sum("own").over(Window.partitionBy("txid").orderBy("amount").rangeBetween(0, tolerance)) if tolerance else F.col("own")
+    best = groups.withColumn("n", near).groupBy("txid").agg(F.sum("own").alias("n_out"), F.min(F.struct((-F.col("n")).alias("k"), "amount", "v")).alias("b")).where((F.col("n_out") >= least) & (F.col("b.k") <= -least))
     share = lambda c, cap: F.least(F.lit(1.0), F.col(c) / F.lit(float(cap)))
     out = best.join(n_in, "txid").select("txid", "n_in", "n_out", (-F.col("b.k")).alias("equal_outputs"), F.col("b.amount").alias("equal_value"))
     return out.withColumn("score", (share("n_in", 10) + share("n_out", 10) + share("equal_outputs", 10) + F.col("equal_outputs") / F.col("n_out")) / 4)

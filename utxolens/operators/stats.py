@@ -219,3 +219,10 @@ def rank_average(scores: DataFrame, layers: list[str]) -> DataFrame:
         place = ranked(scores.select("txid", c), [F.col(c), F.col("txid")], f"r_{c}").select("txid", f"r_{c}")
         out = out.join(place, "txid")
     return out.select("txid", (sum((F.col(f"r_{c}") - 1) / F.greatest(F.lit(1), F.col("whole") - 1) for c in layers) / len(layers)).alias("fused"))
+
+
+def brier(scored: DataFrame) -> DataFrame:
+    """One row: the mean squared distance of scores to labels, and that of always giving the share of ones; nulls for no row."""
+    y = F.col("label").cast("int")
+    out = scored.where("score is not null and label is not null").agg(F.count("*").alias("n"), F.avg(F.pow(F.col("score") - y, F.lit(2))).alias("brier"), F.avg(y).alias("share"))
+    return out.select("n", "brier", (F.col("share") * (1 - F.col("share"))).alias("base"))

@@ -87,6 +87,13 @@ def coinjoin_like(d: Domain):
     return graph.coinjoin_like(d.tx_in, d.tx_out)
 
 
+@query(""", i AS (SELECT txid, count(*) AS n_in FROM tx_in GROUP BY txid HAVING count(*) >= 3), g AS (SELECT txid, amount, count(*) AS own FROM tx_out GROUP BY txid, amount), gn AS (SELECT *, (SELECT sum(own) FROM g h WHERE h.txid = g.txid AND h.amount BETWEEN g.amount AND g.amount + 1000000)::BIGINT AS n FROM g),
+    b AS (SELECT txid, sum(own) OVER (PARTITION BY txid)::BIGINT AS n_out, n AS equal_outputs, amount AS equal_value, row_number() OVER (PARTITION BY txid ORDER BY n DESC, amount) AS rn FROM gn)
+    SELECT txid, n_in, n_out, equal_outputs, equal_value, (least(1.0::DOUBLE, n_in / 10.0::DOUBLE) + least(1.0::DOUBLE, n_out / 10.0::DOUBLE) + least(1.0::DOUBLE, equal_outputs / 10.0::DOUBLE) + equal_outputs / n_out) / 4 AS score FROM b JOIN i USING (txid) WHERE rn = 1 AND n_out >= 3 AND equal_outputs >= 3""")
+def coinjoin_like_tolerance(d: Domain):
+    return graph.coinjoin_like(d.tx_in, d.tx_out, tolerance=1_000_000)
+
+
 @query(""", u AS (SELECT DISTINCT o.addr AS from_addr, s.txid FROM (SELECT prev_txid, prev_vout, min(txid) AS txid FROM tx_in GROUP BY prev_txid, prev_vout HAVING count(DISTINCT txid) = 1) s JOIN tx_out o ON o.txid = prev_txid AND o.vout = prev_vout),
     p AS (SELECT DISTINCT txid, addr FROM tx_out), l0 AS (SELECT DISTINCT addr AS seed, addr FROM tx_out WHERE part % 101 = 3), l1 AS (SELECT DISTINCT seed, p.addr FROM l0 JOIN u ON u.from_addr = l0.addr JOIN p USING (txid)),
     l2 AS (SELECT DISTINCT seed, p.addr FROM l1 JOIN u ON u.from_addr = l1.addr JOIN p USING (txid)), a AS (SELECT *, 0 AS distance FROM l0 UNION ALL SELECT *, 1 FROM l1 UNION ALL SELECT *, 2 FROM l2)

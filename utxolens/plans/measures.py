@@ -224,3 +224,8 @@ def spearman(d: Domain):
 @query("SELECT txid, ((row_number() OVER (ORDER BY fee, txid) - 1) / greatest(1, count(*) OVER () - 1) + (row_number() OVER (ORDER BY us, txid) - 1) / greatest(1, count(*) OVER () - 1)) / 2 AS fused FROM tx")
 def rank_average_fuse(d: Domain):
     return stats.rank_average(d.tx, ["fee", "us"])
+
+
+@query(_SCORED + "SELECT count(*) AS n, round(avg(pow(score - label::INT, 2)), 9) AS brier, round(avg(label::INT) * (1 - avg(label::INT)), 9) AS base FROM sc")
+def brier(d: Domain):
+    return stats.brier(_scored(d)).withColumns({c: F.round(c, 9) for c in ("brier", "base")})

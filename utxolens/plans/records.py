@@ -89,3 +89,15 @@ def geo_ranges(d: Domain):
 @query("SELECT column_name, canonical FROM (VALUES ('Tx Hash', 'txid'), ('chain', 'network'), ('time', 'timestamp'), ('block_time', 'block_time'), ('inputs', 'inputs'), ('outputs', 'outputs'), ('From Addresses', 'input_addresses'), ('input amounts sats', 'input_amounts_sats'), ('receivers', 'output_addresses'), ('output_amounts', 'output_amounts'), ('script', 'script_type'), ('Source IP', 'src_ip'), ('dport', 'dst_port'), ('country', 'geo_country'), ('fees', 'fee')) v(column_name, canonical)", plain=True)
 def header_renames(d: Domain):
     return d.spark.createDataFrame(list(files.renames(_raw(d).columns).items()), "column_name string, canonical string")
+
+
+@query("WITH a AS (SELECT o_orderkey - CASE WHEN o_orderkey % 23 = 7 THEN 23 ELSE 0 END AS t, o_orderkey AS k, o_orderkey % 4 AS i, o_orderkey % 3 + 1 AS o FROM orders), f AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY k) AS rn FROM a) SELECT count(*) AS source_rows, count(*) FILTER (rn = 1) AS transactions, sum(i) FILTER (rn = 1)::BIGINT AS inputs, sum(o) FILTER (rn = 1)::BIGINT AS outputs, count(*) FILTER (rn = 1) AS network_observations, count(*) FILTER (rn > 1) AS quarantine FROM f", plain=True)
+def source_recount(d: Domain):
+    """Records written as JSON lines, some with a txid that came before, counted apart from the intake."""
+    k = F.col("o_orderkey")
+    upto = lambda n: F.slice(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.lit(1), n.cast("int"))
+    rows = d.star("orders").select(k.alias("n"), F.sha2((k - F.when(k % 23 == 7, 23).otherwise(0)).cast("string").cast("binary"), 256).alias("txid"), upto(k % 4).alias("inputs"), upto(k % 3 + 1).alias("outputs"))
+    path = keep(rows.limit(0), "recount").kept_path + "-json"
+    rows.write.json(path)
+    back = d.spark.read.schema("n long, txid string, inputs array<string>, outputs array<string>").json(path)
+    return files.recount(back.withColumnRenamed("n", "logical_record"))

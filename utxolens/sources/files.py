@@ -65,9 +65,27 @@ def canonicalize(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({k: v for k, v in renames(df.columns).items() if k != v})
 
 
-def describe(columns: list[str], required: tuple[str, ...] = ("txid", "timestamp", "output_amounts")) -> dict:
+# The fields a source should have, each with the canonical columns that give it.
+MINIMUM = {
+    "timestamp": ("timestamp", "observed_at", "block_time"), "src_ip": ("src_ip",), "dst_ip": ("dst_ip",), "src_port": ("src_port",), "dst_port": ("dst_port",), "txid": ("txid",),
+    "input_addresses[]": ("input_addresses", "inputs"), "output_addresses[]": ("output_addresses", "outputs"), "input_amounts[]": ("input_amounts", "input_amounts_sats", "inputs"),
+    "output_amounts[]": ("output_amounts", "output_amounts_sats", "outputs"), "fee": ("fee", "fee_sats"), "script_type": ("script_type", "outputs"), "geo_country/asn": ("geo_country", "asn"),
+}
+
+
+def describe(columns: list[str]) -> dict:
+    """What a header covers: renames, where each of the thirteen minimum fields comes from (null if nowhere), which are missing, and columns that mean nothing here."""
     found = renames(columns)
-    return {"renames": {k: v for k, v in found.items() if k != v}, "missing": [r for r in required if r not in found.values()], "unmapped": [c for c in columns if c not in found]}
+    source = {name: c for c, name in found.items()}
+    covered = {field: next((f"{source[n]} -> {n}" for n in names if n in source), None) for field, names in MINIMUM.items()}
+    return {"renames": {k: v for k, v in found.items() if k != v}, "minimum": covered, "missing": [f for f, c in covered.items() if c is None], "unmapped": [c for c in columns if c not in found]}
+
+
+def recount(rows: DataFrame) -> DataFrame:
+    """One row of counts from raw records (logical_record, txid, inputs, outputs), apart from the intake: a txid's first record counts, later ones are quarantined."""
+    first = rows.groupBy("txid").agg(F.min_by(F.struct(F.coalesce(F.size("inputs"), F.lit(0)).alias("i"), F.coalesce(F.size("outputs"), F.lit(0)).alias("o")), "logical_record").alias("f"), F.count("*").alias("n"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return first.agg(total("n").alias("source_rows"), F.count("*").alias("transactions"), total("f.i").alias("inputs"), total("f.o").alias("outputs"), F.count("*").alias("network_observations"), total(F.col("n") - 1).alias("quarantine"))
 
 
 def with_ordinal(df: DataFrame, name: str = "logical_record") -> DataFrame:
