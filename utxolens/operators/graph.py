@@ -159,6 +159,19 @@ def neighbourhood(edges: DataFrame, seed: str, depth: int) -> DataFrame:
     return reached
 
 
+def neighbourhood_page(edges: DataFrame, reached: DataFrame, depth: int, nodes: int = 200, more: int = 600, node_offset: int = 0, edge_offset: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A page of a neighbourhood: its nodes, the seed first, the others by name, the edges at its inner nodes by edge_id, and one row of totals and of what is cut off.
+
+    Edges at nodes of the last level lead beyond it and are left out unless their other end is nearer. Nodes and edges have pages of their own.
+    """
+    inner = reached.where(F.col("level") < depth).select("node")
+    near = edges.join(inner.withColumnRenamed("node", "from_node"), "from_node", "left_semi").unionByName(edges.join(inner.withColumnRenamed("node", "to_node"), "to_node", "left_semi")).distinct()
+    near = keep(near, "near")
+    totals = reached.agg(F.count("*").alias("nodes")).crossJoin(near.agg(F.count("*").alias("edges")))
+    cut = lambda c, n: F.greatest(F.col(c) - n, F.lit(0)).alias(f"truncated_{c}")
+    return reached.orderBy(F.col("level") > 0, "node").offset(node_offset).limit(nodes), near.orderBy("edge_id").offset(edge_offset).limit(more), totals.select("nodes", "edges", cut("nodes", node_offset + nodes), cut("edges", edge_offset + more))
+
+
 def address_flow(tx_in: DataFrame, tx_out: DataFrame, addr: str) -> DataFrame:
     """Counterparty transactions of an address: those paying it and those spending from it; an unknown amount leaves a total unknown."""
     total = F.when(F.count_if(F.col("amount").isNull()) == 0, F.sum("amount"))

@@ -95,6 +95,34 @@ def as_of(tx: DataFrame, tx_in: DataFrame, us) -> tuple[DataFrame, DataFrame]:
     return known, tx_in.join(known.select("txid"), "txid", "left_semi")
 
 
+def as_of_outputs(tx: DataFrame, tx_in: DataFrame, tx_out: DataFrame, us) -> DataFrame:
+    """Outputs of transactions up to a time with the first spender that was known then; a later spend is none yet."""
+    known, spends = as_of(tx, tx_in, us)
+    first = spends.join(known.select("txid", "seq"), "txid").groupBy(F.col("prev_txid").alias("txid"), F.col("prev_vout").alias("vout")).agg(F.min_by("txid", F.struct("seq", "vin")).alias("spent_by"))
+    return tx_out.join(known.select("txid"), "txid", "left_semi").join(first, ["txid", "vout"], "left")
+
+
+def stressed(tx: DataFrame, tx_in: DataFrame, tx_out: DataFrame, network: DataFrame, mode: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tx, tx_in, network) under a registered perturbation that knows nothing of labels; network has (txid, src_ip, asn, country), rows count in order of (us, txid).
+
+    missing_network_prevouts: every fifth transaction has no network, every twentieth resolved input (by spender's place, vin) loses
+    its output. timing_endpoint_skew: times fall to the minute, every fourth transaction has the first relay and system, every twentieth none.
+    """
+    placed = network.join(ranked(tx.select("txid", "us"), [F.col("us"), F.col("txid")], "place").select("txid", (F.col("place") - 1).alias("place")), "txid")
+    every = lambda n: F.col("place") % n == 0
+    if mode == "missing_network_prevouts":
+        gone = placed.withColumns({c: F.when(~every(5), F.col(c)) for c in ("src_ip", "asn", "country")})
+        spent = resolve_inputs(tx_in, tx_out).where("prev_us is not null").join(placed.select("txid", "place"), "txid")
+        cut = ranked(spent.select("txid", "vin", "place"), [F.col("place"), F.col("txid"), F.col("vin")], "_i").where((F.col("_i") - 1) % 20 == 0).select("txid", "vin", F.lit(True).alias("_cut"))
+        lost = tx_in.join(cut, ["txid", "vin"], "left").withColumns({c: F.when(F.col("_cut").isNull(), F.col(c)) for c in OUTPOINT}).drop("_cut")
+        return tx, lost, gone.drop("place")
+    if mode == "timing_endpoint_skew":
+        least = placed.agg(F.min("src_ip").alias("_ip"), F.min("asn").alias("_asn"))
+        skewed = placed.crossJoin(F.broadcast(least)).withColumns({"src_ip": F.when(every(20), F.lit(None)).when(every(4), F.col("_ip")).otherwise(F.col("src_ip")), "asn": F.when(every(4), F.col("_asn")).otherwise(F.col("asn"))})
+        return tx.withColumn("us", F.floor(F.col("us") / 60_000_000) * 60_000_000), tx_in, skewed.drop("place", "_ip", "_asn")
+    raise ValueError(f"no perturbation is named {mode}")
+
+
 def perturb(rows: DataFrame, column: str, every: int, order: list[str]) -> DataFrame:
     """Every n-th row in order loses a column."""
     return ranked(rows, [F.col(c) for c in order], "_rn").withColumn(column, F.when(F.col("_rn") % every != 0, F.col(column))).drop("_rn")

@@ -108,6 +108,25 @@ def neighbourhood(d: Domain):
     return graph.neighbourhood(graph.graph_edges(d.tx, d.tx_in, d.tx_out, d.obs), "tx:42", 2)
 
 
+_NEAR = _EDGES + """, b AS (SELECT from_node AS a, to_node AS b FROM e UNION ALL SELECT to_node, from_node FROM e), n0 AS (SELECT 'tx:42' AS node), n1 AS (SELECT DISTINCT b AS node FROM b WHERE a = 'tx:42'), n2 AS (SELECT DISTINCT b AS node FROM b WHERE a IN (SELECT node FROM n1) AND b NOT IN (SELECT node FROM n0 UNION SELECT node FROM n1)),
+    n3 AS (SELECT DISTINCT b AS node FROM b WHERE a IN (SELECT node FROM n2) AND b NOT IN (SELECT node FROM n0 UNION SELECT node FROM n1 UNION SELECT node FROM n2)), inn AS (SELECT * FROM n0 UNION SELECT * FROM n1 UNION SELECT * FROM n2), ne AS (SELECT *, sha256(concat(from_node, '|', to_node, '|', edge_type)) AS edge_id FROM e WHERE from_node IN (SELECT node FROM inn) OR to_node IN (SELECT node FROM inn))"""
+
+
+def _page(d: Domain):
+    edges = d.derived("edges", lambda: graph.graph_edges(d.tx, d.tx_in, d.tx_out, d.obs))
+    return graph.neighbourhood_page(edges.select("from_node", "to_node", "edge_type", "edge_id"), graph.neighbourhood(edges, "tx:42", 3), 3, 50, 40, 5, 3)
+
+
+@query(_NEAR + "SELECT from_node, to_node, edge_type, edge_id FROM ne ORDER BY edge_id LIMIT 40 OFFSET 3")
+def neighbourhood_edges(d: Domain):
+    return _page(d)[1].select("from_node", "to_node", "edge_type", "edge_id")
+
+
+@query(_NEAR + "SELECT (SELECT count(*) FROM inn) + (SELECT count(*) FROM n3) AS nodes, (SELECT count(*) FROM ne) AS edges, greatest((SELECT count(*) FROM inn) + (SELECT count(*) FROM n3) - 55, 0) AS truncated_nodes, greatest((SELECT count(*) FROM ne) - 43, 0) AS truncated_edges")
+def neighbourhood_totals(d: Domain):
+    return _page(d)[2]
+
+
 @query(_RESOLVED + """, pick AS (SELECT min(addr) AS addr FROM tx_out WHERE txid = 42) SELECT txid, sum(amount)::BIGINT AS amount, count(*) AS utxo_count, 'paid_by' AS side FROM tx_out WHERE addr = (SELECT addr FROM pick) GROUP BY txid
     UNION ALL SELECT txid, sum(prev_amount)::BIGINT, count(*), 'spent_in' FROM r WHERE prev_addr = (SELECT addr FROM pick) GROUP BY txid""")
 def address_flow(d: Domain):

@@ -52,6 +52,29 @@ def as_of_view(d: Domain):
     return ins.groupBy("txid").agg(F.count("*").alias("inputs"))
 
 
+@query(", cut AS (SELECT 1704067200000000 + 200 * 3600000000 AS c), kn AS (SELECT txid, seq FROM tx, cut WHERE us <= c), fs AS (SELECT prev_txid, prev_vout, min_by(txid, (seq, vin)) AS spent_by FROM tx_in JOIN kn USING (txid) GROUP BY prev_txid, prev_vout) SELECT o.txid, o.vout, spent_by FROM tx_out o JOIN kn USING (txid) LEFT JOIN fs ON fs.prev_txid = o.txid AND fs.prev_vout = o.vout")
+def as_of_outputs(d: Domain):
+    return layers.as_of_outputs(d.tx, d.tx_in, d.tx_out, 1704067200000000 + 200 * 3600000000).select("txid", "vout", "spent_by")
+
+
+_NET = ", nw AS (SELECT txid, min(src_ip) AS src_ip, min(asn) AS asn, min(country) AS country FROM obs JOIN tx USING (txid) GROUP BY txid), plc AS (SELECT txid, row_number() OVER (ORDER BY us, txid) - 1 AS i FROM tx)"
+
+
+def _network(d: Domain):
+    return d.obs.join(d.tx.select("txid"), "txid", "left_semi").groupBy("txid").agg(*[F.min(c).alias(c) for c in ("src_ip", "asn", "country")])
+
+
+@query(_RESOLVED + _NET + ", ri AS (SELECT txid, vin, row_number() OVER (ORDER BY plc.i, txid, vin) - 1 AS k FROM r JOIN plc USING (txid) JOIN nw USING (txid) WHERE prev_us IS NOT NULL) SELECT txid, vin, CASE WHEN k % 20 = 0 THEN NULL ELSE prev_txid END AS prev_txid, CASE WHEN k % 20 = 0 THEN NULL ELSE prev_vout END AS prev_vout FROM tx_in LEFT JOIN ri USING (txid, vin)")
+def stress_prevouts(d: Domain):
+    return layers.stressed(d.tx, d.tx_in, d.tx_out, _network(d), "missing_network_prevouts")[1].select("txid", "vin", "prev_txid", "prev_vout")
+
+
+@query(_NET + "SELECT txid, CASE WHEN i % 20 = 0 THEN NULL WHEN i % 4 = 0 THEN (SELECT min(src_ip) FROM nw) ELSE src_ip END AS src_ip, CASE WHEN i % 4 = 0 THEN (SELECT min(asn) FROM nw) ELSE asn END AS asn, country, us // 60000000 * 60000000 AS us FROM nw JOIN plc USING (txid) JOIN tx USING (txid)")
+def stress_skew(d: Domain):
+    tx, _, network = layers.stressed(d.tx, d.tx_in, d.tx_out, _network(d), "timing_endpoint_skew")
+    return network.join(tx.select("txid", "us"), "txid").select("txid", "src_ip", "asn", "country", "us")
+
+
 @query("SELECT txid, CASE WHEN row_number() OVER (ORDER BY us, txid) % 5 <> 0 THEN fee END AS fee FROM tx")
 def stress_nulls(d: Domain):
     return layers.perturb(d.tx, "fee", 5, ["us", "txid"]).select("txid", "fee")
