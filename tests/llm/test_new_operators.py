@@ -312,3 +312,12 @@ def test_long_texts_are_dealt_out_by_bytes(spark, monkeypatch):
     rows = [(i, " ".join(base[:k] + [f"new{i}"] + base[k + 1 :])) for i in range(24) for k in [rnd.randrange(400)]] + [(100 + i, " ".join(f"z{rnd.randrange(900)}" for _ in range(400))) for i in range(6)]
     got = {r.node: r.root for r in simhash.similar_texts(spark.createDataFrame(rows, "id long, text string"), "id").collect()}
     assert {got[i] for i in range(24)} == {0} and all(got[100 + i] == 100 + i for i in range(6))
+
+
+def test_the_pipeline_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet("/root/testdata/sf0.001/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
