@@ -185,3 +185,35 @@ def test_path_signals_count_other_findings_only(spark):
     paths = spark.createDataFrame([(1, "c", ["a", "b", "b", "x"]), (2, "c", ["a"]), (3, "d", ["a"])], "id long, case string, nodes array<string>")
     found = spark.createDataFrame([(1, "c", "a", "open"), (1, "c", "b", "open"), (9, "c", "b", "open"), (8, "c", "x", "dismissed"), (7, "e", "a", "open")], "id long, case string, entity_ref string, status string")
     assert {r.id: r.share for r in readside.path_signals(paths, found).collect()} == {1: pytest.approx(1 / 3), 2: 1.0, 3: 0.0}
+
+
+def test_stack_findings_are_those_over_the_references_quantile(spark):
+    import numpy as np
+
+    r = random.Random(11)
+    rows = [(i, i < 140, float(r.randrange(30)), r.random()) for i in range(200)]
+    df = spark.createDataFrame(rows, "txid long, is_ref boolean, a double, b double")
+    tx = spark.createDataFrame([(i, (i % 50) * 1_000_000_000) for i in range(200)], "txid long, us long")
+    fused = {x.txid: x.fused for x in layers.stouffer(df, ["a", "b"], [1.0, 1.0]).collect()}
+    cut = np.quantile([fused[i] for i in range(140)], 0.9)
+    want = sorted((i for i in fused if fused[i] >= cut - 1e-12), key=lambda i: (-fused[i], (i % 50), i))
+    got = layers.stack_findings(df, tx, ["a", "b"], budget=0.1).orderBy("rank").collect()
+    assert [x.entity_ref for x in got] == [f"tx:{i}" for i in want] and [x["rank"] for x in got] == list(range(1, len(want) + 1))
+    assert all(x.end_us - x.start_us == 900_000_000 and x.start_us % 900_000_000 == 0 for x in got)
+    one = {x.entity_ref for x in layers.stack_findings(df, tx, ["a"], budget=0.1).collect()}
+    assert one == {f"tx:{i}" for i, _, a, _ in rows if a >= np.quantile([x[2] for x in rows[:140]], 0.9)}
+    assert layers.stack_findings(df.where("txid < 40"), tx, ["a"], budget=0.1).count() == 0
+
+
+def test_causal_bursts_know_only_completed_buckets(spark):
+    minute = 60_000_000
+    times = [(i, t * minute, "f", t != 31) for i, t in enumerate([0, 1, 2, 16, 31, 32, 33, 34, 35, 36, 46, 61])]
+    got = {x.txid: x.burst for x in stats.causal_bursts(spark.createDataFrame(times, "txid long, us long, family string, member boolean")).collect()}
+    counts, rate, surprise = [3, 1, 5, 1, 1], 0.25, []
+    for n in counts:
+        base = max(0.25, rate)
+        surprise.append(-log(max(1e-12, 1 - sum(exp(k * log(base) - base - lgamma(k + 1)) for k in range(n)))))
+        rate = rate * 0.5 ** (1 / 96) + n * (1 - 0.5 ** (1 / 96))
+    for i, t, _, member in times:
+        bucket = t // (15 * minute)
+        assert got[i] == pytest.approx(surprise[bucket - 1] if bucket and member else 0.0)

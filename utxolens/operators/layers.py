@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import keep
 from .ordered import ranked, running
 from .spends import OUTPOINT, prevouts, resolve_inputs
 from .windows import window_start
@@ -83,6 +84,29 @@ def stouffer(rows: DataFrame, layers: list[str], weights: list[float]) -> DataFr
     return out.select("txid", z.alias("fused"))
 
 
+def quantile(rows: DataFrame, column: str, q: float) -> DataFrame:
+    """One row (value): the q-quantile between neighbours of a column's values, from one total a distinct value; null for none."""
+    counts = running(rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n")), [F.col(column)], {"_upto": "_n"})
+    at = rows.agg(((F.count(column) - 1) * F.lit(q)).alias("_at"))
+    low, high = (F.min(F.when(F.col("_upto") > f(F.col("_at")), F.col(column))) for f in (F.floor, F.ceil))
+    return counts.crossJoin(F.broadcast(at)).agg(low.alias("lo"), high.alias("hi"), F.first(F.col("_at") - F.floor("_at")).alias("f")).select((F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("f")).alias("value"))
+
+
+def stack_findings(rows: DataFrame, tx: DataFrame, layers: list[str], weights: list[float] | None = None, budget: float = 0.01, least: int = 50) -> DataFrame:
+    """(entity_ref, start_us, end_us, score, rank): a finding for each transaction whose fused layers reach the reference's (1 - budget) quantile.
+
+    rows has txid, is_ref and the layers; one layer is taken as it is, several are fused. A finding's window is its quarter of an hour. Ranks go by
+    score, then time and txid. Fewer than `least` transactions give none.
+    """
+    fused = rows.select("txid", F.col(layers[0]).alias("fused")) if len(layers) == 1 else stouffer(rows, layers, weights or [1.0] * len(layers))
+    fused = keep(fused.join(rows.select("txid", "is_ref"), "txid"), "fused")
+    cut = quantile(fused.where("is_ref"), "fused", 1 - budget).crossJoin(rows.agg(F.count("*").alias("_n")))
+    flagged = fused.crossJoin(F.broadcast(cut)).where((F.col("fused") >= F.col("value")) & (F.col("_n") >= least)).join(tx.select("txid", "us"), "txid")
+    placed = ranked(flagged.select("txid", "fused", "us"), [F.desc("fused"), F.col("us"), F.col("txid")])
+    start = window_start(F.col("us"), F.lit(900))
+    return placed.select(F.concat(F.lit("tx:"), F.col("txid").cast("string")).alias("entity_ref"), start.alias("start_us"), (start + 900_000_000).alias("end_us"), F.col("fused").alias("score"), "rank")
+
+
 def latest_labels(reviews: DataFrame, cutoff) -> DataFrame:
     """The last decision on each finding up to a time: confirmed 1, dismissed 0, anything else unknown."""
     last = reviews.where(F.col("us") <= cutoff).groupBy("finding").agg(F.max_by("decision", F.struct("us", "id")).alias("decision"))

@@ -119,8 +119,8 @@ def bucket_series(times: DataFrame, seconds: int = 900) -> DataFrame:
     return grid.join(counts, ["family", "bucket"], "left").select("family", "bucket", F.coalesce("n", F.lit(0)).cast("double").alias("n"))
 
 
-def burst_baseline(series: DataFrame, half_life: float = 96.0, warm: int = 8, floor: float = 0.25) -> DataFrame:
-    """Each bucket's exponentially weighted mean of strictly earlier buckets, started at the mean of the first ones.
+def burst_baseline(series: DataFrame, half_life: float = 96.0, warm: int = 8, floor: float = 0.25, prior: float | None = None) -> DataFrame:
+    """Each bucket's exponentially weighted mean of strictly earlier buckets, started at the mean of the first ones, or at a prior that knows none.
 
     A series is one row a bucket (time, not data, bounds it), so each family's is folded in one task, one pass.
     """
@@ -128,7 +128,7 @@ def burst_baseline(series: DataFrame, half_life: float = 96.0, warm: int = 8, fl
 
     def fold(pdf):
         pdf = pdf.sort_values("bucket")
-        n, mean, out = pdf["n"].tolist(), float(pdf["n"].head(warm).mean()), []
+        n, mean, out = pdf["n"].tolist(), float(pdf["n"].head(warm).mean()) if prior is None else prior, []
         for v in n:
             out.append(max(mean, floor))
             mean = decay * mean + (1 - decay) * v
@@ -154,6 +154,21 @@ def inherited_bursts(times: DataFrame, seconds: int = 900) -> DataFrame:
     return scored.groupBy("txid").agg(F.max(F.when(F.col("member"), F.col("surprise")).otherwise(0.0)).alias("burst"))
 
 
+def causal_bursts(times: DataFrame, seconds: int = 900, half_life: float = 96.0, prior: float = 0.25) -> DataFrame:
+    """(txid, burst): the strongest surprise, among the families of a transaction, of the bucket completed before its own; 0 in the first.
+
+    Rates start at a fixed prior, so nothing later than a bucket's end enters it.
+    """
+    from .layers import poisson_surprise
+
+    b = burst_baseline(bucket_series(times, seconds), half_life, floor=0.25, prior=prior)
+    b = b.select("family", (F.col("bucket") + 1).alias("bucket"), poisson_surprise(F.col("n"), F.col("baseline")).alias("surprise"))
+    low = times.agg(F.min("us").alias("low"))
+    rows = times.crossJoin(F.broadcast(low)).select("txid", "family", "member", F.floor((F.col("us") - F.col("low")) / (seconds * 1_000_000)).alias("bucket"))
+    scored = rows.join(b, ["family", "bucket"], "left")
+    return scored.groupBy("txid").agg(F.max(F.when(F.col("member"), F.coalesce("surprise", F.lit(0.0))).otherwise(0.0)).alias("burst"))
+
+
 def change_points(series: DataFrame, hazard: float = 1 / 240, longest: int = 400) -> DataFrame:
     """(family, bucket, n, changed): online probability that a Poisson rate changed, over run lengths up to `longest`.
 

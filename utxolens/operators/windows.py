@@ -154,3 +154,18 @@ def window_vectors(tx_out: DataFrame, tx_in: DataFrame, tx: DataFrame, seconds:
         F.col("baseline_value").alias("baseline_value_sats_mean"), F.col("surge_value").alias("value_surge_ratio"), peel("score").alias("peeling_chain_score"), peel("hops").alias("peeling_chain_length"), peel("duration").alias("peeling_chain_total_duration_sec"), peel("hops").alias("peeling_chain_evidence_count"),
         mix("mix.score").alias("coinjoin_like_score"), mix("mix.equal_outputs").alias("equal_output_count"), (F.col("mix.equal_value") if coinjoins is not None else F.lit(None).cast("long")).alias("equal_output_value_sats"), mix("mixes").alias("coinjoin_like_evidence_count"))
     return rows.select(F.concat(F.lit("address:"), "addr").alias("entity_ref"), F.col("start_us").alias("window_start"), features.alias("features"))
+
+
+def recurrent_recipients(tx_out: DataFrame, chosen: DataFrame, least: int = 2, most: int = 3) -> DataFrame:
+    """(txid, addr, prior_transactions, first_us, last_us, first_txid, last_txid): what speaks against a novel recipient.
+
+    Of each chosen transaction the `most` recipients that most strictly earlier transactions paid, `least` at least, with the first and the last of those.
+    """
+    pairs = tx_out.where("addr is not null").groupBy("txid", "addr").agg(F.min("us").alias("us"))
+    wanted = pairs.join(chosen.select("txid"), "txid", "left_semi").select("addr").distinct()
+    before = Window.partitionBy("addr").orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
+    stamp = F.struct("us", "txid")
+    seen = pairs.join(wanted, "addr", "left_semi").select("txid", "addr", F.count("*").over(before).alias("prior_transactions"), F.min(stamp).over(before).alias("a"), F.max(stamp).over(before).alias("z"))
+    seen = seen.join(chosen.select("txid"), "txid", "left_semi").where(F.col("prior_transactions") >= least)
+    place = F.row_number().over(Window.partitionBy("txid").orderBy(F.desc("prior_transactions"), "addr"))
+    return seen.withColumn("i", place).where(F.col("i") <= most).select("txid", "addr", "prior_transactions", F.col("a.us").alias("first_us"), F.col("z.us").alias("last_us"), F.col("a.txid").alias("first_txid"), F.col("z.txid").alias("last_txid"))

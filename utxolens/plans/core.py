@@ -168,3 +168,11 @@ def expanding_rarity(d: Domain):
     WINDOW b AS (PARTITION BY addr ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) GROUP BY txid""")
 def recipient_history(d: Domain):
     return windows.recipient_history(d.tx_out)
+
+
+@query("""SELECT txid, addr, n AS prior_transactions, a // 1000000000 AS first_us, z // 1000000000 AS last_us, (a % 1000000000)::BIGINT AS first_txid, (z % 1000000000)::BIGINT AS last_txid FROM (SELECT *, row_number() OVER (PARTITION BY txid ORDER BY n DESC, addr) AS i FROM (
+    SELECT txid, addr, count(*) OVER b AS n, min(us::HUGEINT * 1000000000 + txid) OVER b AS a, max(us::HUGEINT * 1000000000 + txid) OVER b AS z FROM (SELECT txid, concat('p', part) AS addr, min(us) AS us FROM tx_out GROUP BY ALL) WINDOW b AS (PARTITION BY addr ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    WHERE n >= 2 AND txid IN (SELECT txid FROM tx WHERE fee >= 900)) WHERE i <= 3""".replace("a // 1000000000 AS", "(a // 1000000000)::BIGINT AS").replace("z // 1000000000 AS", "(z // 1000000000)::BIGINT AS"))
+def recurrent_recipients(d: Domain):
+    parts = d.tx_out.withColumn("addr", F.concat(F.lit("p"), F.col("part").cast("string")))
+    return windows.recurrent_recipients(parts, d.tx.where("fee >= 900"))

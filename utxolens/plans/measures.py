@@ -188,6 +188,14 @@ def inherited_burst(d: Domain):
     return stats.inherited_bursts(_families(d)).withColumn("burst", F.round("burst", 6) + 0.0)
 
 
+_CAUSAL = _FAMILIES.replace("SELECT family, bucket, n, (SELECT avg(n) FROM sr f WHERE f.bucket < 8 AND f.family = sr.family) FROM sr", "SELECT family, bucket, n, 0.25::DOUBLE FROM sr")
+
+
+@query(_CAUSAL + "SELECT fm.txid, round(max(CASE WHEN member THEN coalesce(surprise, 0) ELSE 0 END), 6) + 0.0 AS burst FROM fm CROSS JOIN lo LEFT JOIN pb ON pb.family = fm.family AND pb.bucket = (fm.us - low) // 900000000 - 1 GROUP BY fm.txid")
+def causal_burst(d: Domain):
+    return stats.causal_bursts(_families(d)).withColumn("burst", F.round("burst", 6) + 0.0)
+
+
 @query()
 def change_points(d: Domain):
     return stats.change_points(stats.bucket_series(_families(d), 3600))
