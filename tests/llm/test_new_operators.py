@@ -321,3 +321,21 @@ def test_the_pipeline_on_an_empty_table(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet("/root/testdata/sf0.001/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_shard_compares_keys_behind_fingerprints(spark, tmp_path, monkeypatch):
+    from utxolens.llm import tokenstore
+
+    docs = spark.createDataFrame([(i * 3, f"text {i}") for i in range(50)], "doc_id long, text string").coalesce(1)
+    shards = tokenstore.write_shards(docs, str(tmp_path)).collect()
+    found = 0
+    for s in shards:
+        shard = tokenstore.Shard(str(tmp_path), s.shard)
+        assert all(shard.get(int(k)) is not None for k in shard.keys)
+        # Every fingerprint agrees, as in a collision: the key decides.
+        monkeypatch.setattr(tokenstore, "fingerprints", lambda keys: np.zeros(len(keys), np.uint32))
+        shard.prints = np.zeros_like(shard.prints)
+        assert (shard.find(np.arange(1, 150, 3)) == -1).all()
+        found += int((shard.find(np.arange(0, 150, 3)) >= 0).sum())
+        monkeypatch.undo()
+    assert found == 50

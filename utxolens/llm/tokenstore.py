@@ -101,10 +101,11 @@ class Shard:
         self.hash = MinimalPerfectHash(head["sizes"], np.unpackbits(arrays["bits"], count=sum(head["sizes"])).astype(bool), arrays["rest"])
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """Row of each key, -1 where the stored fingerprint says it is not here."""
+        """Row of each key, -1 where the stored fingerprint, or the key behind it, says it is not here."""
         slot = self.hash.slots(keys)
         ok = slot >= 0
         ok[ok] = self.prints[slot[ok]] == fingerprints(keys[ok])
+        ok[ok] = self.keys[self.rows[slot[ok]]] == keys[ok]
         return np.where(ok, self.rows[np.where(ok, slot, 0)] if len(self.rows) else -1, -1)
 
     def get(self, key: int) -> np.ndarray | None:
