@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 from utxolens.functions import scalars
-from utxolens.operators import graph, intake, network, ranking, spends, stats, windows
+from utxolens.operators import graph, groups, intake, network, spends, stats, windows
 from utxolens.sources import files
 from utxolens.streaming import events
 
@@ -133,8 +133,8 @@ def test_binomial_tail(spark):
 def test_review_groups(spark):
     day = 86_400_000_000
     rows = [(1, 0, ["x"], "peel"), (2, 5, ["x", "y"], "peel"), (3, 6, ["y"], "peel"), (4, day, ["x"], "peel"), (5, 7, ["x"], "fan")]
-    found = spark.createDataFrame([(i, s, s + 9, r, str(i), a) for i, s, a, r in rows], "id long, start_us long, end_us long, rule string, entity string, anchors array<string>")
-    got = {r.id: (r.rule, r.day, r.group_no) for r in ranking.review_groups(found).collect()}
+    found = spark.createDataFrame([(i, s, s + 9, r, str(i), a) for i, s, a, r in rows], "id long, start_us long, end_us long, rule string, entity_ref string, anchors array<string>")
+    got = {r.id: (r.rule, r.day, r.leader) for r in groups.review_groups(found).collect()}
     assert got[1] == got[2] and got[3] != got[1], "anchors are the representative's"
     assert len({got[1], got[4], got[5]}) == 3
 
