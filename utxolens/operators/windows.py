@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import ranked
+from .ordered import ranked, running
 from .spends import rapid_spends, window_start
 
 SPANS = (900, 3600, 86400)
@@ -90,21 +90,32 @@ def dedupe_and_rank(found: DataFrame, key: list[str], score: str, ties: list[Col
     return ranked(kept, [F.desc(score), *ties]).withColumn("rank", F.col("rank").cast("int"))
 
 
-def trailing_count(rows: DataFrame, key: str, us: str, seconds: int) -> Column:
-    """log1p of how many rows of the key lie in the half-open window of `seconds` before; equal times never see each other."""
-    w = Window.partitionBy(key).orderBy(us).rangeBetween(-seconds * 1_000_000, -1)
-    return F.log1p(F.count("*").over(w).cast("double"))
+def trailing_count(rows: DataFrame, key: str, us: str, seconds: int, name: str) -> DataFrame:
+    """rows with log1p of how many rows of their key lie in the half-open window of `seconds` before; equal times never see each other, null keys see none.
+
+    A row counts from its time until it expires, so a running total over (key, time) is back at zero where the next key begins: no task holds a key.
+    """
+    counts = rows.where(F.col(key).isNotNull() & F.col(us).isNotNull()).groupBy(F.col(key).alias("_k"), F.col(us).alias("_t")).agg(F.count("*").alias("_n"))
+    events = counts.select("_k", "_t", "_n", F.lit(True).alias("_own")).union(counts.select("_k", F.col("_t") + seconds * 1_000_000, -F.col("_n"), F.lit(False)))
+    steps = events.groupBy("_k", "_t").agg(F.sum("_n").alias("_d"), F.bool_or("_own").alias("_own"))
+    seen = running(steps, [F.col("_k"), F.col("_t")], {"_up": "_d"}).where("_own")
+    # What began before a time and has not expired before it: the total up to it, less what changes then.
+    seen = seen.select(F.col("_k").alias(key), F.col("_t").alias(us), (F.col("_up") - F.col("_d")).alias("_seen"))
+    return rows.join(seen, [key, us], "left").withColumn(name, F.log1p(F.coalesce("_seen", F.lit(0)).cast("double"))).drop("_seen")
 
 
-def prior_index(key: str, *order) -> Column:
-    return F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
+def prior_index(rows: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """rows with how many rows of their key come before; null keys are one key. Places over (key, order) less the place where a key begins."""
+    starts = running(rows.groupBy(key).agg(F.count("*").alias("_n")), [F.col(key)], {"_up": "_n"}).select(F.col(key).alias("_k"), (F.col("_up") - F.col("_n")).alias("_start"))
+    placed = ranked(rows, [F.col(key), *[F.col(c) for c in order]], "_place")
+    return placed.join(starts, F.col(key).eqNullSafe(F.col("_k"))).withColumn(name, F.col("_place") - 1 - F.col("_start")).drop("_place", "_k", "_start")
 
 
 def expanding_rarity(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """-ln((earlier rows of the key + 1) / (earlier rows + classes))."""
     classes = rows.agg(F.count_distinct(key).alias("classes"))
-    placed = ranked(rows, [F.col(c) for c in order], "prior_all").withColumn("prior_all", F.col("prior_all") - 1).withColumn("prior_key", prior_index(key, *order))
-    return placed.crossJoin(F.broadcast(classes)).withColumn("rarity", -F.log((F.col("prior_key") + 1) / (F.col("prior_all") + F.col("classes"))))
+    placed = prior_index(ranked(rows, [F.col(c) for c in order], "prior_all").withColumn("prior_all", F.col("prior_all") - 1), key, order, "prior_key")
+    return placed.crossJoin(F.broadcast(classes)).withColumn("rarity", -F.log((F.col("prior_key") + 1) / (F.col("prior_all") + F.greatest(F.col("classes"), F.lit(1)))))
 
 
 def recipient_history(tx_out: DataFrame) -> DataFrame:

@@ -150,12 +150,12 @@ def dedupe_rank(d: Domain):
 
 @query("SELECT obs_id, ln(1 + count(*) OVER (PARTITION BY src_ip ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND 1 PRECEDING)) AS recent FROM obs")
 def trailing_cooccurrence(d: Domain):
-    return d.obs.select("obs_id", windows.trailing_count(d.obs, "src_ip", "us", 3600).alias("recent"))
+    return windows.trailing_count(d.obs, "src_ip", "us", 3600, "recent").select("obs_id", "recent")
 
 
 @query("SELECT obs_id, (row_number() OVER (PARTITION BY src_ip ORDER BY us, obs_id) - 1)::INT AS prior FROM obs")
 def prior_occurrence(d: Domain):
-    return d.obs.select("obs_id", windows.prior_index("src_ip", "us", "obs_id").alias("prior"))
+    return windows.prior_index(d.obs, "src_ip", ["us", "obs_id"], "prior").select("obs_id", F.col("prior").cast("int").alias("prior"))
 
 
 @query("SELECT obs_id, -ln((row_number() OVER (PARTITION BY src_ip ORDER BY us, obs_id))::DOUBLE / (row_number() OVER (ORDER BY us, obs_id) - 1 + (SELECT count(DISTINCT src_ip) FROM obs))) AS rarity FROM obs")
