@@ -101,3 +101,32 @@ def test_recounts_take_each_first_record(spark):
     rows = spark.createDataFrame([(2, "a", ["x"], None), (1, "a", ["x", "y"], ["z"]), (3, "b", [], ["z"])], "logical_record long, txid string, inputs array<string>, outputs array<string>")
     assert tuple(files.recount(rows).first()) == (3, 2, 2, 2, 2, 1)
     assert tuple(files.recount(rows.limit(0)).first()) == (0,) * 6
+
+
+def test_xml_elements_of_any_case_and_namespace_in_source_order(spark, tmp_path):
+    body = ('<?xml version="1.0"?><n:set xmlns:n="u">\n<Row><k>1</k><v>a</v></Row><n:TRANSACTION k="2" v="x&gt;y > z"/>text<!-- a comment -->\n'
+            '<record\n  k="3"\n><n:v>b &lt; c</n:v><other><deep/></other></record>\n<row k="4"></row><rowing>no</rowing><row-x/></n:set>')
+    (tmp_path / "a.xml").write_text(body)
+    got = sorted(files.scan_xml(spark, str(tmp_path / "a.xml"), "k string, v string").collect(), key=lambda r: r.logical_record)
+    assert [(r.logical_record, r.locator, r.value["k"], r.value["v"]) for r in got] == [(1, "element:1", "1", "a"), (2, "element:2", "2", "x>y > z"), (3, "element:3", "3", "b < c"), (4, "element:4", "4", None)]
+    assert files.count_records(spark, str(tmp_path / "a.xml"), "xml") == 4
+
+
+def test_a_long_xml_file_is_read_in_many_tasks(spark, tmp_path):
+    names = ("record", "Row", "x:transaction")
+    (tmp_path / "b.xml").write_text("<all xmlns:x='u'>" + "".join(f"<{(t := names[i % 3])}><k>{i}</k></{t}>" for i in range(3000)) + "</all>")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert spark.read.text(str(tmp_path / "b.xml"), lineSep=">").rdd.getNumPartitions() > 3
+        got = {r.logical_record: r.value["k"] for r in files.scan_xml(spark, str(tmp_path / "b.xml"), "k string").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {i + 1: str(i) for i in range(3000)}
+
+
+@pytest.mark.parametrize("text", ["<a><b/></a>", "<!doctype x><a><row/></a>", "<a><row><k>1</k></a>", "<a><record><row/></record></a>", ""])
+def test_xml_that_is_refused(spark, tmp_path, text):
+    (tmp_path / "c.xml").write_text(text)
+    with pytest.raises(Exception, match="named|declarations|cut short"):
+        files.scan_xml(spark, str(tmp_path / "c.xml"), "k string").collect()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import asn_number, ip_key
+from ..operators.ordered import running
 from .csvblocks import count_csv, scan_csv_blocks
 
 # Spellings of each canonical field without blanks, signs and capitals.
@@ -126,15 +127,32 @@ def scan_json_array(spark: SparkSession, path: str, schema: str | T.StructType)
 
 
 def scan_xml(spark: SparkSession, path: str, schema: str | T.StructType, tags: tuple[str, ...] = ("transaction", "record", "row")) -> DataFrame:
-    """Elements named by any of the tags; documents that declare types or entities are refused."""
-    if not spark.read.text(path).where(F.col("value").rlike(r"<!(DOCTYPE|ENTITY)")).isEmpty():
+    """Elements named by any of the tags, in any case and namespace, in source order; attributes count as children.
+
+    A file is read in many tasks, in pieces that end at '>'; the pieces from one start tag to the next are put together, and the element
+    among them is parsed by itself. Refused are document type and entity declarations, files without any such element, elements that are
+    cut short or hold another of the tags. Comments and character data must not hold one of the tags.
+    """
+    name, names = r"(?:[A-Za-z_][\w.\-]*:)?", "|".join(map(re.escape, tags))
+    pieces = spark.read.text(path, lineSep=">")
+    meta = pieces.metadataColumn("_metadata")
+    pieces = pieces.select(meta["file_path"].alias("_file"), meta["file_block_start"].alias("_from"), F.monotonically_increasing_id().alias("_nth"), F.col("value").alias("piece"))
+    marked = pieces.withColumns({"_start": F.col("piece").rlike(rf"(?i)<{name}(?:{names})(?:[\s/][^<]*)?$").cast("int"), "_ban": F.col("piece").rlike("(?i)<!(?:DOCTYPE|ENTITY)").cast("int")})
+    numbered = running(marked, [F.col("_file"), F.col("_from"), F.col("_nth")], {"logical_record": "_start", "_banned": "_ban"})
+    whole = numbered.agg(F.max("logical_record").alias("n"), F.max("_banned").alias("banned")).first()
+    if whole.banned:
         raise ValueError("document type and entity declarations are not read")
-    found = None
-    for tag in tags:
-        part = spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
-        found = part if found is None else found.unionByName(part)
-    columns = found.columns
-    return _record(with_ordinal(found), "element", F.concat(F.lit("element:"), F.col("logical_record").cast("string")), columns)
+    if not whole.n:
+        raise ValueError("no element is named " + ", ".join(tags))
+    parts = F.array_sort(F.collect_list(F.struct("_file", "_from", "_nth", "piece")))
+    texts = numbered.where("logical_record > 0").groupBy("logical_record").agg(F.concat(F.array_join(F.transform(parts, lambda x: x["piece"]), ">"), F.lit(">")).alias("_text"))
+    element = F.regexp_extract("_text", rf"""(?is)<{name}({names})(?=[\s/>])(?:[^<>"']|"[^"]*"|'[^']*')*(?:/>|(?<!/)>.*?</{name}\1\s*>)""", 0)
+    element = F.when(F.length(element) > 0, element).otherwise(F.raise_error(F.concat(F.lit("an element is cut short or holds another: "), F.substring("_text", 1, 200))))
+    if not isinstance(schema, str):
+        schema = schema.simpleString()
+    parsed = texts.select("logical_record", F.from_xml(element, schema, {"mode": "FAILFAST", "ignoreNamespace": "true", "attributePrefix": ""}).alias("_row")).select("logical_record", "_row.*")
+    columns = [c for c in parsed.columns if c != "logical_record"]
+    return _record(parsed, "element", F.concat(F.lit("element:"), F.col("logical_record").cast("string")), columns)
 
 
 def detect_format(path: str, first_character: str = "") -> str:
