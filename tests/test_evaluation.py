@@ -142,3 +142,15 @@ def test_counts_behind_a_row_without_one_task_a_key(spark):
     place = {x.id: x.n for x in windows.prior_index(df, "k", ["us", "id"], "n").collect()}
     assert len(place) == 300 and all(place[i] == sum(q == k and (u, j) < (t, i) for j, q, u in rows) for i, k, t in rows)
     assert windows.trailing_count(df.limit(0), "k", "us", 5, "n").count() == windows.prior_index(df.limit(0), "k", ["us"], "n").count() == 0
+
+
+def test_recipients_before_a_transaction(spark):
+    r = random.Random(7)
+    rows = [(t, v, r.choice(["h", "h", "h", "i", "j", None]), (t // 3) * 1_000_000) for t in range(90) for v in range(r.randrange(1, 4))]
+    got = {x.txid: x for x in windows.recipient_history(spark.createDataFrame(rows, "txid long, vout int, addr string, us long")).collect()}
+    pairs = {(t, a, u) for t, _, a, u in rows if a}
+    assert set(got) == {t for t, *_ in pairs}
+    for t, x in got.items():
+        past = [sorted(u for _, b, u in pairs if b == a and u < now) for own, a, now in pairs if own == t]
+        want = (len(past), sum(bool(p) for p in past) / len(past), sum(map(len, past)) / len(past), max([(p[-1] - p[0]) / 1e6 for p in past if p], default=0.0))
+        assert (x.recipients, x.prior_fraction, x.mean_prior_count, x.max_span) == pytest.approx(want)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import ranked, running
+from .ordered import ranked, running, running_max
 from .spends import rapid_spends, window_start
 
 SPANS = (900, 3600, 86400)
@@ -121,8 +121,15 @@ def expanding_rarity(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 def recipient_history(tx_out: DataFrame) -> DataFrame:
     """For each transaction, how its recipients were paid strictly before: coverage, share seen before, mean count, longest span."""
     pairs = tx_out.where("addr is not null").groupBy("txid", "addr").agg(F.min("us").alias("us"))
-    before = Window.partitionBy("addr").orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
-    seen = pairs.select("txid", F.count("*").over(before).alias("n"), ((F.max("us").over(before) - F.min("us").over(before)) / 1e6).alias("span"))
+    # An address and a time, in one order over all addresses: a busy address is not one task.
+    counts = pairs.groupBy("addr", "us").agg(F.count("*").alias("_n")).withColumn("_own", F.struct("addr", "us"))
+    order = [F.col("addr"), F.col("us")]
+    placed = running_max(running(counts, order, {"_up": "_n"}), order, {"_last": "_own"})
+    whole = counts.groupBy("addr").agg(F.sum("_n").alias("_whole"), F.min("us").alias("_first"))
+    starts = running(whole, [F.col("addr")], {"_all": "_whole"}).select("addr", "_first", (F.col("_all") - F.col("_whole")).alias("_start"))
+    before = F.col("_up") - F.col("_n") - F.col("_start")
+    past = placed.join(starts, "addr").select("addr", "us", before.alias("n"), F.when(before > 0, (F.col("_last.us") - F.col("_first")) / 1e6).alias("span"))
+    seen = pairs.join(past, ["addr", "us"])
     return seen.groupBy("txid").agg(F.count("*").alias("recipients"), F.avg((F.col("n") > 0).cast("double")).alias("prior_fraction"), F.avg("n").alias("mean_prior_count"), F.coalesce(F.max("span"), F.lit(0.0)).alias("max_span"))
 
 
