@@ -134,3 +134,17 @@ def test_a_stopped_stream_goes_on_with_its_winners(spark, tmp_path):
     batch = intake.dedupe_txid(spark.createDataFrame([r for r in rows if r[1]], schema), F.md5("content"))
     want = {r.logical_record: r.verdict for r in batch.collect()} | {i: "accepted" for i, k, _ in rows if k is None}
     assert {r.logical_record: r.verdict for r in got} == want and set(want.values()) == {"accepted", "duplicate", "conflicting variant"}
+
+
+def test_seeds_that_come_later_raise_scores_and_add_what_is_missing(spark, tmp_path):
+    store = features.FeatureStore(spark, str(tmp_path / "s"))
+    rows = [(f"e{i:02d}", w, 0.5 if i == 3 else None, i) for i in range(20) for w in (900, 1800)]
+    store.append(spark.createDataFrame(rows, "entity_ref string, window_start long, seed_score double, other long"), 4)
+    signals = spark.createDataFrame([("e01", "p", 0.6), ("e01", "p", 0.9), ("e03", "p", 0.4), ("e02", "q", 0.3), ("gone", "p", 1.0)], "entity_ref string, rule string, score double")
+    found = spark.createDataFrame([("e01", "p"), ("e02", "p")], "entity_ref string, rule string")
+    version, replaced, new = features.refresh_seeds(store, signals, found)
+    want = {"e01": 0.9, "e02": 0.3, "e03": 0.5}
+    assert version == 2 and 1 <= replaced < 4
+    assert sorted(map(tuple, store.read().collect())) == sorted((e, w, want.get(e), o) for e, w, _, o in rows)
+    assert sorted(map(tuple, new.collect())) == [("e02", "q", 900, 900 + 900_000_000, 0.3), ("e03", "p", 900, 900 + 900_000_000, 0.4), ("gone", "p", 0, 900_000_000, 1.0)]
+    assert features.refresh_seeds(store, signals.limit(0), found)[:2] == (2, 0)
