@@ -121,6 +121,24 @@ def test_ranks_and_running_totals_by_ranges(spark):
     assert ordered.ranked(df.where("id < 0"), [F.col("id")]).count() == 0
 
 
+def test_component_rounds_shrink(spark, monkeypatch):
+    """All rounds together write a few times the edges, on a path and on hubs that share members."""
+    kept = graph.keep
+    for edges in (spark.range(3000).selectExpr("id * 7919 % 3001 a", "(id + 1) * 7919 % 3001 b"), spark.range(3000).selectExpr("id % 40 a", "100 + id div 3 b")):
+        rows = []
+
+        def count(df, tag):
+            out = kept(df, tag)
+            rows.append(out.count())
+            return out
+
+        monkeypatch.setattr(graph, "keep", count)
+        got = graph.components(edges).collect()
+        assert len(got) == len({x.node for x in got}) == edges.selectExpr("explode(array(a, b)) n").distinct().count()
+        assert {x.root for x in got} == {min(x.node for x in got)}
+        assert sum(rows) < 12 * 3000, sum(rows)
+
+
 def test_components_of_any_type(spark):
     edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "y"), ("z", "z"), (None, "q")], "a string, b string")
     assert {(x.node, x.root) for x in graph.components(edges).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
