@@ -158,3 +158,19 @@ def test_results_do_not_depend_on_partitions(spark, chain):
         seen.append(sorted(map(tuple, graph.graph_edges(tx, tx_in, tx_out, spark.createDataFrame([], "obs_id long, txid long, src_ip string, dst_ip string")).collect())))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert seen[0] == seen[1] and len(seen[0]) == 13
+
+
+def test_neighbourhood_pages_name_only_the_edges_they_hold(spark, monkeypatch):
+    kept, wide = graph.keep, []
+    monkeypatch.setattr(graph, "keep", lambda df, tag: wide.append(df.columns) or kept(df, tag))
+    edges = spark.createDataFrame([("a", "b", "x"), ("b", "c", "x"), ("b", "c", "x"), ("c", "d", "x"), ("c", "a", "y"), ("d", "e", "x"), ("y", "z", "x")], "from_node string, to_node string, edge_type string")
+    reached = graph.neighbourhood(edges, "a", 2)
+    assert sorted(tuple(r) for r in reached.collect()) == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
+    nodes, page, totals = graph.neighbourhood_page(edges, reached, 2)
+    assert [r.node for r in nodes.collect()] == ["a", "b", "c", "d"]
+    import hashlib
+
+    want = sorted(hashlib.sha256("|".join(e).encode()).hexdigest() for e in {("a", "b", "x"), ("b", "c", "x"), ("c", "d", "x"), ("c", "a", "y")})
+    assert [r.edge_id for r in page.collect()] == want
+    assert tuple(totals.first()) == (4, 4, 0, 0)
+    assert not any("edge_id" in columns for columns in wide)
