@@ -235,3 +235,14 @@ def test_causal_bursts_know_only_completed_buckets(spark):
     for i, t, _, member in times:
         bucket = t // (15 * minute)
         assert got[i] == pytest.approx(surprise[bucket - 1] if bucket and member else 0.0)
+
+
+def test_risk_rounds_hold_a_row_a_transaction(spark, monkeypatch):
+    kept, seen = risk.keep, {}
+    monkeypatch.setattr(risk, "keep", lambda df, tag: seen.setdefault(tag, df.columns) and kept(df, tag))
+    outs = spark.createDataFrame([(t, v, f"a{t}{v}", 10) for t in range(4) for v in range(2)], "txid long, vout int, addr string, amount long")
+    ins = spark.createDataFrame([(t + 1, t, 0) for t in range(3)], "txid long, prev_txid long, prev_vout int")
+    wallet = outs.select("addr", F.col("addr").alias("wallet"))
+    got = risk.risk_scores(ins, outs, wallet, spark.createDataFrame([("a00", 1.0)], "wallet string, seed double"), hops=2)
+    assert {r.wallet: r.downstream for r in got.collect() if r.downstream > 0} == {"a00": 1.0, "a10": 0.85, "a11": 0.85, "a20": 0.7225, "a21": 0.7225}
+    assert seen["risk-down"] == seen["risk-up"] == ["txid", "t"]
