@@ -148,3 +148,16 @@ def test_seeds_that_come_later_raise_scores_and_add_what_is_missing(spark, tmp_p
     assert sorted(map(tuple, store.read().collect())) == sorted((e, w, want.get(e), o) for e, w, _, o in rows)
     assert sorted(map(tuple, new.collect())) == [("e02", "q", 900, 900 + 900_000_000, 0.3), ("e03", "p", 900, 900 + 900_000_000, 0.4), ("gone", "p", 0, 900_000_000, 1.0)]
     assert features.refresh_seeds(store, signals.limit(0), found)[:2] == (2, 0)
+
+
+def test_a_stream_enters_python_once_a_bucket_of_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("utxolens.streaming.first_wins.BUCKETS", 3, raising=False)
+    schema, source, out = "logical_record long, txid string, content string", str(tmp_path / "in"), str(tmp_path / "out")
+    for part in range(2):
+        spark.createDataFrame([(i, f"k{i % 700}", "x") for i in range(part * 1000, part * 1000 + 1000)], schema).repartition(3).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        q = first_wins_verdicts(stream, "txid", F.col("content")).writeStream.format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/rows")
+        q.awaitTermination()
+        states = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+        got = spark.read.parquet(f"{out}/rows")
+        assert states <= 3 and got.count() == part * 1000 + 1000 and got.where("verdict = 'accepted'").count() == 700
