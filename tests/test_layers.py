@@ -6,7 +6,7 @@ from statistics import NormalDist
 
 import pytest
 from pyspark.sql import functions as F
-from utxolens.operators import anomaly, graph, groups, layers, ordered, readside, risk, stats
+from utxolens.operators import anomaly, graph, groups, layers, ordered, peeling, readside, risk, stats
 
 
 def test_stouffer_is_the_weighted_sum_of_normal_quantiles(spark):
@@ -246,3 +246,17 @@ def test_risk_rounds_hold_a_row_a_transaction(spark, monkeypatch):
     got = risk.risk_scores(ins, outs, wallet, spark.createDataFrame([("a00", 1.0)], "wallet string, seed double"), hops=2)
     assert {r.wallet: r.downstream for r in got.collect() if r.downstream > 0} == {"a00": 1.0, "a10": 0.85, "a11": 0.85, "a20": 0.7225, "a21": 0.7225}
     assert seen["risk-down"] == seen["risk-up"] == ["txid", "t"]
+
+
+def test_hops_that_go_on_alike_are_one_walk_and_patterns_see_numbers_only(spark, monkeypatch):
+    # Two outpoints that transaction 5 spends go on by its output 1; a third goes on by its output 0.
+    rows = [(1, 0, 5, 1), (2, 0, 5, 1), (3, 0, 5, 0), (5, 1, 6, 0), (5, 0, 7, None), (6, 0, 8, None)]
+    hops = spark.createDataFrame(rows, "prev_txid long, prev_vout int, spend_txid long, next_vout int")
+    got = sorted((x.start_txid, x.start_vout, x.walk) for x in graph.doubled_walks(hops, F.col("spend_txid"), 4).collect())
+    assert got == [(1, 0, [5, 6, 8]), (3, 0, [5, 7]), (5, 0, [7]), (5, 1, [6, 8]), (6, 0, [8])]
+    seen, plain = [], peeling.components
+    monkeypatch.setattr(peeling, "components", lambda edges: seen.append(edges.dtypes) or plain(edges))
+    signals = spark.createDataFrame([(1, 0, "address:a", 3, 0.5, 0, "5,6,8"), (9, 0, "address:a", 3, 0.7, 5, "11,12,13"), (2, 0, "address:b", 3, 0.6, None, "6,8,9"), (4, 0, "address:c", 4, 0.2, 7, "1,2,3,4")], "start_txid long, start_vout int, entity_ref string, hops long, score double, first_us long, path string")
+    found = sorted((x.pattern, x.chains, x.transactions, x.hops, x.score, x.path) for x in peeling.peeling_groups(signals).collect())
+    assert found == [("c:1:0", 3, 7, 3, 0.7, "11,12,13"), ("c:4:0", 1, 4, 4, 0.2, "1,2,3,4")]
+    assert seen == [[("a", "bigint"), ("b", "bigint")]]
