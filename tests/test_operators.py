@@ -51,6 +51,24 @@ def test_equal_outputs_and_clusters(spark):
     assert {c.addr for c in clusters} == {"m0", "c"}, "the mixing-like transaction links nothing"
 
 
+def test_addresses_of_one_transaction_take_no_part_in_rounds(spark, monkeypatch):
+    tx, tx_in, tx_out = facts(spark, [(1, i, f"a{i}", 10 + i, 0) for i in range(60)], [(2 + i // 20, i % 20, 1, i) for i in range(60)] + [(3, 20, 1, 0)])
+    linked, found = [], graph.components
+    monkeypatch.setattr(graph, "components", lambda edges: linked.append(sorted(map(tuple, edges.collect()))) or found(edges))
+    got = {r.addr: r.entity_id for r in graph.common_input_clusters(tx_in, tx_out).collect()}
+    assert linked == [[(2, 3)]], "a0 alone is in two transactions"
+    import hashlib
+
+    name = lambda a: "E-" + hashlib.md5(a.encode()).hexdigest()[:12]
+    assert got == {f"a{i}": name("a0" if i < 40 else "a40") for i in range(60)}
+
+
+def test_claims_are_made_in_two_shuffles(spark, chain):
+    from utxolens.plans.domain import _spends
+
+    assert _spends(chain[2])._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+
+
 def test_two_spend_rules(spark):
     tx, tx_in, tx_out = facts(spark, [(1, 0, "a", 10, 0), (1, 1, "b", 10, 0), (2, 0, "c", 5, 1), (3, 0, "d", 5, 2)], [(2, 0, 1, 0), (3, 0, 1, 0), (3, 1, 1, 1), (3, 2, 9, 9)])
     status = {(r.txid, r.vin): r.status for r in spends.spend_resolution(tx_in, tx_out, tx).collect()}
