@@ -69,6 +69,36 @@ def test_claims_are_made_in_two_shuffles(spark, chain):
     assert _spends(chain[2])._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
 
 
+def test_rows_of_a_frequent_value_are_not_one_task(spark):
+    rows = spark.range(4000).selectExpr("id", "if(id % 10 > 0, 0.0d, id * 1.0d) AS v", "id % 2 = 0 AS is_ref")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = stats.reference_rank(rows, "v")
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 4000 and max(sizes) < 2000, sizes
+        ref = sorted(0.0 if i % 10 else float(i) for i in range(0, 4000, 2))
+        assert all(r.rank == sum(x <= r.v for x in ref) / 2000 for r in got.where("id % 97 < 11").collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_recipient_history_over_ranges(spark):
+    import random
+
+    r = random.Random(3)
+    pays = sorted({(t, r.choice(("busy", "busy", "b", f"x{r.randrange(40)}"))) for t in range(400) for _ in range(2)})
+    us = {t: 1_000_000 * r.randrange(90) for t in range(400)}
+    out = spark.createDataFrame([(t, a, us[t]) for t, a in pays], "txid long, addr string, us long")
+    got = {x.txid: x for x in windows.recipient_history(out).collect()}
+    for t in us:
+        before = [[us[o] for o, b in pays if b == a and us[o] < us[t]] for s, a in pays if s == t]
+        n = [len(x) for x in before]
+        want = (len(n), sum(x > 0 for x in n) / len(n), sum(n) / len(n), max([(max(x) - min(x)) / 1e6 for x in before if x], default=0.0))
+        assert tuple(got[t])[1:] == pytest.approx(want), t
+
+
 def test_two_spend_rules(spark):
     tx, tx_in, tx_out = facts(spark, [(1, 0, "a", 10, 0), (1, 1, "b", 10, 0), (2, 0, "c", 5, 1), (3, 0, "d", 5, 2)], [(2, 0, 1, 0), (3, 0, 1, 0), (3, 1, 1, 1), (3, 2, 9, 9)])
     status = {(r.txid, r.vin): r.status for r in spends.spend_resolution(tx_in, tx_out, tx).collect()}
