@@ -99,6 +99,19 @@ def test_recipient_history_over_ranges(spark):
         assert tuple(got[t])[1:] == pytest.approx(want), t
 
 
+def test_an_address_without_an_entity_is_its_own_wallet(spark):
+    from utxolens.operators import readside
+
+    tx, tx_in, tx_out = facts(spark, [(1, 0, "a", 5, 0), (1, 1, "b", 7, 0), (2, 0, "c", 9, 1)], [(2, 0, 1, 0), (2, 1, 1, 1), (2, 2, 8, 8), (3, 0, 2, 0)])
+    entities = spark.createDataFrame([("a", "E"), ("b", "E")], "addr string, wallet string")
+    got = {(r.txid, r.wallet, r.amount, r.side) for r in graph.value_flows(tx_in, tx_out, entities).collect()}
+    assert got == {(1, "E", 12, "out"), (2, "c", 9, "out"), (2, "E", 12, "in"), (3, "c", 9, "in")}
+    obs = spark.createDataFrame([(2, "r"), (2, "r"), (3, "s"), (7, "s")], "txid long, src_ip string")
+    assert {tuple(r) for r in readside.wallet_endpoints(tx_in, tx_out, obs, entities).collect()} == {("E", "r", 1), ("c", "s", 1)}
+    pairs = network.wallet_observations(tx_in, tx_out, obs, "src_ip", entities)
+    assert {tuple(r) for r in pairs.select("wallet", "key", "txid").collect()} == {("E", "r", 2), ("c", "s", 3)}
+
+
 def test_two_spend_rules(spark):
     tx, tx_in, tx_out = facts(spark, [(1, 0, "a", 10, 0), (1, 1, "b", 10, 0), (2, 0, "c", 5, 1), (3, 0, "d", 5, 2)], [(2, 0, 1, 0), (3, 0, 1, 0), (3, 1, 1, 1), (3, 2, 9, 9)])
     status = {(r.txid, r.vin): r.status for r in spends.spend_resolution(tx_in, tx_out, tx).collect()}

@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import network
+from ..operators import graph, network
 from ..operators.spends import resolve_inputs
+from ..session import keep
 from .domain import Domain
 from .graphs import _CC
 from .measures import _BUYER, _RELAY
@@ -21,7 +22,8 @@ _RELAYS = _RELAY.replace("te AS (", "tr AS (").replace("FROM te)", "FROM tr)").r
 
 
 def _observed(d: Domain):
-    spends = resolve_inputs(d.tx_in, d.tx_out).where("prev_addr is not null").select(F.col("prev_addr").alias("addr"), "txid").join(d.wallets, "addr")
+    ins = d.tx_in.join(d.obs.select("txid").distinct(), "txid", "left_semi")
+    spends = graph.with_wallet(resolve_inputs(ins, d.tx_out).where("prev_addr is not null").select(F.col("prev_addr").alias("addr"), "txid"), d.entities)
     first = spends.groupBy("txid").agg(F.min("wallet").alias("m"))
     mine = F.coalesce(F.col("m").like("E-0%"), F.lit(False))
     letter = F.substring("m", 4, 1)
@@ -31,7 +33,7 @@ def _observed(d: Domain):
 
 @query(_SEEN + _TESTS + "SELECT wallet, key, n, total, (SELECT count(*) FROM te) AS tested, round(least(1.0, p * (SELECT count(*) FROM te)), 9) AS adjusted, n / total >= 0.6 AND least(1.0, p * (SELECT count(*) FROM te)) < 1e-3 AS flagged FROM pv")
 def entity_correlation(d: Domain):
-    return network.network_correlation(d.tx_in, d.tx_out, _observed(d), "asn", wallets=d.wallets).withColumn("adjusted", F.round("adjusted", 9))
+    return network.network_correlation(d.tx_in, d.tx_out, _observed(d), "asn", wallets=d.entities).withColumn("adjusted", F.round("adjusted", 9))
 
 
 @query(_SEEN + _TESTS + _RELAYS + """, ff AS (SELECT concat('wallet:', wallet) AS entity_ref, 'relay_concentration' AS rule, wallet AS a, key AS b, round(least(1.0, p * (SELECT count(*) FROM te)), 9) AS adjusted FROM pv WHERE n / total >= 0.6 AND least(1.0, p * (SELECT count(*) FROM te)) < 1e-3
@@ -41,7 +43,7 @@ def entity_correlation(d: Domain):
     SELECT entity_ref, rule, adjusted, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, entity_ref, rule)::INT AS rank, transactions FROM sc LEFT JOIN el ON el.a = sc.a AND el.b IS NOT DISTINCT FROM sc.b""")
 def network_findings(d: Domain):
     obs = _observed(d)
-    seen = network.wallet_observations(d.tx_in, d.tx_out, obs, "asn", d.wallets)
-    wallets = network.network_correlation(d.tx_in, d.tx_out, obs, "asn", wallets=d.wallets).withColumn("adjusted", F.round("adjusted", 9))
+    seen = keep(network.wallet_observations(d.tx_in, d.tx_out, obs, "asn", d.entities), "seen")
+    wallets = network.network_correlation(d.tx_in, d.tx_out, obs, "asn", pairs=seen).withColumn("adjusted", F.round("adjusted", 9))
     relays = network.relay_flags(network.relay_coherence(d.tx_in, d.tx_out, obs)).withColumn("adjusted", F.round("adjusted", 9))
     return network.network_findings(wallets, relays, seen, obs, d.tx).withColumn("score", F.round(F.col("score") + 0.0, 6))
