@@ -285,3 +285,16 @@ def test_episodes_of_all_parts(spark):
     got = review._episodes(d).collect()
     assert sorted(x.entity_ref for x in got) == ["address:p100007", "address:p2100007", "address:p7", "tx:2"] and len({x.id for x in got}) == 4
     assert {len(x.anchors) for x in got} == {2} and min(x.id for x in got if x.rule == "fan_out") == (1 << 40) + 100_000 * (7 * 5 % 3) + 7
+
+
+def test_risk_of_addresses_has_both_directions_and_eight_hops(spark):
+    # A line of eleven transactions with a seed at its sixth: five hops lie before it, five after it.
+    outs = spark.createDataFrame([(t, 0, f"a{t}", 100, t) for t in range(11)], "txid long, vout int, addr string, amount long, part long")
+    ins = spark.createDataFrame([(t + 1, t, 0) for t in range(10)], "txid long, prev_txid long, prev_vout int")
+    seeds = spark.createDataFrame([(5, 1.0), (5, 0.5)], "part long, weight double")
+    got = {r.addr: r for r in risk.address_risk(ins, outs, seeds, by="part").collect()}
+    assert {a: r.downstream for a, r in got.items() if r.downstream} == {f"a{5 + k}": pytest.approx(0.85**k, abs=1e-6) for k in range(6)}
+    assert {a: r.upstream for a, r in got.items() if r.upstream} == {f"a{5 - k}": pytest.approx(0.85**k, abs=1e-6) for k in range(6)}
+    assert sorted(got) == sorted(f"a{t}" for t in range(11)) and [a for a, r in got.items() if r.is_seed] == ["a5"]
+    far = {r.addr for r in risk.address_risk(ins, outs, spark.createDataFrame([(0, 1.0)], "part long, weight double"), by="part").collect()}
+    assert far == {f"a{t}" for t in range(9)}, "eight hops and no more"
