@@ -60,6 +60,33 @@ def poisson_surprise(k: Column, rate: Column) -> Column:
     return -F.log(F.greatest(F.lit(1e-12), F.least(F.lit(1.0), tail)))
 
 
+def complement_surprise(k: Column, rate: Column) -> Column:
+    """-ln P(X >= k) as 1 minus the sum of what lies below k, in doubles, from 0 on: what SQL that says so gives to the last bit.
+
+    A tail below some 1e-9 keeps few digits; poisson_surprise keeps them all. The C library's lgamma is the one SQL calls, math.lgamma is another approximation.
+    """
+
+    @F.pandas_udf("double")
+    def surprise(ks, rates):
+        import ctypes
+        from math import exp, log
+
+        import pandas as pd
+
+        lgamma = ctypes.CDLL(None).lgamma
+        lgamma.restype, lgamma.argtypes = ctypes.c_double, [ctypes.c_double]
+        ks, out = ks.astype(int), []
+        known = [lgamma(i + 1.0) for i in range(max(ks, default=0))]
+        for k, r in zip(ks, rates):
+            below, by = 0.0, log(r)
+            for i in range(k):
+                below += exp(-r + i * by - known[i])
+            out.append(-log(max(1e-12, 1 - below)))
+        return pd.Series(out, dtype=float)
+
+    return surprise(k, rate)
+
+
 def normal_quantile(p: Column) -> Column:
     """Inverse normal distribution, by the standard library, Arrow-batched."""
 
