@@ -92,3 +92,16 @@ def test_each_vector_length_is_searched(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = vectors.nearest(table, table, k=3, share=1.0).collect()
     assert Counter(x.query_id for x in got) == {i: 3 for i in range(60)} and all((x.query_id - x.vec_id) % 2 == 0 for x in got)
+
+
+def test_the_stage_sends_no_table_through_the_driver(spark):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(200)}" for _ in range(40)) for _ in range(30)]
+    rows = [(i, t + " again" * (i % 3)) for i, t in enumerate(t for t in texts for _ in range(3))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = spark._jsparkSession.sharedState().statusStore()
+    before = runs.executionsCount()
+    assert corpus_pipeline.dedup_stage(spark, docs, "").count() < len(rows)
+    plans = [runs.executionsList(i, 1).head().physicalPlanDescription() for i in range(before, runs.executionsCount())]
+    assert plans and any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "BroadcastExchange" in p]

@@ -176,7 +176,7 @@ def links(classes: DataFrame, distance: int = 4, block: int = 1024) -> DataFrame
         raise ValueError("distances of 1 to 15 bits have chain keys")
     keyed = classes.select("id", "fp", F.explode(F.array(*chain_keys(distance))).alias("key"))
     shared = keyed.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    dealt = keyed.join(shared, "key").withColumn("blk", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    dealt = keyed.join(shared.hint("merge"), "key").withColumn("blk", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     pairs = dealt.select("key", "id", "fp", "blk", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
     pairs = pairs.select("key", F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y"), "blk", "id", "fp")
     # The cost of a tile is its pairs, not its bytes: a stated number of tasks is not merged into fewer.
@@ -300,7 +300,7 @@ def similar_texts(df: DataFrame, row_col: str, text_col: str = "text", *, words:
     row_col is a column of any orderable type, unique in df and the same whenever df is read. Groups connect texts
     whose `words`-word shingle sets have a Jaccard similarity of `similarity` or more and whose fingerprints (SimHash of
     the distinct words) lie within `distance` bits. Candidates are found by chain keys over all distinct fingerprints;
-    texts that candidates connect are dealt out as blocks. A first pass compares within blocks, each with the text
+    texts that candidates connect are dealt out as blocks, and no join is broadcast: nothing of the tables passes through the driver. A first pass compares within blocks, each with the text
     that has most copies; a second one compares only texts outside the largest group with all the others of
     their candidates' component. No pair is skipped but those whose texts are in one group already.
 
@@ -312,11 +312,11 @@ def similar_texts(df: DataFrame, row_col: str, text_col: str = "text", *, words:
     classes = keep(prints.groupBy("key").agg(F.min("row").alias("node"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.count("*").alias("copies")), "texts")
     prints = classes.groupBy("fp").agg(F.lit(0).cast("long").alias("id"), F.count("*").alias("n"))
     near = connected_components(links(prints, distance)).select(F.col("node.fp").alias("fp"), F.col("root.fp").alias("ring"))
-    ring = prints.join(near, "fp", "left").where("ring is not null or n > 1").select("fp", F.coalesce("ring", "fp").alias("ring"))
-    placed = classes.join(ring, "fp")
+    ring = prints.join(near.hint("merge"), "fp", "left").where("ring is not null or n > 1").select("fp", F.coalesce("ring", "fp").alias("ring"))
+    placed = classes.join(ring.hint("merge"), "fp")
     fill = lambda what: F.ceil(F.greatest(F.count("*") / block, F.sum("size") / TILE_BYTES, F.lit(1))).cast("int").alias(what)
     sizes = placed.groupBy("ring").agg(fill("blocks"), F.max_by("node", F.struct("copies", "node")).alias("pivot")).where("blocks > 0")
-    placed = keep(placed.join(sizes, "ring").withColumn("blk", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")), "placed")
+    placed = keep(placed.join(sizes.hint("merge"), "ring").withColumn("blk", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")), "placed")
     texts = df.select(F.col(row_col).alias("node"), F.col(text_col).cast("string").cast("binary").alias("text"))
     kind = classes.schema["node"].dataType.simpleString()
 
@@ -332,11 +332,11 @@ def similar_texts(df: DataFrame, row_col: str, text_col: str = "text", *, words:
     done = [compared(first.withColumn("tile", F.xxhash64("ring", "b")))]
     wide = placed.where("blocks > 1")
     if not wide.isEmpty():
-        named = wide.join(connected_components(done[0]), "node", "left").withColumn("label", F.coalesce("root", "node"))
+        named = wide.join(connected_components(done[0]).hint("merge"), "node", "left").withColumn("label", F.coalesce("root", "node"))
         counts = named.groupBy("ring", "label").agg(F.count("*").alias("n")).groupBy("ring").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-        named = named_table = keep(named.join(counts, "ring").withColumn("side", F.col("label") != F.col("main")), "labelled")
+        named = named_table = keep(named.join(counts.hint("merge"), "ring").withColumn("side", F.col("label") != F.col("main")), "labelled")
         rest = named.where("side").groupBy("ring").agg(fill("open"))
-        named = named.join(rest, "ring").withColumn("ob", F.pmod(F.xxhash64("key", F.lit(1)), F.col("open")).cast("int"))
+        named = named.join(rest.hint("merge"), "ring").withColumn("ob", F.pmod(F.xxhash64("key", F.lit(1)), F.col("open")).cast("int"))
         right = named.select("node", "fp", "label", F.lit(False).alias("side"), "ring", "blk", F.explode(F.expr("sequence(0, open - 1)")).alias("ob"))
         left = named.where("side").select("node", "fp", "label", "side", "ring", F.explode(F.expr("sequence(0, blocks - 1)")).alias("blk"), "ob")
         again = left.unionByName(right).groupBy("ring", "blk", "ob", "node", "fp", "label").agg(F.max("side").alias("side"))
@@ -344,7 +344,7 @@ def similar_texts(df: DataFrame, row_col: str, text_col: str = "text", *, words:
         forget(named_table)
     roots = connected_components(reduce(DataFrame.unionByName, done))
     forget(placed, *done)
-    return classes.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    return classes.join(roots.hint("merge"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
